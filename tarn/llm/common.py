@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words between ASCII white space (blank, tab to carriage return).
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -46,3 +47,9 @@ def crc_mod(doc_id: Column, m: int) -> Column:
 def word_count(text: Column) -> Column:
     """Number of white-space separated words; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
+
+
+def extended(docs: DataFrame, **more: str) -> tuple[DataFrame, T.StructType]:
+    """docs without columns named as the new ones (results replace them), and its schema with the new ones."""
+    docs = docs.drop(*more)
+    return docs, T.StructType([*docs.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in more.items())])

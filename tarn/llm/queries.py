@@ -4,11 +4,80 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
+from . import bpe, chat, licenses, mixing, secrets
 from .common import table
 
+#: What a tokenizer folder's rank file for many languages is called.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(RANKS)
+
+
+def split_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def sha(x: Column) -> Column:
+    return F.sha2(x.cast("binary"), 256)
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def conversation_records(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text -> conv_id and its record (JSON), turns in order (nulls first; ties by role, text).
+
+    A conversation is one record, so its turns meet in one row, as its formatted text must.
+    """
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))))
+    messages = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    return rows.groupBy("conv_id").agg(messages.alias("messages")).select("conv_id", F.to_json(F.struct("messages")).alias("record"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the output."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    df = chat.format_chat(conversation_records(rows))
+    df = df.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", F.array_join(chat.masked_texts(F.col("formatted"), F.col("loss_runs")), ""))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return df.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        sha(turns).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        sha(F.col("loss")).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    docs = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return docs.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), sha(said(base)).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(docs, ranks_path(), split_pattern()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken for all documents."""
