@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, mixing, secrets
+from . import bpe, chat, jaccard, licenses, mixing, secrets
 from .common import table
 
 #: What a tokenizer folder's rank file for many languages is called.
@@ -73,6 +73,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), sha(said(base)).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links: three-word shingles, links at a Jaccard similarity of 0.9."""
+    return jaccard.join_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, num=90, den=100)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
