@@ -2,7 +2,7 @@
 
 1. Each text becomes the set of its shingles (64-bit hashes of k consecutive words); documents with
    equal sets share a digest and are one node from here on.
-2. Shingles are dealt out by hash to buckets of about four million; a bucket counts in how many nodes
+2. Shingles are dealt out by hash to buckets of about two million; a bucket counts in how many nodes
    each occurs and returns the repeated ones to their nodes. A shingle of one node can make no link.
 3. Under the order (count, hash), a node takes the shortest prefix of its set from which no deletion
    of as many shingles as a linked set may lack removes every signature. Signatures are single rare
@@ -38,9 +38,9 @@ from .common import written
 from .graph import components
 
 #: Shingles in a bucket, on average; nodes in a block; ratio of a size class; most nodes that share a rare shingle.
-BUCKET, BLOCK, RATIO, RARE = 1 << 22, 256, 1.5, 8
-#: Hashed words that a worker remembers before it forgets all of them.
-MEMO = 400_000
+BUCKET, BLOCK, RATIO, RARE = 1 << 21, 256, 1.5, 8
+#: Hashed words that a worker remembers before it forgets all of them; shingles that it gathers before it deals them out.
+MEMO, FLUSH = 200_000, 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,28 +92,47 @@ def sizes(docs: DataFrame, k: int) -> DataFrame:
     return kept.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary")
 
 
-def packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Consecutive runs of values, counts of them each, as a column of binaries."""
-    ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64) * values.itemsize]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(values.tobytes())])
+#: Bytes of a node's head in packed rows: digest, set size, number of shingles that follow for it.
+HEAD = 16
+
+
+def heads(ids: np.ndarray, n: np.ndarray, count: np.ndarray) -> bytes:
+    number = lambda x: np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4)
+    return np.concatenate([ids, number(n), number(count)], axis=1).tobytes()
+
+
+def unpacked(column: pa.ChunkedArray, dtype: str, width: int) -> np.ndarray:
+    """All bytes of a column of binaries as rows of width items, without a Python object for each."""
+    parts = []
+    for c in column.chunks:
+        ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        if len(c) and ends[-1] > ends[0]:
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+    flat = np.concatenate(parts) if parts else np.array([], np.uint8)
+    return flat.view(dtype).reshape(-1, width)
+
+
+def split_heads(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    head = unpacked(column, "u1", HEAD + 8)
+    return np.ascontiguousarray(head[:, :HEAD]), np.ascontiguousarray(head[:, HEAD : HEAD + 4]).view("<u4").ravel(), np.ascontiguousarray(head[:, HEAD + 4 :]).view("<u4").ravel()
 
 
 def dealt(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """docs -> bucket, nodes (digest, set size, number of shingles here: 16, 4 and 4 bytes each), lows (6 bytes each)."""
+    """docs -> bucket, nodes (heads), lows (6 bytes for each shingle)."""
 
     def flush(sets: dict[bytes, np.ndarray]) -> pa.RecordBatch:
         n = np.array([len(s) for s in sets.values()], np.uint32)
-        all_h, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(n)), n)
-        bucket = (all_h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(all_h), np.int64)
+        all_h, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(n), dtype=np.int32), n)
+        bucket = (all_h >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(all_h), np.int32)
         order = np.argsort(bucket, kind="stable")
         bucket, owner, low = bucket[order], owner[order], all_h[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        ids = np.frombuffer(b"".join(sets), np.uint8).reshape(-1, 16)
+        ids = np.frombuffer(b"".join(sets), np.uint8).reshape(-1, HEAD)
         starts = np.flatnonzero(np.diff(bucket, prepend=-1))
         rows: tuple[list, list, list] = ([], [], [])
         for s, e in zip(starts, [*starts[1:], len(bucket)], strict=True):
-            who, count = np.unique(owner[s:e], return_counts=True)
-            head = np.concatenate([ids[who], n[who].astype("<u4").view(np.uint8).reshape(-1, 4), count.astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
-            for out, x in zip(rows, (int(bucket[s]), head.tobytes(), low[s:e].tobytes()), strict=True):
+            first = np.flatnonzero(np.diff(owner[s:e], prepend=-1))
+            who = owner[s:e][first]
+            for out, x in zip(rows, (int(bucket[s]), heads(ids[who], n[who], np.diff(np.append(first, e - s))), low[s:e].tobytes()), strict=True):
                 out.append(x)
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["bucket", "nodes", "lows"])
 
@@ -126,7 +145,7 @@ def dealt(docs: DataFrame, k: int, bits: int) -> DataFrame:
                     d = digest(s)
                     held += len(s) * (d not in sets)
                     sets[d] = s
-                if held > 1 << 21:
+                if held > FLUSH:
                     yield flush(sets)
                     sets, held = {}, 0
         if sets:
@@ -135,28 +154,41 @@ def dealt(docs: DataFrame, k: int, bits: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket long, nodes binary, lows binary")
 
 
-def counted(bucket: pa.Table) -> pa.Table:
-    """A bucket's rows -> for each node with repeated shingles in it: digest, n, keys (8 bytes each), counts (4 each)."""
-    head = np.frombuffer(b"".join(bucket.column("nodes").to_pylist()), np.uint8).reshape(-1, 24)
-    raw = np.frombuffer(b"".join(bucket.column("lows").to_pylist()), np.uint8).reshape(-1, 6)
+def counted(bucket: pa.Table, parts: int) -> pa.Table:
+    """A bucket's rows -> for the nodes with repeated shingles in it, packed by part: nodes (heads), keys (8 bytes), counts (2)."""
+    ids, n, count = split_heads(bucket.column("nodes"))
+    raw = unpacked(bucket.column("lows"), "u1", 6)
     low = np.zeros((len(raw), 8), np.uint8)
     low[:, :6] = raw
+    del raw
     low = low.view("<u8").ravel()
-    ids, n, count = head[:, :16].copy().view("<u8"), head[:, 16:20].copy().view("<u4").ravel(), head[:, 20:].copy().view("<u4").ravel()
-    order = np.lexsort((ids[:, 1], ids[:, 0]))
+    halves = ids.view("<u8")
+    order = np.lexsort((halves[:, 1], halves[:, 0]))
     first = np.ones(len(ids), bool)
-    first[order[1:]] = (ids[order[1:]] != ids[order[:-1]]).any(axis=1)  # equal sets count once
-    low, owner = low[np.repeat(first, count)], np.repeat(np.arange(len(n)), np.where(first, count, 0))
+    first[order[1:]] = (halves[order[1:]] != halves[order[:-1]]).any(axis=1)  # equal sets count once
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), np.where(first, count, 0))
+    low = low[np.repeat(first, count)]
     by = np.argsort(low, kind="stable")
-    starts = np.flatnonzero(np.diff(low[by], prepend=low[by[:1]] + np.uint64(1)))
+    ordered = low[by]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(by) else np.array([], np.int64)
     runs = np.diff(np.append(starts, len(by)))
-    times = np.empty(len(by), np.uint32)
-    times[by] = np.repeat(runs, runs)
+    times = np.empty(len(by), np.uint16)
+    times[by] = np.repeat(np.minimum(runs, 65535).astype(np.uint16), runs)
+    del by, ordered
     again = times > 1
-    owner, keys = owner[again], (np.uint64(bucket.column("bucket")[0].as_py() if len(bucket) else 0) << np.uint64(48)) ^ low[again]
-    per = np.bincount(owner, minlength=len(n))
-    has = np.flatnonzero(per)
-    return pa.table([packed(head[has, :16].copy(), np.full(len(has), 16)), pa.array(n[has].astype(np.int64)), packed(keys, per[has]), packed(times[again], per[has])], ["digest", "n", "keys", "counts"])
+    key = np.uint64(bucket.column("bucket")[0].as_py() & 0xFFFF) << np.uint64(48)
+    owner, keys, times = owner[again], key ^ low[again], times[again]
+    part = (halves[owner, 0] % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part, owner, keys, times = part[order], owner[order], keys[order], times[order]
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.array([], np.int64)
+    rows: tuple[list, list, list, list] = ([], [], [], [])
+    for s, e in zip(starts, [*starts[1:], len(part)], strict=True):
+        at = np.flatnonzero(np.diff(owner[s:e], prepend=-1))
+        who = owner[s:e][at]
+        for out, x in zip(rows, (int(part[s]), heads(ids[who], n[who], np.diff(np.append(at, e - s))), keys[s:e].tobytes(), times[s:e].tobytes()), strict=True):
+            out.append(x)
+    return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], ["part", "nodes", "keys", "counts"])
 
 
 def size_class(n: np.ndarray | int) -> np.ndarray:
@@ -209,23 +241,26 @@ def signatures(n: int, keys: np.ndarray, counts: np.ndarray, num: int, den: int)
     return np.concatenate(out)
 
 
-def indexed(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """nodes (digest, n, parts: list of (keys, counts)) -> digest, n, keys, sigs, for those that can be linked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: tuple[list, list, list, list] = ([], [], [], [])
-            for d, n, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                keys, counts = (np.frombuffer(b"".join(p[x] for p in parts), t) for x, t in (("keys", "<u8"), ("counts", "<u4")))
-                order = np.lexsort((keys, counts))
-                sigs = signatures(n, keys[order], counts[order], num, den)
-                if len(sigs):
-                    for out, x in zip(rows, (d, n, np.sort(keys).tobytes(), sigs.view(np.int64)), strict=True):
-                        out.append(x)
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.list_(pa.int64()))], ["digest", "n", "keys", "sigs"])
-
-    return nodes.mapInArrow(run, "digest binary, n long, keys binary, sigs array<long>")
+def indexed(part: pa.Table, num: int, den: int) -> pa.Table:
+    """A part's rows -> digest, n, keys (sorted), sigs, for its nodes that can be linked."""
+    ids, n, count = split_heads(part.column("nodes"))
+    keys, counts = unpacked(part.column("keys"), "<u8", 1).ravel(), unpacked(part.column("counts"), "<u2", 1).ravel()
+    halves = ids.view("<u8")
+    order = np.lexsort((halves[:, 1], halves[:, 0]))
+    at = np.append(0, np.cumsum(count, dtype=np.int64))
+    new = np.flatnonzero(np.append(True, (halves[order[1:]] != halves[order[:-1]]).any(axis=1))) if len(order) else np.array([], np.int64)
+    rows: tuple[list, list, list, list] = ([], [], [], [])
+    for s, e in zip(new, [*new[1:], len(order)], strict=True):
+        own = order[s:e]
+        if lacking(int(n[own[0]]), num, den) + 1 <= n[own[0]] - count[own].sum():
+            continue
+        k, c = (np.concatenate([x[at[i] : at[i + 1]] for i in own]) for x in (keys, counts))
+        by = np.lexsort((k, c))
+        sigs = signatures(int(n[own[0]]), k[by], c[by], num, den)
+        if len(sigs):
+            for out, x in zip(rows, (ids[own[0]].tobytes(), int(n[own[0]]), np.sort(k).tobytes(), sigs.view(np.int64)), strict=True):
+                out.append(x)
+    return pa.table([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.list_(pa.int64()))], ["digest", "n", "keys", "sigs"])
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -291,11 +326,11 @@ def join_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
     base = written(sizes(docs, k), "jaccard-sizes")
     reps = base.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     total = base.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    bits = max(0, math.ceil(math.log2(max(1, total / BUCKET))))
-    parts = dealt(docs, k, bits).repartition(max(1 << bits, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket")
-    again = parts.groupBy("bucket").applyInArrow(counted, "digest binary, n long, keys binary, counts binary")
-    nodes = again.groupBy("digest").agg(F.first("n").alias("n"), F.collect_list(F.struct("keys", "counts")).alias("parts"))
-    index = written(indexed(nodes, num, den), "jaccard-index")
+    bits = max(0, round(math.log2(max(1, total / BUCKET))))
+    parts = max(2 << bits, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    again = dealt(docs, k, bits).groupBy("bucket").applyInArrow(lambda t: counted(t, parts), "part long, nodes binary, keys binary, counts binary")
+    index = again.groupBy("part").applyInArrow(lambda t: indexed(t, num, den), "digest binary, n long, keys binary, sigs array<long>")
+    index = written(index, "jaccard-index")
 
     tagged = index.select("digest", F.explode("sigs").alias("sig"))
     star = tagged.groupBy("sig").agg(F.min("digest").alias("b"), F.max("digest").alias("top")).where("b <> top")
