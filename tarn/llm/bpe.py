@@ -2,7 +2,7 @@
 
 Two tiers: a minimal perfect hash answers for pre-tokens that are vocabulary entries; any other one is
 merged with a heap of pairs (rank, position) over a doubly linked list of byte runs. Results for
-pre-tokens are remembered in a table of bounded size in each worker.
+pre-tokens are remembered in a table of bounded size in each worker process.
 
 Defined cases: a null text is empty, with no ids; any text is encoded whole; nothing is special.
 """
@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import sys
+import types
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import extended
 
 #: Pre-tokens that a worker remembers before it forgets all of them, and the longest one it remembers.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 800_000, 64
 #: Keys in a bucket of the perfect hash, on average.
 BUCKET = 4
 
@@ -87,6 +89,7 @@ class Codec:
         self.ids = [int(r) for _, r in pairs]
         self.hash = PerfectHash(self.tokens, tables)
         self.by_id = dict(zip(self.ids, self.tokens, strict=True))
+        self.rank = dict(zip(self.tokens, self.ids, strict=True)).get  # for the pairs of a merge
         self.split = regex.compile(pattern).findall
         self.memo: dict[str, tuple[int, ...]] = {}
 
@@ -95,33 +98,31 @@ class Codec:
         return -1 if i < 0 else self.ids[i]
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
-        """The ids of a piece that is no entry: repeatedly the leftmost pair of the lowest rank is joined."""
-        n = len(piece)
-        end, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = [True] * n
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = end[i]
-            if j < n and (r := self._id(piece[i : end[j]])) >= 0:
-                heapq.heappush(heap, (r, i, end[j]))
+        """The ids of a piece that is no entry: repeatedly the leftmost pair of the lowest rank is joined.
 
-        for i in range(n - 1):
-            offer(i)
+        end[i] is where the run that starts at i stops, prev[i] where the run before it starts; a run that
+        was joined to its left neighbour has end 0. A pair on the heap is stale unless both its runs,
+        and so its total extent, are still there.
+        """
+        n, rank = len(piece), self.rank
+        end, prev = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heapify(heap)
         while heap:
-            _, i, to = heapq.heappop(heap)
+            _, i, to = heappop(heap)
             j = end[i]
-            if not alive[i] or j >= n or end[j] != to:
-                continue  # one of its two runs has changed since
-            alive[j], end[i] = False, to
+            if not j or j >= n or end[j] != to:
+                continue
+            end[j], end[i] = 0, to
             if to < n:
                 prev[to] = i
-            offer(i)
-            if prev[i] >= 0:
-                offer(prev[i])
+                if (r := rank(piece[i : end[to]])) is not None:
+                    heappush(heap, (r, i, end[to]))
+            if (h := prev[i]) >= 0 and (r := rank(piece[h:to])) is not None:
+                heappush(heap, (r, h, to))
         out, i = [], 0
         while i < n:
-            out.append(self._id(piece[i : end[i]]))
+            out.append(rank(piece[i : end[i]]))
             i = end[i]
         return tuple(out)
 
@@ -157,15 +158,23 @@ def shared(docs: DataFrame, ranks: str, pattern: str) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast((raw, pattern, (made.shift, made.slots)))
 
 
+def codec(held: Broadcast) -> Codec:
+    """The worker's codec for these tables: it outlives the task, and with it what it remembers."""
+    kept = sys.modules.setdefault("_tarn_worker", types.ModuleType("_tarn_worker")).__dict__
+    if kept.get("codec", (None,))[0] != held.value[:2]:
+        kept["codec"] = (held.value[:2], Codec(*held.value))
+    return kept["codec"][1]
+
+
 def encode_texts(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs -> their columns and ids (array of int). ranks: path of the rank file, read by the driver."""
     held = shared(docs, ranks, pattern)
     docs, schema = extended(docs, **{ids: "array<int>"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*held.value)
+        coder = codec(held)
         for b in batches:
-            found = [np.array(codec.encode(t or ""), np.int32) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            found = [np.array(coder.encode(t or ""), np.int32) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = pa.array(np.concatenate(found) if found else np.array([], np.int32))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], [*b.schema.names, ids])
@@ -179,9 +188,9 @@ def decode_ids(docs: DataFrame, ranks: str, pattern: str, ids: str = "ids", out:
     docs, schema = extended(docs, **{out: "binary"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*held.value)
+        coder = codec(held)
         for b in batches:
-            texts = [codec.decode(x or ()) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
+            texts = [coder.decode(x or ()) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], [*b.schema.names, out])
 
     return docs.mapInArrow(run, schema)
@@ -197,14 +206,14 @@ def digests(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> Da
     _, schema = extended(docs.select(*kept), n_tokens="long", ids_sha256="string", decoded_sha256="string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*held.value)
+        coder = codec(held)
         for b in batches:
             n, coded, back = [], [], []
             for t in b.column(b.schema.get_field_index(text)).to_pylist():
-                ids = codec.encode(t or "")
+                ids = coder.encode(t or "")
                 n.append(len(ids))
                 coded.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                back.append(hashlib.sha256(coder.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())], schema.names)
 
     return docs.mapInArrow(run, schema)
