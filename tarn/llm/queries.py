@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, licenses, minhash, mixing, secrets
-from .common import table
+from . import bpe, chat, jaccard, licenses, minhash, mixing, secrets, toxicity
+from .common import crc_mod, table
 
 #: What a tokenizer folder's rank file for many languages is called.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,15 @@ def sha(x: Column) -> Column:
     return F.sha2(x.cast("binary"), 256)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for all documents; labels whose id's crc32 is a multiple of 5 are held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = crc_mod(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~apart)
+    scored = toxicity.score(docs, model).drop("text")
+    return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
