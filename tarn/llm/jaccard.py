@@ -2,8 +2,9 @@
 
 1. Each text becomes the set of its shingles (64-bit hashes of k consecutive words); documents with
    equal sets share a digest and are one node from here on.
-2. Shingles are dealt out by hash to buckets of about two million; a bucket counts in how many nodes
-   each occurs and returns the repeated ones to their nodes. A shingle of one node can make no link.
+2. Texts are packed, and packs' shingles dealt out by hash to buckets of about two million; a bucket counts
+   in how many texts each occurs and returns the repeated ones to their packs. A shingle of one text can
+   make no link. (Copies in different packs count apart, so theirs are repeated; that costs, but loses nothing.)
 3. Under the order (count, hash), a node takes the shortest prefix of its set from which no deletion
    of as many shingles as a linked set may lack removes every signature. Signatures are single rare
    shingles, and pairs of frequent ones within one of G classes: m frequent shingles of a class must
@@ -15,7 +16,7 @@
    task returns a spanning forest and link counts, never the pairs. Links' components are the classes.
 
 No group is collected whole, no pair is emitted, and nothing is capped. Shingles are compared by hash
-(bucket and 48 bits); the chance that two given sets of 500 words show a false common one is below 1e-9.
+(bucket and 40 bits); the chance that two given sets of 500 words show a false common one is below 1e-8.
 
 Defined cases: null or blank texts have no shingles and no links; a text of fewer than k words is one
 shingle; documents with equal sets are linked to one another; a null doc_id never names a class, and
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,8 @@ from .graph import components
 
 #: Shingles in a bucket, on average; nodes in a block; ratio of a size class; most nodes that share a rare shingle.
 BUCKET, BLOCK, RATIO, RARE = 1 << 21, 256, 1.5, 8
-#: Hashed words that a worker remembers before it forgets all of them; shingles that it gathers before it deals them out.
-MEMO, FLUSH = 200_000, 1 << 20
+#: Hashed words that a worker remembers before it forgets all of them; most shingles (but for the last text's) and texts of a pack.
+MEMO, PACK_SHINGLES, PACK_DOCS = 200_000, 1 << 20, 50_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,52 +94,51 @@ def sizes(docs: DataFrame, k: int) -> DataFrame:
     return kept.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary")
 
 
-#: Bytes of a node's head in packed rows: digest, set size, number of shingles that follow for it.
-HEAD = 16
+#: Bytes of a digest; of a shingle in a bucket.
+DIGEST, LOW = 16, 5
 
 
-def heads(ids: np.ndarray, n: np.ndarray, count: np.ndarray) -> bytes:
-    number = lambda x: np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4)
-    return np.concatenate([ids, number(n), number(count)], axis=1).tobytes()
-
-
-def unpacked(column: pa.ChunkedArray, dtype: str, width: int) -> np.ndarray:
+def unpacked(column: pa.ChunkedArray | pa.Array, dtype: str, width: int = 1) -> np.ndarray:
     """All bytes of a column of binaries as rows of width items, without a Python object for each."""
     parts = []
-    for c in column.chunks:
+    for c in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
         if len(c) and ends[-1] > ends[0]:
             parts.append(np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]])
     flat = np.concatenate(parts) if parts else np.array([], np.uint8)
-    return flat.view(dtype).reshape(-1, width)
+    return flat.view(dtype) if width == 1 else flat.view(dtype).reshape(-1, width)
+
 
+def steps(x: np.ndarray) -> bytes:
+    """An ascending run of small numbers as differences."""
+    return np.diff(x, prepend=0).astype("<u2").tobytes()
 
-def split_heads(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    head = unpacked(column, "u1", HEAD + 8)
-    return np.ascontiguousarray(head[:, :HEAD]), np.ascontiguousarray(head[:, HEAD : HEAD + 4]).view("<u4").ravel(), np.ascontiguousarray(head[:, HEAD + 4 :]).view("<u4").ravel()
+
+PACK = ["bucket", "pack", "docs", "lows"]
+PACKED = "bucket long, pack long, docs binary, lows binary"
 
 
 def dealt(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """docs -> bucket, nodes (heads), lows (6 bytes for each shingle)."""
+    """docs -> packs of up to PACK_DOCS texts. A pack has one row for each bucket: docs (their numbers in the pack, as
+    steps of 2 bytes), lows (LOW bytes for each shingle); and one with a negative bucket of its own that lists its
+    digests (docs) and set sizes (lows). A pack is named by the partition and its place there, so a task that
+    runs again makes the same packs."""
 
-    def flush(sets: dict[bytes, np.ndarray]) -> pa.RecordBatch:
+    def flush(sets: dict[bytes, np.ndarray], pack: int) -> pa.RecordBatch:
         n = np.array([len(s) for s in sets.values()], np.uint32)
-        all_h, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(n), dtype=np.int32), n)
+        all_h, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(n), dtype=np.uint16), n)
         bucket = (all_h >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(all_h), np.int32)
         order = np.argsort(bucket, kind="stable")
-        bucket, owner, low = bucket[order], owner[order], all_h[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        ids = np.frombuffer(b"".join(sets), np.uint8).reshape(-1, HEAD)
+        bucket, owner, low = bucket[order], owner[order], all_h[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW]
         starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        rows: tuple[list, list, list] = ([], [], [])
+        rows: tuple[list, list, list, list] = ([-pack - 1], [pack], [b"".join(sets)], [n.astype("<u4").tobytes()])
         for s, e in zip(starts, [*starts[1:], len(bucket)], strict=True):
-            first = np.flatnonzero(np.diff(owner[s:e], prepend=-1))
-            who = owner[s:e][first]
-            for out, x in zip(rows, (int(bucket[s]), heads(ids[who], n[who], np.diff(np.append(first, e - s))), low[s:e].tobytes()), strict=True):
+            for out, x in zip(rows, (int(bucket[s]), pack, steps(owner[s:e]), low[s:e].tobytes()), strict=True):
                 out.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["bucket", "nodes", "lows"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], PACK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, sets, held = Words(), {}, 0
+        memo, sets, held, pack = Words(), {}, 0, TaskContext.get().partitionId() << 32
         for b in batches:
             for t in b.column(0).to_pylist():
                 s = shingles(t, k, memo)
@@ -145,50 +146,42 @@ def dealt(docs: DataFrame, k: int, bits: int) -> DataFrame:
                     d = digest(s)
                     held += len(s) * (d not in sets)
                     sets[d] = s
-                if held > FLUSH:
-                    yield flush(sets)
-                    sets, held = {}, 0
+                if held > PACK_SHINGLES or len(sets) == PACK_DOCS:
+                    yield flush(sets, pack)
+                    sets, held, pack = {}, 0, pack + 1
         if sets:
-            yield flush(sets)
+            yield flush(sets, pack)
 
-    return docs.select("text").mapInArrow(run, "bucket long, nodes binary, lows binary")
+    return docs.select("text").mapInArrow(run, PACKED)
 
 
-def counted(bucket: pa.Table, parts: int) -> pa.Table:
-    """A bucket's rows -> for the nodes with repeated shingles in it, packed by part: nodes (heads), keys (8 bytes), counts (2)."""
-    ids, n, count = split_heads(bucket.column("nodes"))
-    raw = unpacked(bucket.column("lows"), "u1", 6)
+def counted(group: pa.Table) -> pa.Table:
+    """A bucket's rows -> for each pack with repeated shingles in it: bucket, pack, docs, lows, counts (1 byte, 255: or more)."""
+    number = group.column("bucket")[0].as_py()
+    if number < 0:
+        return group.append_column("counts", pa.array([b""] * len(group), pa.binary()))
+    sizes_ = np.array([len(x) // 2 for x in group.column("docs").to_pylist()], np.int64)
+    raw = unpacked(group.column("lows"), "u1", LOW)
     low = np.zeros((len(raw), 8), np.uint8)
-    low[:, :6] = raw
-    del raw
+    low[:, :LOW] = raw
     low = low.view("<u8").ravel()
-    halves = ids.view("<u8")
-    order = np.lexsort((halves[:, 1], halves[:, 0]))
-    first = np.ones(len(ids), bool)
-    first[order[1:]] = (halves[order[1:]] != halves[order[:-1]]).any(axis=1)  # equal sets count once
-    owner = np.repeat(np.arange(len(n), dtype=np.int32), np.where(first, count, 0))
-    low = low[np.repeat(first, count)]
     by = np.argsort(low, kind="stable")
     ordered = low[by]
-    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(by) else np.array([], np.int64)
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     runs = np.diff(np.append(starts, len(by)))
-    times = np.empty(len(by), np.uint16)
-    times[by] = np.repeat(np.minimum(runs, 65535).astype(np.uint16), runs)
+    times = np.empty(len(by), np.uint8)
+    times[by] = np.repeat(np.minimum(runs, 255).astype(np.uint8), runs)
     del by, ordered
-    again = times > 1
-    key = np.uint64(bucket.column("bucket")[0].as_py() & 0xFFFF) << np.uint64(48)
-    owner, keys, times = owner[again], key ^ low[again], times[again]
-    part = (halves[owner, 0] % np.uint64(parts)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    part, owner, keys, times = part[order], owner[order], keys[order], times[order]
-    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.array([], np.int64)
-    rows: tuple[list, list, list, list] = ([], [], [], [])
-    for s, e in zip(starts, [*starts[1:], len(part)], strict=True):
-        at = np.flatnonzero(np.diff(owner[s:e], prepend=-1))
-        who = owner[s:e][at]
-        for out, x in zip(rows, (int(part[s]), heads(ids[who], n[who], np.diff(np.append(at, e - s))), keys[s:e].tobytes(), times[s:e].tobytes()), strict=True):
-            out.append(x)
-    return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], ["part", "nodes", "keys", "counts"])
+    rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
+    at = 0
+    for pack, docs, m in zip(group.column("pack").to_pylist(), group.column("docs").to_pylist(), sizes_, strict=True):
+        again = times[at : at + m] > 1
+        if again.any():
+            owner = np.cumsum(np.frombuffer(docs, "<u2"), dtype=np.uint16)
+            for out, x in zip(rows, (number, pack, steps(owner[again]), raw[at : at + m][again].tobytes(), times[at : at + m][again].tobytes()), strict=True):
+                out.append(x)
+        at += m
+    return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[2:])], [*PACK, "counts"])
 
 
 def size_class(n: np.ndarray | int) -> np.ndarray:
@@ -241,25 +234,30 @@ def signatures(n: int, keys: np.ndarray, counts: np.ndarray, num: int, den: int)
     return np.concatenate(out)
 
 
-def indexed(part: pa.Table, num: int, den: int) -> pa.Table:
-    """A part's rows -> digest, n, keys (sorted), sigs, for its nodes that can be linked."""
-    ids, n, count = split_heads(part.column("nodes"))
-    keys, counts = unpacked(part.column("keys"), "<u8", 1).ravel(), unpacked(part.column("counts"), "<u2", 1).ravel()
-    halves = ids.view("<u8")
-    order = np.lexsort((halves[:, 1], halves[:, 0]))
-    at = np.append(0, np.cumsum(count, dtype=np.int64))
-    new = np.flatnonzero(np.append(True, (halves[order[1:]] != halves[order[:-1]]).any(axis=1))) if len(order) else np.array([], np.int64)
-    rows: tuple[list, list, list, list] = ([], [], [], [])
-    for s, e in zip(new, [*new[1:], len(order)], strict=True):
-        own = order[s:e]
-        if lacking(int(n[own[0]]), num, den) + 1 <= n[own[0]] - count[own].sum():
+def indexed(pack: pa.Table, num: int, den: int) -> pa.Table:
+    """A pack's rows -> digest, n, keys (sorted), sigs, for its texts that can be linked."""
+    own, keys, counts = [], [], []
+    digests, n = b"", np.array([], np.uint32)
+    for bucket, docs, lows, times in zip(*(pack.column(c).to_pylist() for c in ("bucket", "docs", "lows", "counts")), strict=True):
+        if bucket < 0:
+            digests, n = docs, np.frombuffer(lows, "<u4")
             continue
-        k, c = (np.concatenate([x[at[i] : at[i + 1]] for i in own]) for x in (keys, counts))
-        by = np.lexsort((k, c))
-        sigs = signatures(int(n[own[0]]), k[by], c[by], num, den)
-        if len(sigs):
-            for out, x in zip(rows, (ids[own[0]].tobytes(), int(n[own[0]]), np.sort(k).tobytes(), sigs.view(np.int64)), strict=True):
-                out.append(x)
+        own.append(np.cumsum(np.frombuffer(docs, "<u2"), dtype=np.uint16))
+        low = np.zeros((len(own[-1]), 8), np.uint8)
+        low[:, :LOW] = np.frombuffer(lows, np.uint8).reshape(-1, LOW)
+        keys.append((np.uint64(bucket & 0xFFFFFF) << np.uint64(40)) ^ low.view("<u8").ravel())
+        counts.append(np.frombuffer(times, np.uint8))
+    rows: tuple[list, list, list, list] = ([], [], [], [])
+    if own:
+        owner, key, count = np.concatenate(own), np.concatenate(keys), np.concatenate(counts)
+        by = np.lexsort((key, count, owner))
+        owner, key, count = owner[by], key[by], count[by]
+        starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        for s, e in zip(starts, [*starts[1:], len(owner)], strict=True):
+            i = int(owner[s])
+            if len(sigs := signatures(int(n[i]), key[s:e], count[s:e], num, den)):
+                for out, x in zip(rows, (digests[DIGEST * i : DIGEST * (i + 1)], int(n[i]), np.sort(key[s:e]).tobytes(), sigs.view(np.int64)), strict=True):
+                    out.append(x)
     return pa.table([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.list_(pa.int64()))], ["digest", "n", "keys", "sigs"])
 
 
@@ -327,9 +325,8 @@ def join_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
     reps = base.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     total = base.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     bits = max(0, round(math.log2(max(1, total / BUCKET))))
-    parts = max(2 << bits, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    again = dealt(docs, k, bits).groupBy("bucket").applyInArrow(lambda t: counted(t, parts), "part long, nodes binary, keys binary, counts binary")
-    index = again.groupBy("part").applyInArrow(lambda t: indexed(t, num, den), "digest binary, n long, keys binary, sigs array<long>")
+    again = dealt(docs, k, bits).groupBy("bucket").applyInArrow(counted, f"{PACKED}, counts binary")
+    index = again.groupBy("pack").applyInArrow(lambda t: indexed(t, num, den), "digest binary, n long, keys binary, sigs array<long>")
     index = written(index, "jaccard-index")
 
     tagged = index.select("digest", F.explode("sigs").alias("sig"))
@@ -341,7 +338,8 @@ def join_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
     counts = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = groups.join(counts, "root").select("root", "blocks", F.substring("node", 1, 16).alias("digest"), F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.when(F.substring("node", 17, 1) == F.lit(b"\1"), 1).otherwise(0).alias("odd"))
     own = F.floor(F.log(F.col("n").cast("double")) / math.log(RATIO) + 1e-9)
-    held = placed.join(index.select("digest", "n", "keys"), "digest").join(reps.select("digest", "copies"), "digest")
+    known = index.select("digest", "n", "keys").join(placed.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    held = placed.join(known, "digest").join(reps.select("digest", "copies"), "digest")
     held = held.withColumn("tag", F.when(F.pmod(own, F.lit(2)) == F.col("odd"), own).otherwise(own + 1).cast("long"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("one"), F.greatest("block", o).alias("two"), (F.col("block") > o).cast("int").alias("side")))
     held = held.select("root", "digest", "n", "keys", "copies", "tag", F.explode(pairs).alias("p")).select("root", "digest", "n", "keys", "copies", "tag", "p.*")
@@ -352,6 +350,6 @@ def join_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
     by_class = joined.join(reps, joined["node"] == reps["digest"]).groupBy("root").agg(F.min("rep").alias("component"))
     degree = found.groupBy("digest").agg(F.sum("links").alias("links"))
     wide = joined.join(by_class, "root").select(F.col("node").alias("digest"), "component").join(degree, "digest", "left")
-    known = reps.join(wide, "digest", "left").select("digest", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    full = base.where("n_shingles > 0").join(known, "digest").select("doc_id", "n_shingles", "component_id", "n_links")
+    whole = reps.join(wide, "digest", "left").select("digest", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    full = base.where("n_shingles > 0").join(whole, "digest").select("doc_id", "n_shingles", "component_id", "n_links")
     return full.unionByName(base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
