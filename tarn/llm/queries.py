@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, licenses, minhash, mixing, secrets, toxicity
+from . import ann, bpe, chat, jaccard, licenses, minhash, mixing, secrets, toxicity
 from .common import crc_mod, table
 
 #: What a tokenizer folder's rank file for many languages is called.
@@ -87,6 +87,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), sha(said(base)).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 10 nearest of each row whose vec_id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(ann.index(vectors), vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links: three-word shingles, links at a Jaccard similarity of 0.9."""
     return jaccard.join_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, num=90, den=100)
