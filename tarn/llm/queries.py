@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, jaccard, licenses, minhash, mixing, secrets, toxicity
+from . import ann, bpe, chat, jaccard, licenses, lm, minhash, mixing, secrets, toxicity
 from .common import crc_mod, table
 
 #: What a tokenizer folder's rank file for many languages is called.
@@ -78,6 +78,13 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edit_check(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; ids whose crc32 is 2 modulo 7 are held out."""
+    apart = crc_mod(F.col("doc_id"), 7) == 2
+    scored = lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~apart)
+    return scored.select("doc_id", apart.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     docs = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
