@@ -166,18 +166,26 @@ def codec(held: Broadcast) -> Codec:
     return kept["codec"][1]
 
 
-def encode_texts(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs -> their columns and ids (array of int). ranks: path of the rank file, read by the driver."""
+def encode_texts(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
+    """docs -> their columns and ids (array of int). ranks: path of the rank file, read by the driver.
+
+    check: name of a further column that tells whether the ids decode to the text's bytes.
+    """
     held = shared(docs, ranks, pattern)
-    docs, schema = extended(docs, **{ids: "array<int>"})
+    docs, schema = extended(docs, **{ids: "array<int>"} | ({check: "boolean"} if check else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(held)
         for b in batches:
-            found = [np.array(coder.encode(t or ""), np.int32) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            flat = pa.array(np.concatenate(found) if found else np.array([], np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], [*b.schema.names, ids])
+            for s in range(0, b.num_rows, 1000):
+                part = b.slice(s, 1000)
+                texts = [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+                found = [np.array(coder.encode(t), np.int32) for t in texts]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                more = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))]
+                if check:
+                    more.append(pa.array([coder.decode(x.tolist()) == t.encode() for t, x in zip(texts, found, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], schema.names)
 
     return docs.mapInArrow(run, schema)
 
