@@ -1,0 +1,4 @@
+"""Nothing here: the engine that this one answers to has no streaming operators.
+
+Filters, projections and joins with static tables are functions of DataFrames and take streaming ones too.
+"""
