@@ -38,7 +38,7 @@ from .common import written
 
 OWN, BUCKETS, HEAD = 191, 64, 1 << 17
 CLASSES, END = OWN + 1 + BUCKETS, OWN
-DIM, CONTEXT, NOISE, TIMES, BATCH, RATE = 16, 6, 64, 8.0, 1024, 0.15
+DIM, CONTEXT, NOISE, TIMES, BATCH, RATE = 16, 5, 64, 8.0, 1024, 0.15
 #: Distinct words that a task counts before it passes the counts on.
 FLUSH = 300_000
 
@@ -84,19 +84,40 @@ class Vocabulary:
         """What a broadcast can carry to workers that lack this module."""
         return list(self.cls), self.logs, self.divisors, self.shares
 
-    def classes(self, words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
+    def known(self) -> Words:
+        return Words(self)
+
+
+class Words(dict):
+    """A worker's memory of words: word -> its number in the columns cls, log (log10 of count + 1) and inside (the log of a
+    word's own share of its bucket, but for the divisor); a word outside the head has log NaN."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.of = vocabulary
+        self.columns = np.zeros((3, 1024))
+
+    def __missing__(self, word: bytes) -> int:
+        n = len(self)
+        if n == self.columns.shape[1]:
+            self.columns = np.concatenate([self.columns, np.zeros_like(self.columns)], axis=1)
+        own = self.of.cls.get(word)
+        log = self.of.logs.get(word, math.nan)
+        self.columns[:, n] = bucket_class(word) if own is None else own, log, 0.0 if own is not None else log
+        self[word] = n
+        return n
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+    def classes(self, words: list[bytes]) -> np.ndarray:
         """Class numbers of a text's words, then its end."""
-        get = memo.get
-        out = np.fromiter(((c if (c := get(w)) is not None else self._class(w, memo)) for w in words), np.int32, len(words))
-        return np.append(out, np.int32(END))
+        at = self.numbers(words)  # first, for it may replace the columns
+        return np.append(self.columns[0][at].astype(np.int32), np.int32(END))
 
-    def _class(self, word: bytes, memo: dict[bytes, int]) -> int:
-        if len(memo) > FLUSH:
-            memo.clear()
-        c = memo[word] = self.cls.get(word, -1)
-        if c < 0:
-            c = memo[word] = bucket_class(word)
-        return c
+    def rest(self) -> None:
+        """Forget all, if that is much; between texts only."""
+        if len(self) > FLUSH:
+            self.clear()
 
 
 class Model:
@@ -129,18 +150,20 @@ class Model:
             q += vectors[before[:, i]] * weights[i]
         return q
 
-    def log_probs(self, before: np.ndarray, then: np.ndarray, size: int = 2048) -> np.ndarray:
+    def log_probs(self, before: np.ndarray, then: np.ndarray, size: int = 1024) -> np.ndarray:
         """Natural logs of P(then | before), normalised over all classes."""
         out = np.empty(len(then), np.float32)
-        outputs, bias = np.ascontiguousarray(self.parts[2].T), self.parts[3]
+        outputs = np.concatenate([self.parts[2].T, self.parts[3][None, :]])
         for s in range(0, len(then), size):
-            z = self.context(before[s : s + size]) @ outputs
-            z += bias
+            q = self.context(before[s : s + size])
+            z = np.concatenate([q, np.ones((len(q), 1), np.float32)], axis=1) @ outputs
             own = z[np.arange(len(z)), then[s : s + size]]
-            top = z.max(axis=1)
-            z -= top[:, None]
+            if z.max() > 60:  # else exp can't overflow
+                top = z.max(axis=1)
+                z -= top[:, None]
+                own = own - top
             np.exp(z, out=z)
-            out[s : s + size] = own - top - np.log(z.sum(axis=1))
+            out[s : s + size] = own - np.log(z.sum(axis=1))
         return out
 
     def train(self, before: np.ndarray, then: np.ndarray, shares: np.ndarray, past: list[np.ndarray], rng: np.random.Generator) -> None:
@@ -196,7 +219,7 @@ def fit(texts: DataFrame, vocabulary: Vocabulary) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(*held.value)
-        model, memo, waiting, tokens = Model.start(v.shares), {}, [], 0
+        model, memo, waiting, tokens = Model.start(v.shares), v.known(), [], 0
         past = [np.full(s, 1e-6) for s in Model.SHAPES]
         rng = np.random.default_rng(TaskContext.get().partitionId())
 
@@ -210,7 +233,8 @@ def fit(texts: DataFrame, vocabulary: Vocabulary) -> Model:
         size = 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                waiting.append(v.classes(words_of(t), memo))
+                waiting.append(memo.classes(words_of(t)))
+                memo.rest()
                 size += len(waiting[-1])
                 if size > 1 << 17:
                     tokens, size = tokens + learn(), 0
@@ -236,8 +260,19 @@ def fit(texts: DataFrame, vocabulary: Vocabulary) -> Model:
 
 
 def vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
-    """The head words (at most HEAD reach the driver) and the buckets' sums, over all words that have no class of their own."""
-    head = counts.orderBy(F.col("c").desc(), "word").limit(HEAD).collect()
+    """The head words and the buckets' sums, over all words that have no class of their own.
+
+    The head are the words of the highest frequency bands (64 to a factor of e) that hold HEAD words at most
+    together; bands are counted first, so no more than the head leaves the executors.
+    """
+    band = F.floor(F.log(F.col("c").cast("double")) * 64)
+    least, n = 10**9, 0
+    for r in sorted(counts.groupBy(band.alias("b")).count().collect(), key=lambda r: -r["b"]):
+        n += r["count"]
+        if n > HEAD:
+            break
+        least = r["b"]
+    head = sorted(counts.where(band >= least).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
     own = [bytes(r["word"]) for r in head[:OWN]]
     tail_class = F.lit(OWN + 1) + F.pmod(F.crc32(F.expr("substring(word, -3)")), F.lit(BUCKETS))
     sums = counts.withColumn("g", tail_class).groupBy("g").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
@@ -270,25 +305,26 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, flat = Vocabulary(*held.value[0]), held.value[1]
-        m, memo, at = Model.of(flat), {}, TaskContext.get().partitionId() << 36
-        logs, own, divisors = v.logs, v.cls, v.divisors
+        m, memo, at = Model.of(flat), v.known(), TaskContext.get().partitionId() << 36
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
+                memo.rest()
                 words = [words_of(t) for t in part.column(1).to_pylist()]
-                classes = [v.classes(w, memo) for w in words]
-                before, then = windows(classes)
-                n = np.array([len(c) for c in classes])
+                numbers = [memo.numbers(w) for w in words]
+                cls, log, own = memo.columns
+                before, then = windows([np.append(cls[x].astype(np.int32), np.int32(END)) for x in numbers])
+                n = np.array([len(x) + 1 for x in numbers])
                 starts = np.append(0, np.cumsum(n)[:-1])
-                neural = np.add.reduceat(m.log_probs(before, then).astype(np.float64), starts) / math.log(10) - np.add.reduceat(divisors[then], starts)
+                neural = np.add.reduceat(m.log_probs(before, then).astype(np.float64), starts) / math.log(10) - np.add.reduceat(v.divisors[then], starts)
                 known, base, inside, tails = [], [], [], []
-                for w in words:
-                    found = [logs.get(x) for x in w]
-                    tail = [x for x, y in zip(w, found, strict=True) if y is None]
-                    known.append(len(w) - len(tail) + (n_texts > 0))
-                    base.append(sum(y for y in found if y is not None) + end_log)
-                    inside.append(sum(logs[x] for x in w if x not in own and x in logs))
-                    tails.append(tail)
+                for w, x in zip(words, numbers, strict=True):
+                    mine = log[x]
+                    out = np.flatnonzero(np.isnan(mine)).tolist()
+                    tails.append([w[i] for i in out])
+                    known.append(len(w) - len(out) + (n_texts > 0))
+                    base.append(float(np.nansum(mine)) + end_log)
+                    inside.append(float(np.nansum(own[x])))
                 columns = [pa.array(np.arange(at, at + len(n)), pa.int64()), part.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(neural + np.array(inside)), pa.array(tails, pa.list_(pa.binary()))]
                 at += len(n)
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "known", "base", "neural", "tail"])
