@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended
+from .common import extended, written
 
 #: Labelled documents of each label in the training sample; features; prefix lengths.
 TRAIN_EACH, FEATURES, PREFIXES = 4000, 4096, range(4, 9)
@@ -124,42 +124,73 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(rows: list[tuple[set[str], int]], pairs: list[tuple[set[bytes], set[bytes]]], share: float, steps: int = STEPS) -> Model:
-    """rows: (features, label). Accelerated gradient descent on the regularised loss; share: of label 1, for want of rows."""
+def counted(words: DataFrame) -> DataFrame:
+    """distinct_words() -> feature, one, zero: how many documents of each label have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for b in batches:
+            for label, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.update((f, label) for f in features({w.encode() for w in own}))
+                if len(held) > 200_000:
+                    yield flush(held)
+        if held:
+            yield flush(held)
+
+    def flush(held: Counter) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([f for f, _ in held], pa.string()), pa.array([n * t for (_, t), n in held.items()], pa.int64()), pa.array([n * (1 - t) for (_, t), n in held.items()], pa.int64())], ["feature", "one", "zero"])
+        held.clear()
+        return out
+
+    rows = words.select(F.col("toxic").cast("int").alias("toxic"), "words").mapInArrow(run, "feature string, one long, zero long")
+    return rows.groupBy("feature").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
+
+
+def significant(counts: DataFrame, pos: int, neg: int) -> list[str]:
+    """The FEATURES features of largest significance of their log odds, where that is LEAST_Z at least."""
+    a, b = F.col("one") + 0.5, F.col("zero") + 0.5
+    z = (F.log(a / (pos - F.col("one") + 0.5)) - F.log(b / (neg - F.col("zero") + 0.5))) / F.sqrt(1 / a + 1 / b)
+    kept = counts.where(F.col("one") + F.col("zero") >= LEAST_DOCS).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z)
+    return [r["feature"] for r in kept.orderBy(F.col("z").desc(), "feature").limit(FEATURES).collect()]
+
+
+def hits(words: DataFrame, kept: list[str]) -> list[tuple[list[int], int]]:
+    """distinct_words() -> (numbers in kept of the features that it has, label) of each document, by doc_id."""
+    held = words.sparkSession.sparkContext.broadcast(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {f: i for i, f in enumerate(held.value)}
+        for b in batches:
+            found = [sorted(at[f] for f in features({w.encode() for w in own}) if f in at) for own in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "found"])
+
+    kind = words.schema["doc_id"].dataType.simpleString()
+    rows = words.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "words").mapInArrow(run, f"doc_id {kind}, toxic int, found array<int>")
+    return [(r["found"], r["toxic"]) for r in rows.orderBy("doc_id").collect()]
+
+
+def fit(kept: list[str], rows: list[tuple[list[int], int]], pairs: list[tuple[set[bytes], set[bytes]]], steps: int = STEPS) -> Model:
+    """rows: (numbers in kept, label), of both labels. Accelerated gradient descent on the regularised loss."""
     y = np.array([t for _, t in rows], float)
     pos, neg = y.sum(), (1 - y).sum()
-    if not pos or not neg:
-        return Model({}, float(np.log(share / (1 - share))))
-    one, zero = Counter(), Counter()
-    for f, t in rows:
-        (one if t else zero).update(f)
-    odds = {}
-    for f in {*one, *zero}:
-        a, b = one[f], zero[f]
-        if a + b >= LEAST_DOCS:
-            z = (np.log((a + 0.5) / (pos - a + 0.5)) - np.log((b + 0.5) / (neg - b + 0.5))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            if abs(z) >= LEAST_Z:
-                odds[f] = abs(z)
-    kept = sorted(odds, key=lambda f: (-odds[f], f))[:FEATURES]
     at = {f: i for i, f in enumerate(kept)}
-    terms = [t for g in IDENTITIES for t in g]
-    for t in terms:
-        for f in word_features(t.encode()):
-            at.setdefault(f, len(at))
 
     def sparse(sets: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
         cols = [sorted(at[f] for f in s if f in at) for s in sets]
         return np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.array([c for x in cols for c in x], np.int64)
 
     n = len(at)
-    r, c = sparse([f for f, _ in rows])
+    r = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
+    c = np.array([i for f, _ in rows for i in f], np.int64)
     pa_, pb = (sparse([features(p[i]) for p in pairs]) for i in (0, 1))
     weight = np.where(y == 1, 0.5 / pos, 0.5 / neg)  # both labels count alike here; the intercept is set afterwards
     w, b, vw, vb = np.zeros(n), 0.0, np.zeros(n), 0.0
     m = max(1, len(pairs))
-    # A bound on the curvature, for the step: the largest row norm, of the documents and of the swaps.
-    norm = max(1, np.bincount(r).max() if len(r) else 1)
-    step = 1.0 / (0.25 * norm + 1e-3 + 2 * LAMBDA * 32 / m)
+    # A bound on the curvature, for the step: the largest column sum of X'WX, and that of the swaps' part.
+    docs_part = np.bincount(c, (weight * (1 + np.bincount(r, minlength=len(y))))[r], n).max(initial=1)
+    both_r, both_c = np.concatenate([pa_[0], pb[0]]), np.concatenate([pa_[1], pb[1]])
+    swap_part = np.bincount(both_c, np.bincount(both_r, minlength=m)[both_r], n).max(initial=0) / m
+    step = 1.0 / (0.25 * (docs_part + 1) + L2 + 2 * LAMBDA * swap_part)
     for i in range(steps):
         lw, lb = w + i / (i + 3) * (w - vw), b + i / (i + 3) * (b - vb)
         vw, vb = w, b
@@ -174,7 +205,8 @@ def fit(rows: list[tuple[set[str], int]], pairs: list[tuple[set[bytes], set[byte
 def train(docs: DataFrame, labels: DataFrame, learn: Column, each: int = TRAIN_EACH) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic); learn: a condition on doc_id that its labels may be learnt from.
 
-    Only the sample's distinct words and mentions reach the driver: at most 2 * each documents.
+    Of the sample (at most 2 * each documents) only the counts of the best features, which of them each
+    document has, and its mentions of identities reach the driver.
     """
     known = labels.where(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {t: n for t, n in known.groupBy("toxic").count().collect()}
@@ -182,12 +214,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, each: int = TRAIN_E
     key = F.md5(F.col("doc_id").cast("string").cast("binary"))
     some = [known.where(F.col("toxic") == t).orderBy(key, "doc_id").limit(each) for t in (0, 1)]
     chosen = some[0].unionByName(some[1])
-    # Of repeated documents one is learnt from, the least text.
+    # Of repeated documents one is learnt from, the one of fewest and least words.
     sample = docs.join(F.broadcast(chosen), "doc_id")
-    found = distinct_words(sample).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.size("words").alias("n"), F.array_sort("words").alias("words"), F.array_sort("sentences").alias("sentences"))).alias("x")).orderBy("doc_id").collect()
-    rows = [(features({w.encode() for w in r["x"]["words"]}), r["toxic"]) for r in found]
-    said = [(s, r["toxic"]) for r in found for s in r["x"]["sentences"]]
-    return fit(rows, swaps(said), share)
+    one = F.min(F.struct(F.size("words").alias("n"), F.array_sort("words").alias("words"), F.array_sort("sentences").alias("sentences"))).alias("x")
+    words = written(distinct_words(sample).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), one).select("doc_id", "toxic", "x.words", "x.sentences"), "toxicity-sample")
+    found = {r["toxic"]: r["n"] for r in words.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(found) < 2:
+        return Model({}, float(np.log(share / (1 - share))))
+    kept = significant(counted(words), found[1], found[0])
+    said = [(r["s"], r["toxic"]) for r in words.select("doc_id", "toxic", F.explode("sentences").alias("s")).orderBy("doc_id", "s").collect()]
+    return fit(kept, hits(words, kept), swaps(said))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
