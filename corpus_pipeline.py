@@ -20,11 +20,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def keyed(docs: DataFrame) -> DataFrame:
     """docs + key: what names a document; it orders by doc_id first."""
-    return docs.withColumn("key", F.struct("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text")))
+    return docs.select(*COLUMNS).withColumn("key", F.struct("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text")))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels that op1 may learn from, rejects go."""
+    docs = docs.select(*COLUMNS)
     model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), crc_mod(F.col("doc_id"), 5) != 0)
     return toxicity.score(docs, model, out="toxicity").where("toxicity < 0.5").select(*COLUMNS)
 
@@ -42,7 +43,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found is replaced by a mark of its kind; n_chars follows the text; all documents stay."""
-    cleaned = secrets.scan(docs, redacted="cleaned")
+    cleaned = secrets.scan(docs.select(*COLUMNS), redacted="cleaned")
     changed = F.col("cleaned") != F.col("text")
     return cleaned.withColumn("n_chars", F.when(changed, F.length("cleaned").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.col("cleaned")).select(*COLUMNS)
 

@@ -1,7 +1,7 @@
 """Toxicity: a logistic classifier on word features, regularised by counterfactual swaps of identity terms.
 
 Training: a bounded, stratified sample of labelled documents (TRAIN_EACH of each label, those of least
-md5 of their id) gives sets of word features; the FEATURES with the largest significance of their log
+hash of their id) gives sets of word features; the FEATURES with the largest significance of their log
 odds are kept. The loss is the logistic one, plus an L2 term, plus LAMBDA times the mean squared change
 of the logit when a sentence's identity terms are swapped for others of their group (sentences of the
 sample that hold such terms, and frames of neutral mentions), which takes weight away from the terms
@@ -208,11 +208,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, each: int = TRAIN_E
     Of the sample (at most 2 * each documents) only the counts of the best features, which of them each
     document has, and its mentions of identities reach the driver.
     """
+    docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", "toxic")
     known = labels.where(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {t: n for t, n in known.groupBy("toxic").count().collect()}
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-    key = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    some = [known.where(F.col("toxic") == t).orderBy(key, "doc_id").limit(each) for t in (0, 1)]
+    # Those of least hash: first a range of hashes that about twice as many share, so that few rows are sorted.
+    key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    some = [known.where((F.col("toxic") == t) & (key < int((1 << 40) * min(1, (2 * each + 200) / counts.get(t, 1))))).orderBy(key, "doc_id").limit(each) for t in (0, 1)]
     chosen = some[0].unionByName(some[1])
     # Of repeated documents one is learnt from, the one of fewest and least words.
     sample = docs.join(F.broadcast(chosen), "doc_id")
