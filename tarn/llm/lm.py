@@ -38,7 +38,7 @@ from .common import written
 
 OWN, BUCKETS, HEAD = 191, 64, 1 << 17
 CLASSES, END = OWN + 1 + BUCKETS, OWN
-DIM, CONTEXT, NOISE, TIMES, BATCH, RATE = 16, 5, 64, 8.0, 1024, 0.15
+DIM, CONTEXT, NOISE, TIMES, BATCH, RATE = 16, 5, 48, 8.0, 2048, 0.15
 #: Distinct words that a task counts before it passes the counts on.
 FLUSH = 300_000
 
@@ -89,20 +89,19 @@ class Vocabulary:
 
 
 class Words(dict):
-    """A worker's memory of words: word -> its number in the columns cls, log (log10 of count + 1) and inside (the log of a
-    word's own share of its bucket, but for the divisor); a word outside the head has log NaN."""
+    """A worker's memory of words: word -> its number in the columns cls and log (log10 of its count + 1; NaN outside the head)."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.of = vocabulary
-        self.columns = np.zeros((3, 1024))
+        self.own, self.logs = vocabulary.cls.get, vocabulary.logs.get
+        self.cls, self.log = np.zeros(1024, np.int32), np.zeros(1024)
 
     def __missing__(self, word: bytes) -> int:
         n = len(self)
-        if n == self.columns.shape[1]:
-            self.columns = np.concatenate([self.columns, np.zeros_like(self.columns)], axis=1)
-        own = self.of.cls.get(word)
-        log = self.of.logs.get(word, math.nan)
-        self.columns[:, n] = bucket_class(word) if own is None else own, log, 0.0 if own is not None else log
+        if n == len(self.cls):
+            self.cls, self.log = (np.concatenate([x, np.zeros_like(x)]) for x in (self.cls, self.log))
+        own = self.own(word)
+        self.cls[n] = bucket_class(word) if own is None else own
+        self.log[n] = self.logs(word, math.nan)
         self[word] = n
         return n
 
@@ -112,7 +111,7 @@ class Words(dict):
     def classes(self, words: list[bytes]) -> np.ndarray:
         """Class numbers of a text's words, then its end."""
         at = self.numbers(words)  # first, for it may replace the columns
-        return np.append(self.columns[0][at].astype(np.int32), np.int32(END))
+        return np.append(self.cls[at], np.int32(END))
 
     def rest(self) -> None:
         """Forget all, if that is much; between texts only."""
@@ -142,22 +141,27 @@ class Model:
         cuts = np.cumsum([math.prod(s) for s in cls.SHAPES])[:-1]
         return cls([np.array(x, np.float32).reshape(s) for x, s in zip(np.split(flat, cuts), cls.SHAPES, strict=True)])
 
-    def context(self, before: np.ndarray) -> np.ndarray:
+    def tables(self) -> np.ndarray:
+        """What a class adds to the context vector from each distance: (CONTEXT, CLASSES, DIM)."""
+        return self.parts[0][None] * self.parts[1][:, None]
+
+    @staticmethod
+    def context(tables: np.ndarray, before: np.ndarray) -> np.ndarray:
         """before (n, CONTEXT) class numbers, nearest first -> context vectors (n, DIM)."""
-        vectors, weights = self.parts[0], self.parts[1]
-        q = vectors[before[:, 0]] * weights[0]
+        q = tables[0].take(before[:, 0], axis=0)
         for i in range(1, CONTEXT):
-            q += vectors[before[:, i]] * weights[i]
+            q += tables[i].take(before[:, i], axis=0)
         return q
 
     def log_probs(self, before: np.ndarray, then: np.ndarray, size: int = 1024) -> np.ndarray:
         """Natural logs of P(then | before), normalised over all classes."""
         out = np.empty(len(then), np.float32)
-        outputs = np.concatenate([self.parts[2].T, self.parts[3][None, :]])
+        tables, outputs = self.tables(), np.concatenate([self.parts[2].T, self.parts[3][None, :]])
+        rows = np.arange(size)
         for s in range(0, len(then), size):
-            q = self.context(before[s : s + size])
+            q = self.context(tables, before[s : s + size])
             z = np.concatenate([q, np.ones((len(q), 1), np.float32)], axis=1) @ outputs
-            own = z[np.arange(len(z)), then[s : s + size]]
+            own = z[rows[: len(z)], then[s : s + size]]
             if z.max() > 60:  # else exp can't overflow
                 top = z.max(axis=1)
                 z -= top[:, None]
@@ -172,24 +176,29 @@ class Model:
         A step's positions share NOISE samples; each stands for TIMES / NOISE draws of noise for every position.
         """
         vectors, weights, outputs, bias = self.parts
+        np.seterr(over="ignore")  # exp of a large score: the gradient is then 0, as it should be
         add = np.log(TIMES * shares).astype(np.float32)
         up_to = np.cumsum(shares)
         for s in range(0, len(then), BATCH):
             b, t = before[s : s + BATCH], then[s : s + BATCH]
             n = len(t)
             noise = np.minimum(np.searchsorted(up_to, rng.random(NOISE)), CLASSES - 1)
-            seen = vectors[b]
-            q = np.einsum("ncd,cd->nd", seen, weights)
-            g_own = 1 / (1 + np.exp(np.clip((q * outputs[t]).sum(axis=1) + bias[t] - add[t], -30, 30))) / n
-            z = q @ outputs[noise].T
-            z += bias[noise] - add[noise]
-            g_noise = (-TIMES / NOISE / n) / (1 + np.exp(-np.clip(z, -30, 30)))
-            gq = g_own[:, None] * outputs[t] + g_noise @ outputs[noise]
+            q = self.context(self.tables(), b)
+            mine, others = outputs.take(t, axis=0), outputs.take(noise, axis=0)
+            g_own = 1 / (1 + np.exp((q * mine).sum(axis=1) + (bias - add)[t])) / n
+            z = q @ others.T
+            z += (bias - add)[noise]
+            np.negative(z, out=z)
+            np.exp(z, out=z)
+            z += 1
+            g_noise = np.divide(np.float32(-TIMES / NOISE / n), z, out=z)
+            gq = g_own[:, None] * mine + g_noise @ others
             go = _summed(t, g_own[:, None] * q, CLASSES)
             np.add.at(go, noise, g_noise.T @ q)
             gb = np.bincount(t, g_own, CLASSES) + np.bincount(noise, g_noise.sum(axis=0), CLASSES)
-            gw = np.einsum("ncd,nd->cd", seen, gq)
-            gv = sum(_summed(b[:, i], gq * weights[i], CLASSES) for i in range(CONTEXT))
+            each = [_summed(b[:, i], gq, CLASSES) for i in range(CONTEXT)]
+            gv = sum(e * w for e, w in zip(each, weights, strict=True))
+            gw = np.stack([(e * vectors).sum(axis=0) for e in each])
             for p, g, h in zip(self.parts, (gv, gw, go, gb), past, strict=True):
                 h += g * g
                 p += (RATE * g / np.sqrt(h + 1e-10)).astype(np.float32)
@@ -198,7 +207,8 @@ class Model:
 def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Rows of values summed by row number."""
     width = values.shape[1]
-    return np.bincount((rows.astype(np.int64)[:, None] * width + np.arange(width)).ravel(), values.ravel(), n * width).reshape(n, width)
+    at = np.add.outer(rows.astype(np.int64) * width, np.arange(width))
+    return np.bincount(at.ravel(), values.ravel(), n * width).reshape(n, width)
 
 
 def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -312,8 +322,8 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                 memo.rest()
                 words = [words_of(t) for t in part.column(1).to_pylist()]
                 numbers = [memo.numbers(w) for w in words]
-                cls, log, own = memo.columns
-                before, then = windows([np.append(cls[x].astype(np.int32), np.int32(END)) for x in numbers])
+                cls, log = memo.cls, memo.log
+                before, then = windows([np.append(cls[x], np.int32(END)) for x in numbers])
                 n = np.array([len(x) + 1 for x in numbers])
                 starts = np.append(0, np.cumsum(n)[:-1])
                 neural = np.add.reduceat(m.log_probs(before, then).astype(np.float64), starts) / math.log(10) - np.add.reduceat(v.divisors[then], starts)
@@ -324,7 +334,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                     tails.append([w[i] for i in out])
                     known.append(len(w) - len(out) + (n_texts > 0))
                     base.append(float(np.nansum(mine)) + end_log)
-                    inside.append(float(np.nansum(own[x])))
+                    inside.append(float(np.nansum(mine[cls[x] > END])))
                 columns = [pa.array(np.arange(at, at + len(n)), pa.int64()), part.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(neural + np.array(inside)), pa.array(tails, pa.list_(pa.binary()))]
                 at += len(n)
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "known", "base", "neural", "tail"])
