@@ -9,7 +9,7 @@
    of as many shingles as a linked set may lack removes every signature. Signatures are single rare
    shingles, and pairs of frequent ones within one of G classes: m frequent shingles of a class must
    lose m - 1 before their pairs are gone, so prefixes with pairs are longer and their lists shorter.
-   G depends on the size class (sizes within a factor of 1.5); a node also indexes in the next class
+   G depends on the size class (sizes within a factor of RATIO); a node also indexes in the next class
    where its partners may be there, so any two linkable nodes meet in the larger one's class.
 4. Nodes that share signatures form candidate groups (components of star edges). A group is compared
    in pairs of blocks of at most 256 nodes by counting common repeated shingles, which is exact; each
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .graph import components
 
-#: Shingles in a bucket, on average; nodes in a block; ratio of a size class; most nodes that share a rare shingle.
+#: Shingles in a bucket, on average; nodes in a block; least ratio of a size class; most nodes that share a rare shingle.
 BUCKET, BLOCK, RATIO, RARE = 1 << 21, 256, 1.5, 8
 #: Hashed words that a worker remembers before it forgets all of them; most shingles (but for the last text's) and texts of a pack.
 MEMO, PACK_SHINGLES, PACK_DOCS = 200_000, 1 << 20, 50_000
@@ -184,8 +184,13 @@ def counted(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[2:])], [*PACK, "counts"])
 
 
-def size_class(n: np.ndarray | int) -> np.ndarray:
-    return np.floor(np.log(n) / math.log(RATIO) + 1e-9).astype(np.int64)
+def ratio_of(num: int, den: int) -> float:
+    """The ratio of size classes: linked sets are in the same or neighbouring ones."""
+    return max(RATIO, den / num)
+
+
+def size_class(n: np.ndarray | int, ratio: float) -> np.ndarray:
+    return np.floor(np.log(n) / math.log(ratio) + 1e-9).astype(np.int64)
 
 
 def lacking(n: int, num: int, den: int) -> int:
@@ -195,7 +200,7 @@ def lacking(n: int, num: int, den: int) -> int:
 
 def groups_of(tag: int, num: int, den: int) -> int:
     """Classes of frequent shingles in a size class; 0: single shingles only."""
-    n = RATIO**tag
+    n = ratio_of(num, den) ** tag
     return 0 if n < 40 else max(1, round((den - num) / den * n / 4))
 
 
@@ -207,10 +212,11 @@ def signatures(n: int, keys: np.ndarray, counts: np.ndarray, num: int, den: int)
     need = lacking(n, num, den) + 1 - (n - len(keys))
     if need <= 0:
         return np.array([], np.uint64)
-    own = int(size_class(n))
+    ratio = ratio_of(num, den)
+    own = int(size_class(n, ratio))
     out = []
     for tag in (own, own + 1):
-        if tag > own and size_class(max(1, den * n // num)) < tag:
+        if tag > own and size_class(max(1, den * n // num), ratio) < tag:
             break
         g = groups_of(tag, num, den)
         paired = counts > RARE if g else np.zeros(len(keys), bool)
@@ -295,7 +301,8 @@ def linked(group: pa.Table, num: int, den: int) -> pa.Table:
         common = overlaps([keys[i] for i in left], [keys[i] for i in right])
         a, b = n[left][:, None], n[right][None, :]
         ok = common * den >= num * (a + b - common)
-        ok &= np.maximum(size_class(a), size_class(b)) == tag
+        ratio = ratio_of(num, den)
+        ok &= np.maximum(size_class(a, ratio), size_class(b, ratio)) == tag
         if same:
             np.fill_diagonal(ok, False)
         root = list(range(len(n)))
@@ -337,7 +344,7 @@ def join_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
     groups = written(components(edges), "jaccard-groups")
     counts = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = groups.join(counts, "root").select("root", "blocks", F.substring("node", 1, 16).alias("digest"), F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.when(F.substring("node", 17, 1) == F.lit(b"\1"), 1).otherwise(0).alias("odd"))
-    own = F.floor(F.log(F.col("n").cast("double")) / math.log(RATIO) + 1e-9)
+    own = F.floor(F.log(F.col("n").cast("double")) / math.log(ratio_of(num, den)) + 1e-9)
     known = index.select("digest", "n", "keys").join(placed.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
     held = placed.join(known, "digest").join(reps.select("digest", "copies"), "digest")
     held = held.withColumn("tag", F.when(F.pmod(own, F.lit(2)) == F.col("odd"), own).otherwise(own + 1).cast("long"))
