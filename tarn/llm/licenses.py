@@ -13,6 +13,7 @@ other columns pass through unless named like a result, which replaces them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -169,7 +170,10 @@ def rules() -> list[Rule]:
     return out
 
 
-DETECTIONS = "array<struct<start:int,stop:int,ord:int,priority:int,confidence:double,base:boolean,label:string>>"
+#: Sorts by place, the longer first, then the one that outranks: less, rank are the negatives of stop and priority.
+DETECTIONS = "array<struct<start:int,less:int,rank:int,ord:int,confidence:double,base:boolean,label:string>>"
+#: Elements that running() handles at a time; distances that settled() tries as bounds.
+CHUNK, REACH = 256, (16, 64, 256, 1024)
 
 
 def canonical(text: Column) -> Column:
@@ -187,24 +191,45 @@ def detections(s: Column, which: list[Rule]) -> Column:
     def places(r: Column) -> Column:
         gaps, hits = F.split(s, r["pattern"], -1), F.regexp_extract_all(s, r["pattern"], F.lit(0))
         steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(words(g).alias("gap"), words(h).alias("long")))
-        one = lambda start, long: F.struct(start.alias("start"), (start + long).alias("stop"), r["ord"], r["priority"], r["confidence"], r["base"], r["label"])
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(DETECTIONS).alias("found"))
-        add = lambda a, x: F.struct((a["at"] + x["gap"] + x["long"]).alias("at"), F.concat(a["found"], F.array(one(a["at"] + x["gap"], x["long"]))).alias("found"))
-        return F.aggregate(steps, start, add, lambda a: a["found"])
+        one = lambda at, x: F.struct((at + x["gap"]).alias("start"), (-at - x["gap"] - x["long"]).alias("less"), (-r["priority"]).alias("rank"), r["ord"], r["confidence"], r["base"], r["label"])
+        return let(steps, lambda x: running(x, one))
 
     return F.flatten(F.transform(F.filter(table, lambda r: F.contains(s, r["keyword"])), places))
 
 
-def settled(found: Column) -> Column:
-    """The detections that no other one contains and outranks."""
-    by_start = F.array_sort(found)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once, however often body and its lambdas name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(steps: Column, one: Callable[[Column, Column], Column]) -> Column:
+    """one(words before the step, step) for each step (gap, long), in time about linear in their number: totals of
+    chunks first, then each chunk from where it starts."""
+    none = F.array().cast("array<int>")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")), lambda c: F.slice(steps, c * CHUNK + 1, CHUNK))
+    total = lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x["gap"] + x["long"])
+    add = lambda a, p: F.struct((a["at"] + total(p)).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all"))
+    starts = lambda ps: F.aggregate(ps, F.struct(F.lit(0).alias("at"), none.alias("all")), add, lambda a: a["all"])
+    empty = F.array().cast(DETECTIONS)
+    step = lambda a, x: F.struct((a["at"] + x["gap"] + x["long"]).alias("at"), F.concat(a["found"], F.array(one(a["at"], x))).alias("found"))
+    within = lambda p, at: F.aggregate(p, F.struct(at.alias("at"), empty.alias("found")), step, lambda a: a["found"])
+    return F.when(F.size(steps) > 0, let(parts, lambda ps: F.flatten(F.zip_with(ps, starts(ps), within)))).otherwise(empty)
+
+
+def settled(found: Column, longest: int) -> Column:
+    """The detections that no other one contains and outranks. found is sorted, so one that does comes before; and as none
+    is longer than longest words, it is at most as many places back as there are detections within that reach."""
+    n = F.size(found)
+    near = lambda k: F.forall(F.sequence(F.lit(k), n - 1), lambda i: F.get(found, i)["start"] - F.get(found, i - k)["start"] >= longest)
+    reach = n
+    for k in reversed(REACH):
+        reach = F.when((n <= k) | near(k), F.lit(k)).otherwise(reach)
 
     def outranked(d: Column, e: Column) -> Column:
-        longer = e["stop"] - e["start"] - d["stop"] + d["start"]
-        inside = (e["start"] <= d["start"]) & (e["stop"] >= d["stop"])
-        return inside & ((e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & ((longer > 0) | ((longer == 0) & (e["ord"] < d["ord"])))))
+        return (e["start"] <= d["start"]) & (e["less"] <= d["less"]) & ((e["rank"] < d["rank"]) | ((e["rank"] == d["rank"]) & ((e["start"] < d["start"]) | (e["less"] < d["less"]) | (e["ord"] < d["ord"]))))
 
-    return F.filter(by_start, lambda d: d["base"] | ~F.exists(by_start, lambda e: outranked(d, e)))
+    back = lambda i, k: F.slice(found, F.greatest(i + 1 - k, F.lit(1)), F.least(i, k))
+    return let(reach, lambda k: F.filter(found, lambda d, i: d["base"] | ~F.exists(back(i, k), lambda e: outranked(d, e))))
 
 
 def scan(docs: DataFrame, text: str = "text", which: list[Rule] | None = None) -> DataFrame:
@@ -215,8 +240,11 @@ def scan(docs: DataFrame, text: str = "text", which: list[Rule] | None = None) -
         held = held | F.contains(s, F.lit(a))
     df = docs.withColumn("__canonical", canonical(F.col(text)))
     n = F.when(s == "  ", 0).otherwise(F.octet_length(s) - F.octet_length(F.replace(s, F.lit("  "), F.lit(" "))) + 1)
-    df = df.withColumn("n_words", n.cast("long")).withColumn("__all", F.when(held, detections(s, which or rules())).otherwise(F.array().cast(DETECTIONS)))
-    df = df.withColumn("detections", settled(F.col("__all"))).drop("__canonical", "__all")
+    rules_ = which or rules()
+    longest = max(r.pattern.count(" ") for r in rules_) // 2  # a pattern has no unbounded repetition
+    df = df.withColumn("n_words", n.cast("long")).withColumn("__all", F.when(held, detections(s, rules_)).otherwise(F.array().cast(DETECTIONS)))
+    df = df.withColumn("__all", F.array_sort("__all")).withColumn("__all", settled(F.col("__all"), longest))
+    df = df.withColumn("detections", F.transform("__all", lambda d: F.struct(d["start"].alias("start"), (-d["less"]).alias("stop"), d["label"], d["confidence"], d["base"]))).drop("__canonical", "__all")
     base = F.filter("detections", lambda d: d["base"])
     names = lambda ds: F.array_join(F.array_sort(F.array_distinct(F.transform(ds, lambda d: d["label"]))), ",")
     df = df.withColumn("__base", base)

@@ -112,6 +112,17 @@ def test_license_rules_settle_overlaps(spark):
     assert len(licenses.rules()) > 300 and len({(r.label, r.pattern) for r in licenses.rules()}) > 300
 
 
+def test_license_scan_is_linear(spark):
+    """Thousands of detections in one text, over several chunks and reaches."""
+    line = "Released under the MIT License. SPDX-License-Identifier: Apache-2.0 Licensed under CC BY-NC 4.0. "
+    r = licenses.scan(docs_of(spark, [line * 2000])).first()
+    assert (r.n_base, r.first_word, r.last_word) == (4000, 1, 1999 * 18 + 13)
+    per = len(r.detections) // 2000
+    assert r.labels == "apache-2,cc-by-nc,mit" and len(r.detections) == 2000 * per
+    first = [(d.start, d.stop, d.label) for d in r.detections[:per]]
+    assert [(d.start, d.stop, d.label) for d in r.detections[-per:]] == [(a + 1999 * 18, b + 1999 * 18, x) for a, b, x in first]
+
+
 # -- chat
 
 
