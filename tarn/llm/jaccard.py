@@ -27,7 +27,8 @@ table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import texts_of, tidy, written
 from .graph import components
 
 #: Shingles in a bucket, on average; nodes in a block; least ratio of a size class; most nodes that share a rare shingle.
@@ -88,8 +89,13 @@ def sizes(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
         for b in batches:
-            sets = [shingles(t, k, memo) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "digest"])
+            found = []
+            for t in texts_of(b.column(1)):
+                s = shingles(t, k, memo)
+                found.append((len(s), digest(s) if len(s) else None))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], ["doc_id", "n_shingles", "digest"])
+        memo.clear()
+        tidy()
 
     return kept.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary")
 
@@ -140,7 +146,7 @@ def dealt(docs: DataFrame, k: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, sets, held, pack = Words(), {}, 0, TaskContext.get().partitionId() << 32
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t in texts_of(b.column(0)):
                 s = shingles(t, k, memo)
                 if len(s):
                     d = digest(s)
@@ -151,6 +157,8 @@ def dealt(docs: DataFrame, k: int, bits: int) -> DataFrame:
                     sets, held, pack = {}, 0, pack + 1
         if sets:
             yield flush(sets, pack)
+        sets, memo = {}, Words()
+        tidy()
 
     return docs.select("text").mapInArrow(run, PACKED)
 
@@ -325,6 +333,13 @@ def linked(group: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], ["digest", "root", "links"])
 
 
+def trimmed(work: Callable[..., pa.Table], *args: Any) -> pa.Table:
+    """work(*args), whose temporary arrays go back to the system before the next group comes."""
+    out = work(*args)
+    tidy()
+    return out
+
+
 def join_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, n_links; links where den * common >= num * union."""
     spark = docs.sparkSession
@@ -332,8 +347,8 @@ def join_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
     reps = base.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     total = base.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     bits = max(0, round(math.log2(max(1, total / BUCKET))))
-    again = dealt(docs, k, bits).groupBy("bucket").applyInArrow(counted, f"{PACKED}, counts binary")
-    index = again.groupBy("pack").applyInArrow(lambda t: indexed(t, num, den), "digest binary, n long, keys binary, sigs array<long>")
+    again = dealt(docs, k, bits).groupBy("bucket").applyInArrow(lambda t: trimmed(counted, t), f"{PACKED}, counts binary")
+    index = again.groupBy("pack").applyInArrow(lambda t: trimmed(indexed, t, num, den), "digest binary, n long, keys binary, sigs array<long>")
     index = written(index, "jaccard-index")
 
     tagged = index.select("digest", F.explode("sigs").alias("sig"))
