@@ -34,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import texts_of, tidy, written
 
 OWN, BUCKETS, HEAD = 191, 64, 1 << 17
 CLASSES, END = OWN + 1 + BUCKETS, OWN
 DIM, CONTEXT, NOISE, TIMES, BATCH, RATE = 16, 5, 48, 8.0, 2048, 0.15
 #: Distinct words that a task counts before it passes the counts on.
-FLUSH = 300_000
+FLUSH = 150_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -63,12 +63,13 @@ def word_counts(texts: DataFrame) -> DataFrame:
             return out
 
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t in texts_of(b.column(0)):
                 held.update(words_of(t))
                 if len(held) > FLUSH:
                     yield flush()
         if held:
             yield flush()
+        tidy()
 
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -242,7 +243,7 @@ def fit(texts: DataFrame, vocabulary: Vocabulary) -> Model:
 
         size = 0
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t in texts_of(b.column(0)):
                 waiting.append(memo.classes(words_of(t)))
                 memo.rest()
                 size += len(waiting[-1])
@@ -252,6 +253,8 @@ def fit(texts: DataFrame, vocabulary: Vocabulary) -> Model:
             tokens += learn()
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(tokens)]), pa.array([model.flat().tobytes()], pa.binary())], ["part", "tokens", "model"])
+        memo.clear()
+        tidy()
 
     def mean(group: pa.Table) -> pa.Table:
         w = np.array(group.column("tokens").to_pylist())
@@ -338,6 +341,8 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                 columns = [pa.array(np.arange(at, at + len(n)), pa.int64()), part.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(neural + np.array(inside)), pa.array(tails, pa.list_(pa.binary()))]
                 at += len(n)
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "known", "base", "neural", "tail"])
+        memo.clear()
+        tidy()
 
     rows = written(texts.mapInArrow(run, f"row long, doc_id {id_type}, n_tokens long, known long, base double, neural double, tail array<binary>"), "lm-rows")
     tail = rows.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))

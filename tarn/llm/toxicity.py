@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, written
+from .common import extended, texts_of, tidy, written
 
 #: Labelled documents of each label in the training sample; features; prefix lengths.
 TRAIN_EACH, FEATURES, PREFIXES = 4000, 4096, range(4, 9)
@@ -77,7 +77,7 @@ def distinct_words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, said = [], []
-            for t in b.column(2).to_pylist():
+            for t in texts_of(b.column(2)):
                 own = words_of(t)
                 words.append([w.decode() for w in own])
                 said.append([s[:400] for s in re.split(r"[.!?\n]+", t) if words_of(s) & terms][:20] if own & terms else [])
@@ -112,7 +112,7 @@ class Model:
         for w in words:
             f = known.get(w)
             if f is None:
-                if len(known) > 400_000:
+                if len(known) > 200_000:
                     known.clear()
                 f = known[w] = tuple(x for x in word_features(w) if x in self.weights)
             if f:
@@ -236,7 +236,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*held.value)
         for b in batches:
-            scores = [m.score(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            scores = [m.score(t) for t in texts_of(b.column(b.schema.get_field_index(text)))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], schema.names)
+        m.known.clear()
+        tidy()
 
     return docs.mapInArrow(run, schema)
