@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Strings that no formatted text may hold outside the template's own marks.
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-#: Role names of the layouts to canonical ones; others stay.
+#: Role names in conversations and dialogs to canonical ones; others, and those of messages, stay.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 #: name -> (paths, kind, fields): kind "list" takes an array of (role, text) objects; kind "fields" takes
 #: one turn for each (role, field) whose field is not blank, several fields of a turn joined by an empty line.
@@ -81,9 +81,9 @@ def turns_of(record: Column, fields: Column, layout: Column) -> Column:
             each = [F.struct(F.lit(r).alias("role"), F.array_join(F.filter(F.array(*(fields[c] for c in cols)), lambda v: v.isNotNull() & (v != "")), "\n\n").alias("text")) for r, cols in how]
             turns = F.filter(F.array(*each), lambda t: t["text"] != "")
         out = F.when(layout == name, F.coalesce(turns, F.array().cast(TURNS))).otherwise(out)
-    for said, role in ROLES.items():
-        out = F.transform(out, lambda t: F.struct(F.when(t["role"] == said, F.lit(role)).otherwise(t["role"]).alias("role"), t["text"].alias("text")))  # noqa: B023
-    return out
+    named = lambda role: F.coalesce(*(F.when(role == said, F.lit(to)) for said, to in ROLES.items()), role)
+    renamed = F.transform(out, lambda t: F.struct(named(t["role"]).alias("role"), t["text"].alias("text")))
+    return F.when(layout.isin("conversations", "dialog"), renamed).otherwise(out)
 
 
 def format_chat(records: DataFrame, record: str = "record") -> DataFrame:
