@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from collections.abc import Callable
@@ -129,9 +130,10 @@ def render(df: DataFrame) -> str:
 
 
 def main(args: list[str]) -> int:
-    """convert FILE N [TYPES [SEP]] | print FILE.dat N | parser CATALOG [-explain] [-f FILE]"""
+    """convert FILE N [TYPES [SEP]] | print FILE.dat N | split CATALOG PARTS FOLDER | parser CATALOG [-explain] [-f FILE]"""
+    from .catalog import parse_catalog
     from .sources import text
-    from .sources.heapfile import read_heap
+    from .sources.heapfile import read_heap, split_heap
     from .types import Type, schema
 
     if args[:1] == ["convert"] and len(args) >= 3:
@@ -142,6 +144,10 @@ def main(args: list[str]) -> int:
         n = int(args[2])
         for row in read_heap(session(), args[1], schema([Type.INT] * n, [f"f{i}" for i in range(n)])).toLocalIterator():
             print(format_row(row))
+    elif args[:1] == ["split"] and len(args) == 4:
+        for name, s, _ in parse_catalog(open(args[1]).read()):
+            for path in split_heap(os.path.join(os.path.dirname(args[1]), f"{name}.dat"), s, int(args[2]), os.path.join(args[3], name)):
+                print(path)
     elif args[:1] == ["parser"] and len(args) >= 2:
         engine = Engine(session())
         engine.catalog.load(args[1])

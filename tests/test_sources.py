@@ -55,6 +55,18 @@ def test_split(spark, tmp_path):
     assert [len(x) for x in found] == [333, 334, 334] and sum(found, []) == list(range(1001))
 
 
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "c.txt").write_text("t (a int, b int)\n")
+    write_pages(str(tmp_path / "t.dat"), [(i, i * i) for i in range(7)], TWO)
+    assert main(["split", str(tmp_path / "c.txt"), "2", str(tmp_path / "out")]) == 0
+    assert [r.a for r in read_heap(spark, str(tmp_path / "out" / "t" / "1.dat"), TWO).collect()] == [3, 4, 5, 6]
+    assert main(["print", str(tmp_path / "t.dat"), "2"]) == 0
+    (tmp_path / "q.sql").write_text("select a from t where b > 20 order by a; select nothing from t;")
+    assert main(["parser", str(tmp_path / "c.txt"), "-explain", "-f", str(tmp_path / "q.sql")]) == 0
+    said = capsys.readouterr().out
+    assert "6\t36" in said and "t.a" in said and " 2 rows." in said and "AnalysisError" in said and "π(a)" in said
+
+
 def test_text(spark, tmp_path):
     path = tmp_path / "t.txt"
     path.write_text("1,10\r\n\n 2 , 20\n5,50\n5,50")
