@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -19,10 +20,13 @@ from .types import Type, schema
 class Entry:
     id: int
     name: str
-    schema: T.StructType
     read: Callable[[], DataFrame]
     pkey: str = ""
 
+    @property
+    def schema(self) -> T.StructType:
+        return self.read().schema
+
 
 class Catalog:
     """Tables by name and by id; a name that is added again gets the new table. A primary key is a note for planning only."""
@@ -32,14 +36,16 @@ class Catalog:
         self._by_name: dict[str, Entry] = {}
 
     def add(self, name: str, table: DataFrame | Callable[[], DataFrame], pkey: str = "", source: str | None = None) -> Entry:
-        """table: a DataFrame, or a function that gives the current one. source: what the id is made of (the name if none)."""
+        """table: a DataFrame, or a function that gives the current one, which is not asked before the table is used.
+        source: what the id is made of (the name if none)."""
         read = table if callable(table) else lambda: table
-        entry = Entry(zlib.crc32((source or name).encode()), name, read().schema, read, pkey)
+        entry = Entry(zlib.crc32((source or name).encode()), name, read, pkey)
         self._by_name = {k: e for k, e in self._by_name.items() if e.id != entry.id} | {name: entry}
         return entry
 
     def add_parquet(self, name: str, path: str, pkey: str = "") -> Entry:
-        return self.add(name, self.spark.read.parquet(path), pkey, path)
+        """A Parquet table; its footers are read when a query first names it."""
+        return self.add(name, cache(lambda: self.spark.read.parquet(path)), pkey, path)
 
     def entry(self, table: str | int) -> Entry:
         for e in self._by_name.values():
