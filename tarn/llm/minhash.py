@@ -76,7 +76,8 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 
     Ids are cut into ranges at ids that occur; the row that begins a range is also sent, marked, to the
     end of the range before (the least one to that of the last), so that one exchange by range gives
-    every row its successor, whatever the number of rows. Null ids come last; ties by the first column.
+    every row its successor, whatever the number of rows. Null ids come last; ties by the first column. Rows
+    that share an id stay in one range, as their order among themselves asks.
     """
     n = min(4096, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = bounds(docs, n)
