@@ -38,9 +38,9 @@ from .common import texts_of, tidy, written
 
 OWN, BUCKETS, HEAD = 191, 64, 1 << 17
 CLASSES, END = OWN + 1 + BUCKETS, OWN
-DIM, CONTEXT, NOISE, TIMES, BATCH, RATE = 16, 5, 48, 8.0, 2048, 0.15
+DIM, CONTEXT, NOISE, TIMES, BATCH, RATE = 16, 5, 32, 8.0, 2048, 0.15
 #: Distinct words that a task counts before it passes the counts on.
-FLUSH = 150_000
+FLUSH = 200_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
