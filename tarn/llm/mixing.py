@@ -57,7 +57,9 @@ def blocked(plan: DataFrame, cap: int = 2) -> DataFrame:
     size = F.col("source_size")
     p = plan.where(size > 0).withColumn("block", F.greatest(F.lit(1), F.least(F.lit(65536), F.floor(F.sum(size).over(everything) / BLOCKS), F.floor(size / LEAST_BLOCKS))))
     p = p.withColumn("blocks", F.ceil(size / F.col("block"))).withColumn("share", F.col("target") * F.col("blocks") / size)
-    p = p.withColumn("all", F.sum("share").over(everything)).withColumn("hi", F.sum("share").over(upto) / F.col("all"))
+    # The last of the running sums, whose order is fixed: a sum in any order could differ in its last bit, and so a rerun.
+    p = p.withColumn("sofar", F.sum("share").over(upto))
+    p = p.withColumn("all", F.max("sofar").over(everything)).withColumn("hi", F.col("sofar") / F.col("all"))
     p = p.withColumn("lo", F.coalesce(F.lag("hi").over(Window.partitionBy(F.lit(0)).orderBy("src")), F.lit(0.0)))
     return p.select("source", "source_size", "src", "target", "blocks", "lo", "hi", F.ceil("all").alias("slots"))
 

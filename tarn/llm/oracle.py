@@ -89,7 +89,8 @@ plan AS MATERIALIZED (SELECT source, source_size, src, least(cap, (SELECT arg_mi
 b1 AS (SELECT *, greatest(1, least(65536, sum(source_size) OVER () // {mixing.BLOCKS}, source_size // {mixing.LEAST_BLOCKS})) AS block FROM plan WHERE source_size > 0),
 b2 AS (SELECT *, CAST(ceil(source_size / block) AS BIGINT) AS blocks FROM b1),
 b3 AS (SELECT *, target * blocks / source_size AS part FROM b2),
-b4 AS (SELECT *, sum(part) OVER () AS total, sum(part) OVER (ORDER BY src ROWS UNBOUNDED PRECEDING) / sum(part) OVER () AS hi FROM b3),
+run AS (SELECT *, sum(part) OVER (ORDER BY src ROWS UNBOUNDED PRECEDING) AS sofar FROM b3),
+b4 AS (SELECT *, max(sofar) OVER () AS total, sofar / max(sofar) OVER () AS hi FROM run),
 cut AS MATERIALIZED (SELECT *, coalesce(lag(hi) OVER (ORDER BY src), 0.0) AS lo FROM b4),
 slot AS (SELECT i AS slot, i * {mixing.GOLDEN}::DOUBLE - floor(i * {mixing.GOLDEN}::DOUBLE) AS u FROM range((SELECT CAST(ceil(max(total)) AS BIGINT) FROM cut)) t(i)),
 rank_ AS (SELECT src, blocks, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS r FROM slot JOIN cut ON u >= lo AND u < hi),
