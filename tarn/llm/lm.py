@@ -257,15 +257,16 @@ def fit(texts: DataFrame, vocabulary: Vocabulary) -> Model:
         tidy()
 
     def mean(group: pa.Table) -> pa.Table:
+        group = group.sort_by("part")  # so that sums, and scores, are the same in every run
         w = np.array(group.column("tokens").to_pylist())
         total = sum(x * np.frombuffer(m, np.float32).astype(np.float64) for x, m in zip(w, group.column("model").to_pylist(), strict=True)) / w.sum()
-        return pa.table([pa.array([0], pa.int64()), pa.array([float(w.sum())]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "tokens", "model"])
+        return pa.table([group.column("part").slice(0, 1).combine_chunks(), pa.array([float(w.sum())]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "tokens", "model"])
 
     kind = "part long, tokens double, model binary"
     trained = texts.mapInArrow(run, kind)
     # In two levels: the root of the number of tasks, then as many on the driver; each model has about 35 KB.
     groups = max(8, math.isqrt(texts.rdd.getNumPartitions()))
-    rows = trained.groupBy(F.pmod("part", F.lit(groups)).alias("g")).applyInArrow(mean, kind).collect()
+    rows = trained.groupBy(F.pmod("part", F.lit(groups)).alias("g")).applyInArrow(mean, kind).orderBy("part").collect()
     if not rows:
         return Model.start(vocabulary.shares)
     w = np.array([r["tokens"] for r in rows])
