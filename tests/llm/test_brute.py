@@ -415,6 +415,23 @@ def test_lm_is_normalised():
     assert np.isfinite(big.log_probs(before, before[:, 0])).all()
 
 
+def test_training_reaches_six_words_back_with_full_steps():
+    assert (lm.CONTEXT, lm.NOISE, lm.BATCH) == (6, 64, 1024)
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(150):  # each word repeats the one six before it, which the last five don't tell
+        texts.append(np.append(np.tile(rng.integers(0, 2, 6), 60), lm.END).astype(np.int32))
+    before, then = lm.windows(texts)
+    shares = np.full(lm.CLASSES, 1e-4)
+    shares[:2] = 0.45
+    shares /= shares.sum()
+    m, past = lm.Model.start(shares), [np.full(s, 1e-6) for s in lm.Model.SHAPES]
+    for _ in range(4):
+        order = rng.permutation(len(then))
+        m.train(before[order], then[order], shares, past, rng)
+    assert m.log_probs(before, then).mean() > math.log(0.5) / 2
+
+
 def test_lm_bucket_shares_add_up(spark):
     """Known words of a bucket, and one unseen, share its probability."""
     texts = [" ".join(f"word{i}" for i in range(400)) for _ in range(3)]
