@@ -117,7 +117,7 @@ NOTICES = (
     ("gpl", "copyleft", "strong copyleft", 5),
 )
 #: Every rule's match holds one of these; texts without any are not looked at again.
-ANCHORS = (" licen", " unlicense ", " spdx ", " cc ", " cc0 ", " gnu ", "gplv", " bsd ", "public  domain", "creative  commons", "permission  ", "redistribution  ", "unencumbered  ", "what  the  fuck", "rights  reserved", "proprietary  and", "copyleft")
+ANCHORS = (" licen", "mit  no  attribution", " unlicense ", " spdx ", " cc ", " cc0 ", " gnu ", "gplv", " bsd ", "public  domain", "creative  commons", "permission  ", "redistribution  ", "unencumbered  ", "what  the  fuck", "rights  reserved", "proprietary  and", "copyleft")
 
 
 def canonical_pattern(words: str) -> str:
@@ -150,9 +150,11 @@ def re_optional(word: str) -> bool:
 
 
 def keyword_of(words: str) -> str:
-    """The longest plain word of a phrase, between blanks: part of every match."""
-    plain = [w for w in words.split(" ") if w.isalnum() and w.isascii()]
-    return f" {max(plain, key=len)} " if plain else " "
+    """The longest plain word of a phrase, between blanks: part of every match. A word that the next one may be joined to
+    ("share ?alike") has no blank after it."""
+    all_ = words.split(" ")
+    plain = [f" {w}" if after.startswith("?") else f" {w} " for w, after in zip(all_, [*all_[1:], ""], strict=True) if w.isalnum() and w.isascii()]
+    return max(plain, key=len, default=" ")
 
 
 def rules() -> list[Rule]:

@@ -97,6 +97,40 @@ def test_licenses(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def all_matches(tree):
+    """Every string that a parsed expression without unbounded repetition matches."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(c) for kind, v in arg for c in ([v] if str(kind) == "LITERAL" else range(v[0], v[1] + 1))]
+        elif name == "BRANCH":
+            more = [m for branch in arg[1] for m in all_matches(branch)]
+        elif name == "SUBPATTERN":
+            more = all_matches(arg[3])
+        else:
+            assert name == "MAX_REPEAT" and arg[:2] == (0, 1), (op, arg)
+            more = ["", *all_matches(arg[2])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_match_passes_the_license_prefilter():
+    for r in licenses.rules():
+        for m in all_matches(re._parser.parse(r.pattern)):
+            assert re.fullmatch(r.pattern, m)
+            assert r.keyword in m, (r.keyword, m)
+            assert any(a in m for a in licenses.ANCHORS), m
+
+
+def test_license_names_in_one_word_or_two(spark):
+    texts = ["Beerware License", "the beer-ware licence", "CreativeML OpenRAIL-M License", "under the terms of the Open RAIL license", "MIT No Attribution"]
+    rows = licenses.scan(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == ["beerware", "beerware", "openrail", "openrail", "mit-0"]
+
+
 def test_license_rules_settle_overlaps(spark):
     cases = {
         "This work is licensed under the GNU General Public License, version 3.": "gpl-3",
