@@ -207,9 +207,13 @@ def lacking(n: int, num: int, den: int) -> int:
 
 
 def groups_of(tag: int, num: int, den: int) -> int:
-    """Classes of frequent shingles in a size class; 0: single shingles only."""
+    """Classes of frequent shingles in a size class; 0: single shingles only.
+
+    They are fewer than the shingles that linked sets share at least, so that two of these meet in a class.
+    """
     n = ratio_of(num, den) ** tag
-    return 0 if n < 40 else max(1, round((den - num) / den * n / 4))
+    least = math.ceil(num * n / den - 1e-9)
+    return 0 if n < 40 or least < 2 else min(least - 1, max(1, round((den - num) / den * n / 4)))
 
 
 def signatures(n: int, keys: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:

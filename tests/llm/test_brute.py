@@ -534,3 +534,24 @@ def test_query_columns(spark):
         assert set(columns.split()) <= set(df.columns)
         if name != "op3_chat_format":
             assert df.count() == docs
+
+
+@pytest.mark.parametrize(("num", "den", "common"), [(1, 10, 19), (1, 5, 34), (1, 100, 2)])
+def test_low_thresholds_share_a_signature(num, den, common):
+    n = 100
+    assert den * common >= num * (2 * n - common)
+    tag = int(jaccard.size_class(n, jaccard.ratio_of(num, den)))
+    old = max(1, round((den - num) / den * jaccard.ratio_of(num, den) ** tag / 4))
+    shared = np.arange(common, dtype=np.uint64)  # each in another class of the former number, while that lasts
+    counts = np.full(n, jaccard.RARE + 1)
+    sets = [np.concatenate([shared, np.arange(n - common, dtype=np.uint64) + np.uint64(at * 1000 * old + common)]) for at in (1, 2)]
+    a, b = (jaccard.signatures(n, k, counts, num, den) for k in sets)
+    assert np.intersect1d(a, b).size
+
+
+def test_pair_classes_of_the_queries_thresholds_stay():
+    for num, den in ((9, 10), (4, 5)):
+        for tag in range(400):
+            n = jaccard.ratio_of(num, den) ** tag
+            if n < 1e9:
+                assert jaccard.groups_of(tag, num, den) == (0 if n < 40 else max(1, round((den - num) / den * n / 4)))
