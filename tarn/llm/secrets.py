@@ -54,6 +54,15 @@ class Rule(NamedTuple):
     valid: Callable[[re.Match], bool]
 
 
+#: A private key: header lines and base64 to the END line, or without one to the last base64 line; else the BEGIN line.
+PEM = re.compile(
+    r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:[ \t]{0,8}\r?\n[ \t]{0,16}[A-Za-z][A-Za-z0-9-]{0,40}:[^\n]*)*"
+    r"(?:[A-Za-z0-9+/=\s]{64,}-----END (?:[A-Z]{2,12} ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:(?:[ \t]{0,8}\r?\n){1,2}[ \t]{0,16}[A-Za-z0-9+/]{40,}={0,2}(?=\s|\Z))+(?:[ \t]{0,8}\r?\n[ \t]{0,16}[A-Za-z0-9+/=]{1,39}(?=[ \t\r]*(?:\n|\Z))){0,2}))?"
+)
+
+
 def _rules() -> list[Rule]:
     """In the order that breaks ties of start: the three base kinds first, 'hex' (which has no keyword) included."""
     yes = lambda m: True
@@ -64,7 +73,7 @@ def _rules() -> list[Rule]:
         Rule("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"), lambda m: base62_crc_ok(m[1], m[2])),
         Rule("npm", ("npm_",), re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"), lambda m: base62_crc_ok(m[1], m[2])),
         Rule("jwt", ("eyj",), re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{16,})"), jwt_ok),
-        Rule("pem", ("-----begin ",), re.compile(r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{64,}-----END (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----)?"), yes),
+        Rule("pem", ("-----begin ",), PEM, yes),
         Rule("slack", ("xox",), re.compile(r"xox[abeoprs]-[0-9A-Za-z]{8,}(?:-[0-9A-Za-z]{4,})+"), yes),
         Rule("stripe", ("sk_live_", "rk_live_"), re.compile(r"[sr]k_live_[0-9A-Za-z]{24,}"), yes),
         Rule("google", ("aiza",), re.compile(r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"), yes),

@@ -555,3 +555,18 @@ def test_pair_classes_of_the_queries_thresholds_stay():
             n = jaccard.ratio_of(num, den) ** tag
             if n < 1e9:
                 assert jaccard.groups_of(tag, num, den) == (0 if n < 40 else max(1, round((den - num) / den * n / 4)))
+
+
+def test_whole_private_keys():
+    lines = "\n".join(["MIIEpAIBAAKCAQEA" + "abcdEFGH1234+/xy" * 3] * 4 + ["Zm9vYmFy=="])
+    heads = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    rsa, pgp = "RSA PRIVATE KEY", "PGP PRIVATE KEY BLOCK"
+    for key in (
+        f"-----BEGIN {rsa}-----\n{heads}{lines}\n-----END {rsa}-----",
+        f"-----BEGIN {rsa}-----\n{lines}",
+        f"-----BEGIN {rsa}-----\n{heads}{lines}",
+        f"-----BEGIN {pgp}-----\nVersion: 1\n\n{lines}\n=AbCd\n-----END {pgp}-----",
+        f"-----BEGIN {rsa}-----",
+    ):
+        text = f"before\n{key}\n\nand prose after it"
+        assert (7, 7 + len(key), "pem") in secrets.Scanner().spans(text), key
