@@ -3,23 +3,27 @@
 Training: a bounded, stratified sample of labelled documents (TRAIN_EACH of each label, those of least
 hash of their id) gives sets of word features; the FEATURES with the largest significance of their log
 odds are kept. The loss is the logistic one, plus an L2 term, plus LAMBDA times the mean squared change
-of the logit when a sentence's identity terms are swapped for others of their group (sentences of the
-sample that hold such terms, and frames of neutral mentions), which takes weight away from the terms
-themselves. Both labels count alike in the loss; PRIOR then sets the intercept.
+of the logit when a sentence's identity terms are swapped for others of their group (every sentence of the
+sample that holds such terms, however long, and frames of neutral mentions), which takes weight away from
+the terms themselves. A swap changes features of identity terms only, so the mean square is a quadratic
+form in their weights: executors sum its coefficients, and no sentence reaches the driver. Both labels
+count alike in the loss; the intercept then follows the share of label 1 among the labels learnt from.
 
 Features of a word (ASCII letters lower-cased, cut at anything but letters, digits and other
 non-ASCII characters): the word itself and its prefixes of 4 to 8 characters, so that inflected and compound forms
-count. A document is the set of its features; every text is read whole.
+count. A document is the set of its features; every text is read whole, in training and in scoring.
 
-Defined cases: null and empty texts have no features and score the intercept; texts without a label or
-with a null one are only scored; labels of unknown documents are ignored; of repeated labels for a
-document the larger one counts; with labels of one kind only, or none, all scores are the smoothed share
-of label 1; repeated rows are scored each.
+Defined cases: null and empty texts have no features and score the intercept; a text of any length is one set of
+words; texts without a label or with a null one are only scored; labels of unknown documents count only for the
+share of label 1, those of null ids for nothing; of repeated labels for a document the larger one counts; with
+labels of one kind only, or none, all scores are the smoothed share of label 1; repeated rows are scored each; an
+empty table gives an empty result; other columns pass through, but one named like the result is replaced by it.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,11 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import extended, texts_of, tidy, written
 
-#: Labelled documents of each label in the training sample; features; prefix lengths.
-TRAIN_EACH, FEATURES, PREFIXES = 4000, 4096, range(4, 9)
+#: Labelled documents of each label in the training sample; features at most (a bound on memory: on sf0.1 fewer than 1,024
+#: are significant); prefix lengths.
+TRAIN_EACH, FEATURES, PREFIXES = 4000, 1 << 16, range(4, 9)
 LAMBDA, L2, LEAST_DOCS, LEAST_Z, STEPS = 4.0, 1e-5, 5, 3.0, 3000
-#: The share of label 1 that scores stand for; the sample takes both labels alike, so this sets the intercept.
-PRIOR = 1 / 3
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Groups of identity terms; a swap stays inside a group. Fixed values.
 IDENTITIES = (
@@ -54,6 +57,10 @@ IDENTITIES = (
 #: Neutral mentions, which no term of a group should make toxic. Fixed values.
 FRAMES = ("{} people live here", "i am {}", "my neighbour is {}", "the {} family went to the market", "we met some {} friends")
 
+#: Term -> its group, from itself on; what ends a sentence.
+TERMS = {t.encode(): [x.encode() for x in g[i:] + g[:i]] for g in IDENTITIES for i, t in enumerate(g)}
+STOPS = re.compile(r"[.!?\n]+")
+
 
 def words_of(text: str | None) -> set[bytes]:
     return set(WORD.findall(text.encode().lower())) if text else set()
@@ -69,37 +76,71 @@ def features(words: set[bytes]) -> set[str]:
 
 
 def distinct_words(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, toxic, text) -> doc_id, toxic, words (its distinct ones), sentences that mention an identity."""
+    """docs (doc_id, toxic, text) -> doc_id, toxic, words (its distinct ones), sentences (the words of each that names an identity)."""
     kept = docs.select("doc_id", "toxic", "text")
-    terms = {t.encode() for g in IDENTITIES for t in g}
-    _, schema = extended(kept.drop("text"), words="array<string>", sentences="array<string>")
+    _, schema = extended(kept.drop("text"), words="array<string>", sentences="array<array<string>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = lambda ws: sorted(w.decode() for w in ws)
         for b in batches:
             words, said = [], []
             for t in texts_of(b.column(2)):
                 own = words_of(t)
-                words.append([w.decode() for w in own])
-                said.append([s[:400] for s in re.split(r"[.!?\n]+", t) if words_of(s) & terms][:20] if own & terms else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string())), pa.array(said, pa.list_(pa.string()))], schema.names)
+                words.append(plain(own))
+                said.append([plain(x) for s in STOPS.split(t) if (x := words_of(s)) & TERMS.keys()] if own & TERMS.keys() else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string())), pa.array(said, pa.list_(pa.list_(pa.string())))], schema.names)
 
     return kept.mapInArrow(run, schema)
 
 
-def swaps(sentences: list[tuple[str, int]], seed: int = 7) -> list[tuple[set[bytes], set[bytes]]]:
-    """Pairs of word sets: a labelled sentence, and it with its identity terms swapped inside their groups; and frames."""
-    rng = np.random.default_rng(seed)
-    group = {t.encode(): [x.encode() for x in g] for g in IDENTITIES for t in g}
-    out = []
-    for s, _ in sentences:
-        own = words_of(s)
-        out.append((own, {w if w not in group else group[w][rng.integers(len(group[w]))] for w in own}))
+def swapped(words: set[bytes]) -> set[bytes]:
+    """The words with each identity term replaced by another of its group, chosen by a hash of the whole set."""
+    h = zlib.crc32(b" ".join(sorted(words)))
+    return {w if w not in TERMS else TERMS[w][1 + (h + zlib.crc32(w)) % (len(TERMS[w]) - 1)] for w in words}
+
+
+def change(one: set[bytes], other: set[bytes], at: dict[str, int]) -> list[tuple[int, int]]:
+    """Numbers of the features that only one of two sets of words has: +1 for the first's, -1 for the second's."""
+    a, b = features(one - other), features(other - one)
+    both = features(one & other) if a | b else set()
+    return [(at[f], sign) for own, theirs, sign in ((a, b, 1), (b, a, -1)) for f in sorted(own - theirs - both) if f in at]
+
+
+def products(changes: list[list[tuple[int, int]]], into: Counter) -> None:
+    """Adds each change's product with itself, entry by entry, and their number under (-1, -1)."""
+    for c in changes:
+        into[-1, -1] += 1
+        for i, x in c:
+            for j, y in c:
+                into[i, j] += x * y
+
+
+def frame_products(at: dict[str, int]) -> Counter:
+    out: Counter = Counter()
     for g in IDENTITIES:
         for f in FRAMES:
-            out += [(words_of(f.format(a)), words_of(f.format(b))) for a, b in zip(g, g[1:] + g[:1], strict=True)]
+            products([change(words_of(f.format(a)), words_of(f.format(b)), at) for a, b in zip(g, g[1:] + g[:1], strict=True)], out)
     return out
 
 
+def swap_products(words: DataFrame, kept: list[str]) -> Counter:
+    """distinct_words() -> the summed products() of all its sentences: whole numbers, of identity terms' features only,
+    so at most a few hundred squared, however many sentences there are."""
+    held = words.sparkSession.sparkContext.broadcast(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {f: i for i, f in enumerate(held.value)}
+        total: Counter = Counter()
+        for b in batches:
+            for said in texts_of(b.column(0)):
+                own = [{w.encode() for w in x} for x in said]
+                products([change(x, swapped(x), at) for x in own], total)
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in total], pa.int32()) for i in (0, 1)] + [pa.array(total.values(), pa.int64())], ["i", "j", "n"])
+
+    rows = words.select("sentences").mapInArrow(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
+    return Counter({(r["i"], r["j"]): r["n"] for r in rows})
+
+
 class Model:
     """weights: feature -> weight; a document's logit is the intercept and the sum over its set of features."""
 
@@ -169,47 +210,45 @@ def hits(words: DataFrame, kept: list[str]) -> list[tuple[list[int], int]]:
     return [(r["found"], r["toxic"]) for r in rows.orderBy("doc_id").collect()]
 
 
-def fit(kept: list[str], rows: list[tuple[list[int], int]], pairs: list[tuple[set[bytes], set[bytes]]], steps: int = STEPS) -> Model:
-    """rows: (numbers in kept, label), of both labels. Accelerated gradient descent on the regularised loss."""
+def fit(kept: list[str], rows: list[tuple[list[int], int]], swaps: Counter, share: float, steps: int = STEPS) -> Model:
+    """rows: (numbers in kept, label), of both labels; swaps: products(). Accelerated gradient descent on the regularised
+    loss; share: of label 1, which the intercept follows."""
     y = np.array([t for _, t in rows], float)
     pos, neg = y.sum(), (1 - y).sum()
-    at = {f: i for i, f in enumerate(kept)}
-
-    def sparse(sets: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        cols = [sorted(at[f] for f in s if f in at) for s in sets]
-        return np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.array([c for x in cols for c in x], np.int64)
-
-    n = len(at)
+    n = len(kept)
     r = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
     c = np.array([i for f, _ in rows for i in f], np.int64)
-    pa_, pb = (sparse([features(p[i]) for p in pairs]) for i in (0, 1))
     weight = np.where(y == 1, 0.5 / pos, 0.5 / neg)  # both labels count alike here; the intercept is set afterwards
+    m = max(1, swaps[-1, -1])
+    named = sorted({i for i, _ in swaps if i >= 0})
+    place = {i: k for k, i in enumerate(named)}
+    form = np.zeros((len(named), len(named)))
+    for (i, j), x in swaps.items():
+        if i >= 0:
+            form[place[i], place[j]] = x / m
     w, b, vw, vb = np.zeros(n), 0.0, np.zeros(n), 0.0
-    m = max(1, len(pairs))
     # A bound on the curvature, for the step: the largest column sum of X'WX, and that of the swaps' part.
     docs_part = np.bincount(c, (weight * (1 + np.bincount(r, minlength=len(y))))[r], n).max(initial=1)
-    both_r, both_c = np.concatenate([pa_[0], pb[0]]), np.concatenate([pa_[1], pb[1]])
-    swap_part = np.bincount(both_c, np.bincount(both_r, minlength=m)[both_r], n).max(initial=0) / m
-    step = 1.0 / (0.25 * (docs_part + 1) + L2 + 2 * LAMBDA * swap_part)
+    step = 1.0 / (0.25 * (docs_part + 1) + L2 + 2 * LAMBDA * np.abs(form).sum(axis=0).max(initial=0))
     for i in range(steps):
         lw, lb = w + i / (i + 3) * (w - vw), b + i / (i + 3) * (b - vb)
         vw, vb = w, b
         z = np.bincount(r, lw[c], len(y)) + lb
         g = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        d = np.bincount(pa_[0], lw[pa_[1]], m) - np.bincount(pb[0], lw[pb[1]], m)
-        gw = np.bincount(c, g[r], n) + L2 * lw + 2 * LAMBDA / m * (np.bincount(pa_[1], d[pa_[0]], n) - np.bincount(pb[1], d[pb[0]], n))
+        gw = np.bincount(c, g[r], n) + L2 * lw
+        gw[named] += 2 * LAMBDA * (form @ lw[named])
         w, b = lw - step * gw, lb - step * g.sum()
-    return Model({f: float(w[i]) for f, i in at.items() if w[i]}, float(b + np.log(PRIOR / (1 - PRIOR))))
+    return Model({f: float(w[i]) for i, f in enumerate(kept) if w[i]}, float(b + np.log(share / (1 - share))))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, each: int = TRAIN_EACH) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic); learn: a condition on doc_id that its labels may be learnt from.
 
     Of the sample (at most 2 * each documents) only the counts of the best features, which of them each
-    document has, and its mentions of identities reach the driver.
+    document has, and the sums of products over its sentences reach the driver.
     """
     docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", "toxic")
-    known = labels.where(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {t: n for t, n in known.groupBy("toxic").count().collect()}
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     # Those of least hash: first a range of hashes that about twice as many share, so that few rows are sorted.
@@ -224,8 +263,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, each: int = TRAIN_E
     if len(found) < 2:
         return Model({}, float(np.log(share / (1 - share))))
     kept = significant(counted(words), found[1], found[0])
-    said = [(r["s"], r["toxic"]) for r in words.select("doc_id", "toxic", F.explode("sentences").alias("s")).orderBy("doc_id", "s").collect()]
-    return fit(kept, hits(words, kept), swaps(said))
+    swaps = frame_products({f: i for i, f in enumerate(kept)})
+    swaps.update(swap_products(words, kept))
+    return fit(kept, hits(words, kept), swaps, share)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

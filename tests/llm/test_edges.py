@@ -148,7 +148,7 @@ def test_chat_defined_cases(spark):
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages(spark, tmp_path, docs, empty, clashing, name):
-    labels(spark, [(5, 1), (4, 0), (6, 0), (None, 1)]).selectExpr("*", "0 as quality").write.parquet(str(tmp_path / "labels.parquet"))
+    labels(spark, [(5, 1), (1, 0), (2, 0), (3, 0), (4, 0), (6, 0), (None, 1)]).selectExpr("*", "0 as quality").write.parquet(str(tmp_path / "labels.parquet"))
     stage = dict(corpus_pipeline.STAGES)[name]
     for some in (docs, empty, clashing):
         some.write.mode("overwrite").parquet(str(tmp_path / "docs"))
