@@ -19,25 +19,37 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own checkpoint folder. On a
+    local master, where driver and executors are one process, one of our own serves if neither is set (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not own.isDefined():
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tarn-"))
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives lost executors, goes with the JVM."""
+    """df as a table in the shared folder: cuts lineage, survives lost executors, goes with the JVM or by dropped()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarn-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a written() table that nothing reads any more."""
+    spark = table.sparkSession
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +62,12 @@ def texts_of(column: pa.Array, rows: int = 500) -> Iterator[Any]:
         yield from column.slice(at, rows).to_pylist()
 
 
+def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that few of its texts are Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def tidy() -> None:
     """Give freed memory back to the system: Python workers outlive their tasks, beside others on their machine."""
     pa.default_memory_pool().release_unused()

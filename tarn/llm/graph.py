@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def mark(edges: DataFrame) -> tuple:
@@ -31,6 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(least, large["a"] == least["u"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
         new = written(small.where("a <> b").distinct(), "edges")
+        dropped(e)
         e, before, marks = new, marks, mark(new)
         if marks == before:
             break
