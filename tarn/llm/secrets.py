@@ -6,8 +6,12 @@ checksum (rules 'github', 'npm': the CRC-32 of the body in base 62) or a structu
 header) keep only what validates. Runs of hex digits have no keyword: a byte table finds texts with a
 run of the least length, and those alone are searched.
 
-Spans are code points, end exclusive. Defined cases: a null text is empty; texts are read whole;
-repeated rows are scanned each; other columns pass through.
+A hit inside a run of characters in which an earlier hit of the same rule has failed would fail as well, so
+it is passed over; the time is linear in the text whatever it repeats.
+
+Spans are code points, end exclusive. Defined cases: a null text is empty and without spans (its cleaned form
+stays null); texts of any length are read whole; repeated rows are scanned each; an empty table gives an empty
+result; other columns pass through, but those named like the results are replaced by them.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import extended
+from .common import extended, slices
 
 HEX_LEAST = 32
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -52,12 +56,13 @@ class Rule(NamedTuple):
     keywords: tuple[str, ...]  # lower case
     pattern: re.Pattern
     valid: Callable[[re.Match], bool]
+    run: re.Pattern | None = None  # from a failed hit on, the characters within which the others fail too
 
 
 #: A private key: header lines and base64 to the END line, or without one to the last base64 line; else the BEGIN line.
 PEM = re.compile(
     r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY(?: BLOCK)?-----"
-    r"(?:(?:[ \t]{0,8}\r?\n[ \t]{0,16}[A-Za-z][A-Za-z0-9-]{0,40}:[^\n]*)*"
+    r"(?:(?:[ \t]{0,8}\r?\n[ \t]{0,16}[A-Za-z][A-Za-z0-9-]{0,40}:[^\n]*){0,16}"
     r"(?:[A-Za-z0-9+/=\s]{64,}-----END (?:[A-Z]{2,12} ){0,3}PRIVATE KEY(?: BLOCK)?-----"
     r"|(?:(?:[ \t]{0,8}\r?\n){1,2}[ \t]{0,16}[A-Za-z0-9+/]{40,}={0,2}(?=\s|\Z))+(?:[ \t]{0,8}\r?\n[ \t]{0,16}[A-Za-z0-9+/=]{1,39}(?=[ \t\r]*(?:\n|\Z))){0,2}))?"
 )
@@ -72,9 +77,9 @@ def _rules() -> list[Rule]:
         Rule("hex", (), re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST), yes),
         Rule("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"), lambda m: base62_crc_ok(m[1], m[2])),
         Rule("npm", ("npm_",), re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"), lambda m: base62_crc_ok(m[1], m[2])),
-        Rule("jwt", ("eyj",), re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{16,})"), jwt_ok),
+        Rule("jwt", ("eyj",), re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{16,})"), jwt_ok, re.compile("[A-Za-z0-9_-]+")),
         Rule("pem", ("-----begin ",), PEM, yes),
-        Rule("slack", ("xox",), re.compile(r"xox[abeoprs]-[0-9A-Za-z]{8,}(?:-[0-9A-Za-z]{4,})+"), yes),
+        Rule("slack", ("xox",), re.compile(r"xox[abeoprs]-[0-9A-Za-z]{8,}(?:-[0-9A-Za-z]{4,})+"), yes, re.compile("[0-9A-Za-z]+")),
         Rule("stripe", ("sk_live_", "rk_live_"), re.compile(r"[sr]k_live_[0-9A-Za-z]{24,}"), yes),
         Rule("google", ("aiza",), re.compile(r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"), yes),
         Rule("url", ("://",), re.compile(r"://[^\s/:@\x22']{1,64}:([^\s/:@\x22']{4,128})@[a-z0-9.-]+", re.A | re.I), yes),
@@ -109,10 +114,14 @@ class Scanner:
         for i, starts in at.items():
             rule, free = self.rules[i], 0
             for p in sorted(starts):
-                if p >= free and (m := rule.pattern.match(text, p)):
+                if p < free:
+                    continue
+                if m := rule.pattern.match(text, p):
                     free = m.end()
                     if rule.valid(m):
                         out.append((p, free, rule.kind))
+                elif rule.run:
+                    free = rule.run.match(text, p).end()
         return sorted(out, key=lambda s: (s[0], self.rank[s[2]], s[1]))
 
 
@@ -142,11 +151,12 @@ def scan(docs: DataFrame, text: str = "text", spans: str = "spans", redacted: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text)).to_pylist()
-            found = [scanner.spans(t) if t else [] for t in texts]
-            more = [pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in x] for x in found], kind)]
-            if redacted:
-                more.append(pa.array([redact(t, x) if x else t for t, x in zip(texts, found, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], schema.names)
+            for part in slices(b):
+                texts = part.column(part.schema.get_field_index(text)).to_pylist()
+                found = [scanner.spans(t) if t else [] for t in texts]
+                more = [pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in x] for x in found], kind)]
+                if redacted:
+                    more.append(pa.array([redact(t, x) if x else t for t, x in zip(texts, found, strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], schema.names)
 
     return docs.mapInArrow(run, schema)
