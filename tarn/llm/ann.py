@@ -1,18 +1,21 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard.
 
-Vectors are dealt to shards of about SHARD by a hash of their id (and by length of vector: those of other
-lengths are no neighbours). A shard's graph is built by insertion in the order of ids, levels drawn from
-the hash, and stored as one row of flat arrays: vectors, ids, and for each node and level a block of
-neighbour numbers. Equal vectors are one node that lists its ids. Queries go through in blocks: each block
-meets each shard's row, and the shards' nearest are merged by a window that keeps only the best.
+Vectors are dealt to shards by a hash of id and components (and by length of vector: those of other lengths are no
+neighbours). Shards have LEAST_SHARD vectors on average until there are SHARDS of them, then grow with the table
+up to MOST_SHARD, so that a query of a larger table does not search more of them at first. A shard's graph is built
+by insertion in the order of ids, levels drawn from the hash, and stored as one row of flat arrays: vectors, ids,
+and for each node and level a block of neighbour numbers. Equal vectors are one node that lists its ids. Queries go
+through in blocks of about QUERIES: each block meets each shard's row, so a shard is moved once for thousands of
+queries, and the shards' nearest are merged by a window that keeps only the best.
 
 Distances are Euclidean. The search itself runs in single precision on shard vectors; what it returns is
 ranked by double-precision distances of the original vectors, ties to the smaller id.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows with a null
 id, take no part, neither as queries nor as candidates; a row is not its own neighbour, but other rows
-with an equal vector are; repeated ids are one row each, and none is a neighbour of a query of that id;
-with fewer candidates than asked for, all are returned.
+with an equal vector are; no row is a neighbour of a query of its id. Repeated ids: rows of a query's id are one
+query, near to what is near to any of its vectors, and a neighbour's id stands once, with its nearest vector. With
+fewer candidates than asked for, all are returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Vectors in a shard, on average; queries in a block.
-SHARD, QUERIES = 2048, 256
+#: Vectors in a shard, on average: of small tables, and at most; shards before they grow; queries in a block.
+LEAST_SHARD, MOST_SHARD, SHARDS, QUERIES = 2048, 32768, 24, 4096
 #: Links of a node (twice as many on the bottom level); candidates held while building and while searching.
 LINKS, EF_BUILD, EF_SEARCH = 12, 64, 96
 
@@ -172,17 +175,19 @@ def usable(vectors: DataFrame, vec: str) -> DataFrame:
 
 def index(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     """vectors (vec_id, vec) -> the index, a row for each shard, as a table in the shared folder."""
-    df = usable(vectors, vec)
-    shards = max(1, math.ceil(df.count() / SHARD))
-    dealt = df.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    df = usable(vectors, vec).distinct()  # a repeated row says nothing new
+    n = df.count()
+    shards = max(1, math.ceil(n / min(MOST_SHARD, max(LEAST_SHARD, math.ceil(n / SHARDS)))))
+    # By id and vector, so that neither an id nor a vector that many rows share makes a large shard.
+    dealt = df.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int"))
     return written(dealt.groupBy("shard", "dim").applyInArrow(shard_row, INDEX), "ann-index")
 
 
 def search(spark_index: DataFrame, queries: DataFrame, vec: str = "embedding", k: int = 10, ef: int = EF_SEARCH) -> DataFrame:
     """index(), queries (vec_id, vec) -> query_id, rank, vec_id, score of the k nearest rows of other ids."""
-    q = usable(queries, vec)
+    q = usable(queries, vec).distinct()
     blocks = max(1, math.ceil(q.count() / QUERIES))
-    packed = q.groupBy("dim", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
+    packed = q.groupBy("dim", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
     shards = spark_index.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0]
     # Each block goes to every shard: a query set against all rows, in blocks.
     packed = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards))))
@@ -201,16 +206,22 @@ def search(spark_index: DataFrame, queries: DataFrame, vec: str = "embedding", k
                 g = Graph(small, of("levels", "i1"), links, x["entry"].as_py())
                 centre = original[0] - small[0]
                 out: tuple[list, list, list] = ([], [], [])
+                # Rows that repeat an id may stand before others: as many more nodes and ids are looked at.
+                more = int(np.unique(ids, return_counts=True)[1].max())
                 for qid, v in zip(x["query_ids"].as_py(), x["query_vectors"].values.to_numpy(zero_copy_only=False).reshape(-1, dim), strict=True):
-                    near = g.nearest((v - centre).astype(np.float32), k + 1, ef)
+                    reach = (k + 1) * more
+                    near = g.nearest((v - centre).astype(np.float32), reach, ef)
                     d = np.sqrt(((original[near] - v) ** 2).sum(axis=1))
                     order = np.lexsort((ids[starts[near]], d))
-                    found = [(d[o], j) for o in order[: k + 1] for j in ids[starts[near[o]] : starts[near[o] + 1]][: k + 1].tolist() if j != qid]
-                    for dist, j in sorted(found)[:k]:
-                        for o, y in zip(out, (qid, j, float(dist)), strict=True):
+                    found: dict[int, float] = {}
+                    for dist, j in sorted((float(d[o]), j) for o in order[:reach] for j in ids[starts[near[o]] : starts[near[o] + 1]][:reach].tolist() if j != qid):
+                        found.setdefault(j, dist)
+                    for j in list(found)[:k]:
+                        for o, y in zip(out, (qid, j, found[j]), strict=True):
                             o.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best: Column = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

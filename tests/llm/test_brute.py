@@ -431,7 +431,7 @@ def test_any_prefix_of_the_schedule_is_mixed(spark):
 
 
 def test_recall(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SHARD", 700)
+    monkeypatch.setattr(ann, "LEAST_SHARD", 700)
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(2500, 24)), np.repeat(rng.normal(size=(3, 24)), 60, axis=0) + 1e-3 * rng.normal(size=(180, 24))]).astype(np.float32)
     v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
@@ -456,6 +456,24 @@ def test_few_candidates(spark):
     assert [(r.rank, r.vec_id, r.score) for r in out] == [(1, 1, 1.0), (2, 2, 2.0), (3, 3, 3.0)]
 
 
+def test_repeated_ids(spark, monkeypatch):
+    """Ids of several vectors, repeated rows, a vector that many rows share: against brute force over (id, nearest vector)."""
+    monkeypatch.setattr(ann, "LEAST_SHARD", 60)
+    rng = np.random.default_rng(5)
+    rows = [(i % 90, rng.normal(size=4).tolist()) for i in range(200)] + [(0, [1.0, 0.0, 0.0, 0.0])] * 3 + [(300 + i, [0.5, 0.5, 0.0, 0.0]) for i in range(80)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.search(ann.index(v), v.where("vec_id % 10 = 0"), ef=400).collect()
+    for query in {i for i, _ in rows if i % 10 == 0}:
+        best = {}
+        for i, x in rows:
+            for j, y in rows:
+                if j == query and i != query:
+                    best[i] = min(best.get(i, math.inf), math.dist(x, y))
+        got = [(r.vec_id, r.score) for r in sorted((r for r in out if r.query_id == query), key=lambda r: r["rank"])]
+        want = sorted(best.items(), key=lambda t: (t[1], t[0]))[:10]
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want])
+
+
 # -- language model
 
 
