@@ -13,6 +13,7 @@ other columns pass through unless named like a result, which replaces them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -40,8 +41,8 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 FAMILIES: dict[str, tuple[str, tuple[str, ...]]] = {
     "mit": ("mit", ("mit licen[cs]e", "mit x11 licen[cs]e", "expat licen[cs]e")),
     "mit-0": ("mit 0", ("mit no attribution licen[cs]e?",)),
-    "apache-1.1": ("apache 1 1", ("apache (?:software )?licen[cs]e version? v?1 1",)),
-    "apache-2": ("apache 2 0", ("apache (?:software )?licen[cs]e version? v?2 0?", "apache v?2 0? licen[cs]e")),
+    "apache-1.1": ("apache 1 1", ("apache (?:software )?licen[cs]e (?:version|v)? v?1 1",)),
+    "apache-2": ("apache 2 0", ("apache (?:software )?licen[cs]e (?:version|v)? v?2 0?", "apache v?2 0? licen[cs]e")),
     "bsd-2-clause": ("bsd 2 clause", ("bsd 2 clause licen[cs]e?", "(?:2|two) clause bsd licen[cs]e?", "simplified bsd licen[cs]e", "freebsd licen[cs]e")),
     "bsd-3-clause": ("bsd 3 clause", ("bsd 3 clause licen[cs]e?", "(?:3|three) clause bsd licen[cs]e?", "new bsd licen[cs]e", "modified bsd licen[cs]e")),
     "bsd-4-clause": ("bsd 4 clause", ("bsd 4 clause licen[cs]e?", "(?:4|four) clause bsd licen[cs]e?", "original bsd licen[cs]e")),
@@ -49,25 +50,25 @@ FAMILIES: dict[str, tuple[str, tuple[str, ...]]] = {
     "isc": ("isc", ("isc licen[cs]e", "internet systems consortium licen[cs]e")),
     "zlib": ("zlib", ("zlib licen[cs]e", "zlib libpng licen[cs]e")),
     "gpl": ("gpl", ("gnu general public licen[cs]e", "gnu gpl")),
-    "gpl-1": ("gpl 1 0(?:  only|  or  later)?", ("gnu general public licen[cs]e version v?1", "gnu gpl version? v?1", "gplv1")),
-    "gpl-2": ("gpl 2 0(?:  only|  or  later)?", ("gnu general public licen[cs]e version v?2", "gnu gpl version? v?2", "gplv2")),
-    "gpl-3": ("gpl 3 0(?:  only|  or  later)?", ("gnu general public licen[cs]e version v?3", "gnu gpl version? v?3", "gplv3")),
+    "gpl-1": ("gpl 1 0(?: only| or later)?", ("gnu general public licen[cs]e version v?1", "gnu gpl (?:version|v)? v?1", "gplv1")),
+    "gpl-2": ("gpl 2 0(?: only| or later)?", ("gnu general public licen[cs]e version v?2", "gnu gpl (?:version|v)? v?2", "gplv2")),
+    "gpl-3": ("gpl 3 0(?: only| or later)?", ("gnu general public licen[cs]e version v?3", "gnu gpl (?:version|v)? v?3", "gplv3")),
     "lgpl": ("lgpl", ("gnu (?:lesser|library) general public licen[cs]e", "gnu lgpl")),
-    "lgpl-2": ("lgpl 2 0(?:  only|  or  later)?", ("gnu (?:lesser|library) general public licen[cs]e version v?2", "lgplv2")),
-    "lgpl-2.1": ("lgpl 2 1(?:  only|  or  later)?", ("gnu (?:lesser|library) general public licen[cs]e version v?2 1", "lgplv2 1")),
-    "lgpl-3": ("lgpl 3 0(?:  only|  or  later)?", ("gnu lesser general public licen[cs]e version v?3", "lgplv3")),
+    "lgpl-2": ("lgpl 2 0(?: only| or later)?", ("gnu (?:lesser|library) general public licen[cs]e version v?2", "lgplv2")),
+    "lgpl-2.1": ("lgpl 2 1(?: only| or later)?", ("gnu (?:lesser|library) general public licen[cs]e version v?2 1", "lgplv2 1")),
+    "lgpl-3": ("lgpl 3 0(?: only| or later)?", ("gnu lesser general public licen[cs]e version v?3", "lgplv3")),
     "agpl": ("agpl", ("gnu affero general public licen[cs]e", "affero general public licen[cs]e", "gnu agpl")),
-    "agpl-3": ("agpl 3 0(?:  only|  or  later)?", ("gnu affero general public licen[cs]e version v?3", "agplv3")),
+    "agpl-3": ("agpl 3 0(?: only| or later)?", ("gnu affero general public licen[cs]e version v?3", "agplv3")),
     "gfdl": ("gfdl 1 [0-9]", ("gnu free documentation licen[cs]e",)),
-    "mpl-1.1": ("mpl 1 1", ("mozilla public licen[cs]e version? v?1 1",)),
-    "mpl-2": ("mpl 2 0", ("mozilla public licen[cs]e version? v?2 0?",)),
-    "epl-1": ("epl 1 0", ("eclipse public licen[cs]e version? v?1 0",)),
-    "epl-2": ("epl 2 0", ("eclipse public licen[cs]e version? v?2 0",)),
+    "mpl-1.1": ("mpl 1 1", ("mozilla public licen[cs]e (?:version|v)? v?1 1",)),
+    "mpl-2": ("mpl 2 0", ("mozilla public licen[cs]e (?:version|v)? v?2 0?",)),
+    "epl-1": ("epl 1 0", ("eclipse public licen[cs]e (?:version|v)? v?1 0",)),
+    "epl-2": ("epl 2 0", ("eclipse public licen[cs]e (?:version|v)? v?2 0",)),
     "cddl": ("cddl 1 [01]", ("common development and distribution licen[cs]e",)),
-    "cpl-1": ("cpl 1 0", ("common public licen[cs]e version? v?1?",)),
+    "cpl-1": ("cpl 1 0", ("common public licen[cs]e (?:version|v)? v?1?",)),
     "eupl": ("eupl 1 [012]", ("european union public licen[cs]e",)),
-    "artistic-1": ("artistic 1 0", ("artistic licen[cs]e version? v?1 0",)),
-    "artistic-2": ("artistic 2 0", ("artistic licen[cs]e version? v?2 0",)),
+    "artistic-1": ("artistic 1 0", ("artistic licen[cs]e (?:version|v)? v?1 0",)),
+    "artistic-2": ("artistic 2 0", ("artistic licen[cs]e (?:version|v)? v?2 0",)),
     "unlicense": ("unlicense", ("the unlicense",)),
     "wtfpl": ("wtfpl", ("do what the fuck you want to public licen[cs]e",)),
     "cc0": ("cc0 1 0", ("cc0", "creative commons zero")),
@@ -86,7 +87,7 @@ FAMILIES: dict[str, tuple[str, tuple[str, ...]]] = {
     "sspl-1": ("sspl 1 0", ("server side public licen[cs]e",)),
     "elastic-2": ("elastic 2 0", ("elastic licen[cs]e 2?",)),
     "psf-2": ("psf 2 0", ("python software foundation licen[cs]e",)),
-    "php-3": ("php 3 0?1?", ("php licen[cs]e version? v?3",)),
+    "php-3": ("php 3 0?1?", ("php licen[cs]e (?:version|v)? v?3",)),
     "ruby": ("ruby", ("ruby licen[cs]e",)),
     "postgresql": ("postgresql", ("postgresql licen[cs]e",)),
     "openssl": ("openssl", ("openssl licen[cs]e",)),
@@ -94,30 +95,117 @@ FAMILIES: dict[str, tuple[str, tuple[str, ...]]] = {
     "ncsa": ("ncsa", ("university of illinois open source licen[cs]e", "ncsa open source licen[cs]e")),
     "ms-pl": ("ms pl", ("microsoft public licen[cs]e",)),
     "ms-rl": ("ms rl", ("microsoft reciprocal licen[cs]e",)),
-    "osl-3": ("osl 3 0", ("open software licen[cs]e version? v?3 0",)),
-    "afl-3": ("afl 3 0", ("academic free licen[cs]e version? v?3 0",)),
+    "osl-3": ("osl 3 0", ("open software licen[cs]e (?:version|v)? v?3 0",)),
+    "afl-3": ("afl 3 0", ("academic free licen[cs]e (?:version|v)? v?3 0",)),
     "upl-1": ("upl 1 0", ("universal permissive licen[cs]e",)),
     "json": ("json", ("json licen[cs]e",)),
     "vim": ("vim", ("vim licen[cs]e",)),
     "beerware": ("beerware", ("beer ?ware licen[cs]e",)),
-    "openrail": ("openrail", ("open ?rail(?:\\+\\+)? m? licen[cs]e", "responsible ai licen[cs]e")),
+    "openrail": ("openrail", ("open ?rail m? licen[cs]e", "responsible ai licen[cs]e")),
     "llama": ("llama 2", ("llama [23] community licen[cs]e",)),
 }
 #: Wordings of grants: before the name of a license.
 GRANTS = ("(?:licen[cs]ed|released|distributed|available|published|provided) under the? terms? of? the?", "under the terms of the?", "subject to the terms of the?", "(?:covered|governed) by the?")
-#: Texts in full words that name no license: label, keyword, expression, priority.
+#: Sentences of license texts, headers and addresses, in words of their own: label, expression, priority. Fixed values.
+#: The keyword of each is its longest plain word.
 NOTICES = (
-    ("mit", "permission  is  hereby  granted", "permission is hereby granted free of charge to any person obtaining a copy", 60),
-    ("isc", "permission  to  use", "permission to use copy modify and or distribute this software for any purpose", 60),
-    ("bsd", "redistribution  and  use", "redistribution and use in source and binary forms with or without modification", 50),
-    ("unlicense", "unencumbered  software", "free and unencumbered software released into the public domain", 70),
-    ("wtfpl", "what  the  fuck", "do what the fuck you want to", 70),
-    ("all-rights-reserved", "all  rights  reserved", "all rights reserved", 10),
-    ("proprietary", "proprietary", "proprietary and confidential", 20),
-    ("gpl", "copyleft", "strong copyleft", 5),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 60),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions", 58),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", 55),
+    ("mit", "opensource org licenses mit", 80),
+    ("mit-0", "opensource org licenses mit 0", 82),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose", 60),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software", 58),
+    ("isc", "opensource org licenses isc", 80),
+    ("bsd", "redistribution and use in source and binary forms with or without modification", 50),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions", 50),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions", 50),
+    ("bsd-2-clause", "opensource org licenses bsd 2 clause", 80),
+    ("bsd-3-clause", "nor the names of its contributors may be used to endorse or promote products derived from this software", 66),
+    ("bsd-3-clause", "opensource org licenses bsd 3 clause", 80),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 68),
+    ("apache-2", "you may not use this file except in compliance with the licen[cs]e", 62),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis", 62),
+    ("apache-2", "apache org licenses licen[cs]e 2 0", 80),
+    ("apache-1.1", "this product includes software developed by the apache software foundation", 60),
+    ("apache-2", "opensource org licenses apache 2 0", 80),
+    ("gpl", "as published by the free software foundation either version", 40),
+    ("gpl", "you should have received a copy of the gnu general public licen[cs]e", 45),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document but changing it is not allowed", 45),
+    ("gpl", "strong copyleft", 5),
+    ("gpl-2", "either version 2 of the licen[cs]e or at your option any later version", 64),
+    ("gpl-2", "gnu org licenses old licenses gpl 2 0", 80),
+    ("gpl-3", "either version 3 of the licen[cs]e or at your option any later version", 64),
+    ("gpl-3", "gnu org licenses gpl 3 0", 80),
+    ("lgpl", "this library is free software you can redistribute it and or modify it", 50),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e", 52),
+    ("lgpl-2.1", "either version 2 1 of the licen[cs]e or at your option any later version", 66),
+    ("lgpl-2.1", "gnu org licenses old licenses lgpl 2 1", 80),
+    ("lgpl-3", "gnu org licenses lgpl 3 0", 80),
+    ("agpl", "you should have received a copy of the gnu affero general public licen[cs]e", 54),
+    ("agpl-3", "gnu org licenses agpl 3 0", 80),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e", 66),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public licen[cs]e", 62),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0", 68),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at", 66),
+    ("mpl-2", "mozilla org mpl 2 0", 80),
+    ("epl-1", "eclipse org legal epl v10", 80),
+    ("epl-2", "eclipse org legal epl 2 0", 80),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e 2 0", 68),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution licen[cs]e", 66),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", 60),
+    ("zlib", "the origin of this software must not be misrepresented", 60),
+    ("zlib", "altered source versions must be plainly marked as such", 60),
+    ("boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 66),
+    ("boost-1", "boost org license 1 0", 80),
+    ("unlicense", "free and unencumbered software released into the public domain", 70),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", 66),
+    ("wtfpl", "do what the fuck you want to", 70),
+    ("ofl-1.1", "this font software is licensed under the sil open font licen[cs]e", 66),
+    ("ofl-1.1", "scripts sil org ofl", 80),
+    ("ncsa", "neither the names of the university of illinois nor the names of its contributors", 66),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee", 60),
+    ("openssl", "this product includes software developed by the openssl project", 62),
+    ("php-3", "this product includes php software freely available from", 62),
+    ("vim", "the vim licen[cs]e applies to all files", 60),
+    ("json", "the software shall be used for good not evil", 66),
+    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer in return", 66),
+    ("artistic-2", "perlfoundation org artistic licen[cs]e 2 0", 80),
+    ("eupl", "licensed under the eupl", 60),
+    ("cc0", "creativecommons org publicdomain zero 1 0", 80),
+    ("cc0", "has waived all copyright and related or neighbou?ring rights", 62),
+    ("cc-by", "creativecommons org licenses by [1-4] [05]", 80),
+    ("cc-by-sa", "creativecommons org licenses by sa [1-4] [05]", 82),
+    ("cc-by-nd", "creativecommons org licenses by nd [1-4] [05]", 82),
+    ("cc-by-nc", "creativecommons org licenses by nc [1-4] [05]", 82),
+    ("cc-by-nc-sa", "creativecommons org licenses by nc sa [1-4] [05]", 84),
+    ("cc-by-nc-nd", "creativecommons org licenses by nc nd [1-4] [05]", 84),
+    ("public-domain", "dedicated to the public domain", 55),
+    ("public-domain", "placed in the public domain", 55),
+    ("odbl-1", "opendatacommons org licenses odbl", 80),
+    ("odc-by", "opendatacommons org licenses by", 80),
+    ("pddl", "opendatacommons org licenses pddl", 80),
+    ("llama", "use of the llama materials", 40),
+    ("openrail", "use based restrictions as referenced in paragraph 5", 50),
+    ("non-commercial", "for non ?commercial (?:use|purposes) only", 30),
+    ("research-only", "for (?:academic )?research (?:use|purposes) only", 30),
+    ("evaluation-only", "for evaluation purposes only", 25),
+    ("all-rights-reserved", "all rights reserved", 10),
+    ("all-rights-reserved", "tous droits r[eé]serv[eé]s", 10),
+    ("all-rights-reserved", "alle rechte vorbehalten", 10),
+    ("all-rights-reserved", "todos los derechos reservados", 10),
+    ("proprietary", "proprietary and confidential", 20),
+    ("proprietary", "confidential and proprietary", 20),
+    ("proprietary", "unauthori[sz]ed (?:copying|reproduction|distribution) of this (?:file|document|software) via any medium is strictly prohibited", 30),
+    ("proprietary", "no part of this (?:publication|document|work) may be reproduced", 25),
 )
 #: Every rule's match holds one of these; texts without any are not looked at again.
-ANCHORS = (" licen", "mit  no  attribution", " unlicense ", " spdx ", " cc ", " cc0 ", " gnu ", "gplv", " bsd ", "public  domain", "creative  commons", "permission  ", "redistribution  ", "unencumbered  ", "what  the  fuck", "rights  reserved", "proprietary  and", "copyleft")
+ANCHORS = (
+    " licen", "mit  no  attribution", " unlicense ", " spdx ", " cc ", " cc0 ", " gnu ", "gplv", " bsd ", "public  domain", "creative  commons", " permission  ", " redistribution", " unencumbered  ",
+    "what  the  fuck", "rights  reserved", " copyleft ", " creativecommons  org ", " warrant", " names  of  its  contributors ", " advertising  materials ", " product  includes ", "free  software", " mpl ", " epl ",
+    " damages  arising ", " misrepresented ", "  plainly  marked ", "  sell  or  distribute ", " scripts  sil  org ", "  good  not  evil ", "  beer  in  return ", " eupl ", " neighbo", " llama ", " restrictions  as ", "  purposes  only ",
+    "  use  only ", " droits ", " vorbehalten ", " derechos ", " proprietary ", " prohibited ", " reproduced ",
+)
 
 
 def canonical_pattern(words: str) -> str:
@@ -146,7 +234,7 @@ def canonical_pattern(words: str) -> str:
 
 
 def re_optional(word: str) -> bool:
-    return word.endswith("?") and not word.endswith((")?", "0?1?"))
+    return word.endswith("?") and not word.endswith((")?", "0?1?")) or re.fullmatch(r"\(\?:[^()]*\)\?", word) is not None
 
 
 def keyword_of(words: str) -> str:
@@ -168,7 +256,7 @@ def rules() -> list[Rule]:
             out += [Rule(label, keyword_of(name), canonical_pattern(f"{g} {name}"), 60 + more, 0.95, False) for g in GRANTS[:1]]
             out.append(Rule(label, keyword_of(name), canonical_pattern(name), 30 + more, 0.7, False))
         out.append(Rule(label, keyword_of(names[0]), "(?:" + "|".join(canonical_pattern(g) for g in GRANTS[1:]) + ")" + canonical_pattern(names[0]), 62 + 2 * len(names[0].split(" ")), 0.9, False))
-    out += [Rule(label, k, canonical_pattern(p), pr, 0.8 if pr >= 50 else 0.3, False) for label, k, p, pr in NOTICES]
+    out += [Rule(label, keyword_of(p), canonical_pattern(p), pr, 0.8 if pr >= 50 else 0.3, False) for label, p, pr in NOTICES]
     return out
 
 

@@ -18,13 +18,18 @@ def quoted(s: str) -> str:
 
 
 def op2() -> str:
+    """The base columns rest on the contract's phrases alone, as lists of words; only labels and score read the rules."""
     rules = ",\n  ".join(f"({i}, {quoted(r.keyword)}, {quoted(r.pattern)}, {r.priority}, {r.confidence}::DOUBLE, {r.base}, {quoted(r.label)})" for i, r in enumerate(licenses.rules()))
     anchors = " OR ".join(f"contains(s, {quoted(a)})" for a in licenses.ANCHORS)
     words = lambda x: f"((length({x}) - length(replace({x}, ' ', ''))) // 2)"
     return f"""
 WITH rules(ord, keyword, pattern, priority, confidence, base, label) AS (VALUES
   {rules}),
-docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, ' ' || trim(regexp_replace({LOWERED}, {quoted(licenses.SEPARATORS)}, '  ', 'g'), ' ') || ' ' AS s FROM documents),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, ' ' || trim(regexp_replace({LOWERED}, {quoted(licenses.SEPARATORS)}, '  ', 'g'), ' ') || ' ' AS s,
+  regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+phrases(p, label) AS (VALUES (['under', 'the', 'mit', 'license'], 'mit'), (['apache', 'license', 'version', '2'], 'apache-2'), (['cc', 'by', 'nc'], 'cc-by-nc')),
+plain AS (SELECT r, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS start FROM docs, phrases),
+base AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM plain GROUP BY r),
 hit AS (SELECT r, s, rules.*, string_split_regex(s, pattern) AS gaps, regexp_extract_all(s, pattern) AS found
   FROM docs JOIN rules ON contains(s, keyword) WHERE {anchors}),
 places AS (SELECT r, ord, priority, confidence, base, label, unnest(list_transform(range(1, len(found) + 1), lambda i: struct_pack(
@@ -33,11 +38,10 @@ places AS (SELECT r, ord, priority, confidence, base, label, unnest(list_transfo
 det AS (SELECT r, ord, priority, confidence, base, label, p.at AS start, p.at + p.long AS stop FROM places),
 kept AS (SELECT * FROM det d WHERE base OR NOT EXISTS (SELECT 1 FROM det e WHERE e.r = d.r AND e.start <= d.start AND e.stop >= d.stop AND (e.priority > d.priority
   OR (e.priority = d.priority AND (e.stop - e.start > d.stop - d.start OR (e.stop - e.start = d.stop - d.start AND e.ord < d.ord)))))),
-per AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
-  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(confidence) AS score FROM kept GROUP BY r)
-SELECT doc_id, CASE WHEN s = '  ' THEN 0 ELSE {words("s")} END AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+per AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(confidence) AS score FROM kept GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
-FROM docs LEFT JOIN per USING (r)"""
+FROM docs LEFT JOIN per USING (r) LEFT JOIN base USING (r)"""
 
 
 def op3() -> str:

@@ -140,6 +140,117 @@ def test_every_match_passes_the_license_prefilter():
             assert any(a in m for a in licenses.ANCHORS), m
 
 
+#: Label and a sentence that earns it; the detection that stands is marked by brackets. Written by hand, not from the rules.
+SAID = """
+mit: released [under the MIT license], see file
+mit: [SPDX-License-Identifier: MIT]
+mit: [Permission is hereby granted, free of charge, to any person obtaining a copy] of it
+mit-0: the [MIT No Attribution] text
+apache-1.1: under [Apache Software License, Version 1.1]
+apache-2: the [Apache License, Version 2.0] applies
+apache-2: at http://www.[apache.org/licenses/LICENSE-2.0]
+apache-2: [You may not use this file except in compliance with the License].
+bsd-2-clause: a [Simplified BSD License] file
+bsd-2-clause: a [two-clause BSD licence] file
+bsd-3-clause: the [Modified BSD License] here
+bsd-3-clause: [nor the names of its contributors may be used to endorse or promote products derived from this software] without
+bsd-4-clause: the [original BSD license] here
+bsd-4-clause: [All advertising materials mentioning features or use of this software must display the following acknowledgement]: x
+bsd: some [BSD-style license] here
+isc: the [ISC License] here
+zlib: the [zlib/libpng license] here
+zlib: [Altered source versions must be plainly marked as such], and
+gpl: the [GNU General Public License] here
+gpl-1: the [GNU General Public License version 1] here
+gpl-2: the [GNU General Public License, version 2] here
+gpl-2: [SPDX-License-Identifier: GPL-2.0-only]
+gpl-2: [SPDX-License-Identifier: GPL-2.0-or-later]
+gpl-2: [SPDX-License-Identifier: GPL-2.0]
+gpl-1: [SPDX-License-Identifier: GPL-1.0-only]
+gpl-1: [SPDX-License-Identifier: GPL-1.0-or-later]
+gpl-3: [SPDX-License-Identifier: GPL-3.0-only]
+gpl-3: [SPDX-License-Identifier: GPL-3.0-or-later]
+gpl-3: [either version 3 of the License, or (at your option) any later version]
+lgpl: the [GNU Lesser General Public License] here
+lgpl-2: the [GNU Library General Public License version 2] here
+lgpl-2: [SPDX-License-Identifier: LGPL-2.0-only]
+lgpl-2: [SPDX-License-Identifier: LGPL-2.0-or-later]
+lgpl-2.1: [SPDX-License-Identifier: LGPL-2.1-only]
+lgpl-2.1: [SPDX-License-Identifier: LGPL-2.1-or-later]
+lgpl-3: [SPDX-License-Identifier: LGPL-3.0-only]
+lgpl-3: [SPDX-License-Identifier: LGPL-3.0-or-later]
+agpl: the [GNU Affero General Public License] here
+agpl-3: [SPDX-License-Identifier: AGPL-3.0-only]
+agpl-3: [SPDX-License-Identifier: AGPL-3.0-or-later]
+gfdl: the [GNU Free Documentation License] here
+mpl-1.1: the [Mozilla Public License Version 1.1] here
+mpl-2: the [Mozilla Public License, v. 2.0] here
+mpl-2: [If a copy of the MPL was not distributed with this file, You can obtain one at] x
+epl-1: the [Eclipse Public License v 1.0] here
+epl-2: the [Eclipse Public License 2.0] here
+cddl: the [Common Development and Distribution License] here
+cpl-1: the [Common Public License Version 1] here
+eupl: the [European Union Public Licence] here
+artistic-1: the [Artistic License 1.0] here
+artistic-2: the [Artistic License 2.0] here
+unlicense: see [the Unlicense] here
+wtfpl: [do what the fuck you want to public license]
+cc0: by [Creative Commons Zero] here
+cc-by: at [creativecommons.org/licenses/by/4.0]/
+cc-by: under [CC BY] here
+cc-by-sa: under [CC BY-SA] here
+cc-by-nd: under [Creative Commons Attribution NoDerivs] here
+cc-by-nc: under [CC BY-NC] here
+cc-by-nc-sa: under [Creative Commons Attribution-NonCommercial-ShareAlike] here
+cc-by-nc-nd: at [creativecommons.org/licenses/by-nc-nd/3.0]/
+public-domain: it was [placed in the public domain] in
+odbl-1: the [Open Database License] here
+odc-by: the [Open Data Commons Attribution License] here
+pddl: the [Open Data Commons Public Domain Dedication and License] here
+boost-1: the [Boost Software License] here
+busl-1.1: the [Business Source License] here
+sspl-1: the [Server Side Public License] here
+elastic-2: the [Elastic License 2] here
+psf-2: the [Python Software Foundation License] here
+php-3: the [PHP License, version 3] here
+ruby: the [Ruby license] here
+postgresql: the [PostgreSQL License] here
+openssl: the [OpenSSL License] here
+ofl-1.1: the [SIL Open Font License] here
+ncsa: the [University of Illinois Open Source License] here
+ms-pl: the [Microsoft Public License] here
+ms-rl: the [Microsoft Reciprocal License] here
+osl-3: the [Open Software License version 3.0] here
+afl-3: the [Academic Free License v 3.0] here
+upl-1: the [Universal Permissive License] here
+json: the [JSON License] here
+json: [The Software shall be used for Good, not Evil].
+vim: the [Vim license] here
+beerware: the [Beer-Ware License] here
+openrail: the [OpenRAIL-M License] here
+llama: the [Llama 2 Community License] here
+non-commercial: made [for non-commercial use only] here
+research-only: made [for academic research purposes only] here
+evaluation-only: made [for evaluation purposes only] here
+all-rights-reserved: 2020, [all rights reserved] here
+all-rights-reserved: 2020, [tous droits réservés] here
+proprietary: is [proprietary and confidential] here
+proprietary: [Unauthorized copying of this file, via any medium, is strictly prohibited] here
+"""
+
+
+def test_licenses_said(spark):
+    """A sentence for each family and wording, with the interval of the detection that must stand for it."""
+    cases = [line.partition(": ")[::2] for line in SAID.strip().splitlines()]
+    rows = licenses.scan(docs_of(spark, [said.replace("[", "").replace("]", "") for _, said in cases])).orderBy("doc_id").collect()
+    words = lambda x: len(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", x.lower()))
+    assert {label for label, _ in cases} == {r.label for r in licenses.rules()}
+    for (label, said), r in zip(cases, rows, strict=True):
+        start = words(said[: said.index("[")])
+        assert (label, start, start + words(said[said.index("[") : said.index("]")])) in {(d.label, d.start, d.stop) for d in r.detections}, (label, said, r.detections)
+        assert r.labels == label, (said, r.labels)
+
+
 def test_license_names_in_one_word_or_two(spark):
     texts = ["Beerware License", "the beer-ware licence", "CreativeML OpenRAIL-M License", "under the terms of the Open RAIL license", "MIT No Attribution"]
     rows = licenses.scan(docs_of(spark, texts)).orderBy("doc_id").collect()
