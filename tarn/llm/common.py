@@ -52,6 +52,25 @@ def dropped(table: DataFrame) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+#: Keys that keyed_join() treats apart, at most; rows that a key has at least for that.
+HOT_KEYS, HOT_ROWS = 256, 1000
+
+
+def keyed_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """left joined with right by key, of which right has one row for each; counts: key, count (rows of left).
+
+    Rows of left that share one of the HOT_KEYS most frequent keys stay where they are and get that key's row of right
+    by broadcast, HOT_KEYS rows at most; all other keys have less than a HOT_KEYS-th of left's rows. left is read
+    twice, so it should be a table or cheap.
+    """
+    often = counts.where(F.col(key).isNotNull() & (F.col("count") >= HOT_ROWS)).select(key, "count")
+    hot = [bytes(k) if isinstance(k, bytearray) else k for k, _ in often.orderBy(F.desc("count"), key).limit(HOT_KEYS).collect()]
+    if not hot:
+        return left.join(right, key)
+    among = F.col(key).isin([F.lit(k) for k in hot])
+    return left.where(~among).join(right.where(~among), key).unionByName(left.where(among).join(F.broadcast(right.where(among)), key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import HOT_ROWS, dropped, keyed_join, written
 
 
 def mark(edges: DataFrame) -> tuple:
@@ -26,13 +26,19 @@ def components(edges: DataFrame) -> DataFrame:
     marks = mark(e)
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(low, both["a"] == low["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(least, large["a"] == least["u"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = written(joined(both, low, marks[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = joined(large, least, marks[0]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
         new = written(small.where("a <> b").distinct(), "edges")
         dropped(e)
+        dropped(large)
         e, before, marks = new, marks, mark(new)
         if marks == before:
             break
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def joined(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """edges and, for each a, its m; a's that many of the n edges have are joined apart."""
+    return keyed_join(edges, least, "a", edges.groupBy("a").count()) if n >= HOT_ROWS else edges.join(least, "a")
