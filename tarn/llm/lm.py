@@ -3,22 +3,31 @@
 Tokens are words (lower-cased in A-Z, split at ASCII white space) and one end for each text. Counts of all
 tokens of all training texts are a table, however large. The OWN most frequent words and the end are classes
 of the neural model by themselves; every other word, seen or not, belongs to one of BUCKETS classes by its
-last bytes. The model gives a normalised distribution of the next class from the last CONTEXT classes:
+last bytes. Inside such a class, each of the next OUT most frequent words (those that occur LEAST times; their
+number grows with the corpus up to that bound) has an output vector of its own, and one slot stands for all
+others. From the last CONTEXT classes the model gives a normalised distribution in two factors:
 
-    score(class | context) = sum_i (weight_i * vector(class_i)) . output(class) + bias(class)
+    q = sum_i weight_i * vector(class_i)
+    P(class | context)       = softmax over classes of  q . output(class) + bias(class)
+    P(slot | class, context) = softmax over its slots of q . row(slot) + bias(slot)
 
-and inside a bucket a word has its share of the bucket's counts, one added to each and one more for all
+and a word in the slot of all others has its share of their counts, one added to each and one more for all
 unseen words together; so the probabilities of all words add up to 1 in every context.
 
-Training covers every training text. Each task runs stochastic steps over its own texts from a common
-start, with noise from the class frequencies; the parameters are averaged, weighted by tokens, in two
-levels. Their size is fixed. Scoring multiplies batches of context vectors by all outputs at once.
+Training covers every training text once, in ROUNDS parts. In a round each task runs stochastic steps over its own
+texts from the common model; then the parameters are averaged on executors, those of classes weighted by tokens, a
+slot's by how often the task met it, and the next round starts from the mean. Noise comes from the class
+frequencies (NOISE samples for a step's positions) and inside classes from the counts (SLOT_NOISE for each position).
+The model's size is bounded. Scoring multiplies batches of context vectors by all class outputs at once, and those of a
+class's positions by all its slots.
 
 Counts of the HEAD most frequent words, a bounded table, go to all workers; the other words of a text are
 joined to the counts by word, and only they are exchanged.
 
-Defined cases: a null or blank text is its end alone; a null id counts as a training text; repeated rows
-count and are scored each; with no training text every word is unseen and classes are equally likely.
+Defined cases: a null or blank text is its end alone; texts of any length are read whole; a null id counts as a
+training text; repeated rows count and are scored each; with no training text every word is unseen and classes are
+equally likely; an empty table gives an empty result; columns but doc_id and text are ignored. The score depends in
+its last digits on how the input is partitioned, as steps do; reruns over the same partitions agree.
 """
 
 from __future__ import annotations
@@ -34,11 +43,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of, tidy, written
+from .common import slices, texts_of, tidy, written
 
-OWN, BUCKETS, HEAD = 191, 64, 1 << 17
+#: Words that are classes; classes of the others; words with counts in all workers; words with rows, which occur so often.
+OWN, BUCKETS, HEAD, OUT, LEAST = 63, 128, 1 << 17, 1 << 15, 5
 CLASSES, END = OWN + 1 + BUCKETS, OWN
-DIM, CONTEXT, NOISE, TIMES, BATCH, RATE = 16, 6, 64, 8.0, 1024, 0.15
+DIM, CONTEXT, NOISE, TIMES, RATE = 16, 6, 64, 8.0, 0.15
+#: A step's positions: so many pieces of so many in a row. Samples for each position inside its class.
+PIECES, PIECE, SLOT_NOISE = 64, 16, 4
+#: Parts of the training texts, after each of which models are averaged.
+ROUNDS = 2
 #: Distinct words that a task counts before it passes the counts on.
 FLUSH = 200_000
 
@@ -75,202 +89,317 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """own: words of classes 0 to OWN - 1; logs: head word -> log10(c + 1); class_logs: log10 of each bucket's divisor."""
+    """own: words of classes 0 to OWN - 1; logs: head word -> log10(c + 1); out: the words with rows, by class, then order
+    of frequency; first: the place of each bucket's slot of all others (the last: the number of slots), its words' follow;
+    shares: of classes; inside: counts of slots; others: log10 of the counts of each bucket's slot of all others."""
 
-    def __init__(self, own: list[bytes], logs: dict[bytes, float], divisors: np.ndarray, shares: np.ndarray) -> None:
+    def __init__(self, own: list[bytes], logs: dict[bytes, float], out: list[bytes], first: np.ndarray, shares: np.ndarray, inside: np.ndarray) -> None:
         self.cls = {w: i for i, w in enumerate(own)}
-        self.logs, self.divisors, self.shares = logs, divisors, shares
+        self.logs, self.out, self.first, self.shares, self.inside = logs, out, first, shares, inside
+        slots = np.setdiff1d(np.arange(first[-1]), first[:-1])
+        self.slot = dict(zip(out, slots.tolist(), strict=True))
 
     def plain(self) -> tuple:
         """What a broadcast can carry to workers that lack this module."""
-        return list(self.cls), self.logs, self.divisors, self.shares
+        return list(self.cls), self.logs, self.out, self.first, self.shares, self.inside
 
     def known(self) -> Words:
         return Words(self)
 
+    def bucket_of_slots(self) -> np.ndarray:
+        return np.repeat(np.arange(BUCKETS), np.diff(self.first))
+
+    def inner_logs(self) -> np.ndarray:
+        """Natural log of each slot's share of its class by counts."""
+        of = self.bucket_of_slots()
+        return np.log(self.inside / np.bincount(of, self.inside, BUCKETS)[of])
+
+    def other_logs(self) -> np.ndarray:
+        """For each class, log10 of what a count in its slot of all others is divided by; 0 for words and the end."""
+        return np.concatenate([np.zeros(OWN + 1), np.log10(self.inside[self.first[:-1]])])
+
 
 class Words(dict):
-    """A worker's memory of words: word -> its number in the columns cls and log (log10 of its count + 1; NaN outside the head)."""
+    """A worker's memory of words: word -> its number in the columns cls, slot (-1 if the class is a word) and log (log10 of
+    its count + 1; NaN outside the head; 0 for words of a class or slot of their own)."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.own, self.logs = vocabulary.cls.get, vocabulary.logs.get
-        self.cls, self.log = np.zeros(1024, np.int32), np.zeros(1024)
+        self.own, self.logs, self.slots, self.first = vocabulary.cls.get, vocabulary.logs.get, vocabulary.slot.get, vocabulary.first
+        self.cls, self.slot, self.log, self.base = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(1024), np.zeros(1024)
 
     def __missing__(self, word: bytes) -> int:
         n = len(self)
         if n == len(self.cls):
-            self.cls, self.log = (np.concatenate([x, np.zeros_like(x)]) for x in (self.cls, self.log))
+            self.cls, self.slot, self.log, self.base = (np.concatenate([x, np.zeros_like(x)]) for x in (self.cls, self.slot, self.log, self.base))
         own = self.own(word)
-        self.cls[n] = bucket_class(word) if own is None else own
-        self.log[n] = self.logs(word, math.nan)
+        self.base[n] = self.log[n] = self.logs(word, math.nan)
+        if own is not None:
+            self.cls[n], self.slot[n], self.log[n] = own, -1, 0.0
+        else:
+            self.cls[n], slot = bucket_class(word), self.slots(word)
+            self.slot[n] = self.first[self.cls[n] - OWN - 1] if slot is None else slot
+            if slot is not None:
+                self.log[n] = 0.0
         self[word] = n
         return n
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
-    def classes(self, words: list[bytes]) -> np.ndarray:
-        """Class numbers of a text's words, then its end."""
-        at = self.numbers(words)  # first, for it may replace the columns
-        return np.append(self.cls[at], np.int32(END))
-
     def rest(self) -> None:
         """Forget all, if that is much; between texts only."""
         if len(self) > FLUSH:
             self.clear()
 
 
+PAD = [END] * CONTEXT
+
+
+def stream(texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, slots) of texts -> classes and slots of all in a row, each text between CONTEXT ends and its own end, and the
+    places that are scored: the words and that end."""
+    lengths = np.array([len(c) + 1 for c, _ in texts])
+    total = int((lengths + CONTEXT).sum())
+    at = np.ones(total, bool)
+    heads = np.cumsum(lengths + CONTEXT) - lengths - CONTEXT
+    at[(heads[:, None] + np.arange(CONTEXT)).ravel()] = False
+    places = np.flatnonzero(at)
+    cls, slot = np.full(total, END, np.int32), np.full(total, -1, np.int32)
+    ends = np.cumsum(lengths) - 1
+    inner = np.delete(places, ends)
+    cls[inner], slot[inner] = np.concatenate([c for c, _ in texts]), np.concatenate([x for _, x in texts])
+    return cls, slot, places
+
+
 class Model:
-    """vectors (CLASSES, DIM), weights (CONTEXT, DIM), outputs (CLASSES, DIM), bias (CLASSES)."""
+    """parts: vectors (CLASSES, DIM), weights (CONTEXT, DIM), outputs (CLASSES, DIM), bias (CLASSES, 1); rows: (slots, DIM + 1),
+    a slot's output and its bias."""
 
-    SHAPES = ((CLASSES, DIM), (CONTEXT, DIM), (CLASSES, DIM), (CLASSES,))
+    SHAPES = ((CLASSES, DIM), (CONTEXT, DIM), (CLASSES, DIM), (CLASSES, 1))
 
-    def __init__(self, parts: list[np.ndarray]) -> None:
-        self.parts = parts
+    def __init__(self, parts: list[np.ndarray], rows: np.ndarray, first: np.ndarray) -> None:
+        self.parts, self.rows, self.first = parts, rows, first
 
     @classmethod
-    def start(cls, shares: np.ndarray) -> Model:
+    def start(cls, v: Vocabulary) -> Model:
         rng = np.random.default_rng(11)
         near = [rng.normal(0, 0.3, s) for s in cls.SHAPES[:3:2]]
-        return cls([x.astype(np.float32) for x in (near[0], np.full(cls.SHAPES[1], 1 / CONTEXT), near[1] * 0.3, np.log(shares))])
+        parts = [near[0], np.full(cls.SHAPES[1], 1 / CONTEXT), near[1] * 0.3, np.log(v.shares)[:, None]]
+        return cls([x.astype(np.float32) for x in parts], np.concatenate([np.zeros((v.first[-1], DIM)), v.inner_logs()[:, None]], axis=1).astype(np.float32), v.first)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts]).astype(np.float32)
+        return np.concatenate([p.ravel() for p in self.parts])
 
     @classmethod
-    def of(cls, flat: np.ndarray) -> Model:
+    def of(cls, flat: np.ndarray, rows: np.ndarray, first: np.ndarray) -> Model:
         cuts = np.cumsum([math.prod(s) for s in cls.SHAPES])[:-1]
-        return cls([np.array(x, np.float32).reshape(s) for x, s in zip(np.split(flat, cuts), cls.SHAPES, strict=True)])
-
-    def tables(self) -> np.ndarray:
-        """What a class adds to the context vector from each distance: (CONTEXT, CLASSES, DIM)."""
-        return self.parts[0][None] * self.parts[1][:, None]
-
-    @staticmethod
-    def context(tables: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """before (n, CONTEXT) class numbers, nearest first -> context vectors (n, DIM)."""
-        q = tables[0].take(before[:, 0], axis=0)
-        for i in range(1, CONTEXT):
-            q += tables[i].take(before[:, i], axis=0)
-        return q
-
-    def log_probs(self, before: np.ndarray, then: np.ndarray, size: int = 1024) -> np.ndarray:
-        """Natural logs of P(then | before), normalised over all classes."""
-        out = np.empty(len(then), np.float32)
-        tables, outputs = self.tables(), np.concatenate([self.parts[2].T, self.parts[3][None, :]])
-        rows = np.arange(size)
-        for s in range(0, len(then), size):
-            q = self.context(tables, before[s : s + size])
-            z = np.concatenate([q, np.ones((len(q), 1), np.float32)], axis=1) @ outputs
-            own = z[rows[: len(z)], then[s : s + size]]
-            if z.max() > 60:  # else exp can't overflow
-                top = z.max(axis=1)
-                z -= top[:, None]
-                own = own - top
-            np.exp(z, out=z)
-            out[s : s + size] = own - np.log(z.sum(axis=1))
+        return cls([np.array(x, np.float32).reshape(s) for x, s in zip(np.split(flat, cuts), cls.SHAPES, strict=True)], rows, first)
+
+    def context(self, near: np.ndarray) -> np.ndarray:
+        """near (..., CONTEXT + n, DIM), vectors of the classes in a row -> context vectors of the last n."""
+        n = near.shape[-2] - CONTEXT
+        return sum(near[..., CONTEXT - 1 - i : CONTEXT - 1 - i + n, :] * w for i, w in enumerate(self.parts[1]))
+
+    def log_probs(self, cls: np.ndarray, slot: np.ndarray, places: np.ndarray, size: int = 1024, block: int = 1 << 16) -> np.ndarray:
+        """A stream() -> natural logs of P(class, slot | context) at its places, normalised over all classes and slots."""
+        vectors, _, outputs, bias = self.parts
+        cls = np.concatenate([PAD, cls]).astype(np.int32)
+        wide = np.concatenate([outputs, bias], axis=1).T
+        out = np.empty(len(places))
+        cuts = np.searchsorted(places, np.arange(0, len(slot) + block, block))
+        for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            start, at = n * block, places[a:b]
+            q = np.ones((b - a, DIM + 1), np.float32)
+            q[:, :DIM] = self.context(vectors.take(cls[start : start + block + CONTEXT], axis=0))[at - start]
+            out[a:b] = self.block_log_probs(q, cls[at + CONTEXT], slot[at], wide, size)
+        return out
+
+    def block_log_probs(self, q: np.ndarray, cls: np.ndarray, slot: np.ndarray, wide: np.ndarray, size: int) -> np.ndarray:
+        out = np.empty(len(cls))
+        for s in range(0, len(cls), size):
+            out[s : s + size] = log_softmax(q[s : s + size] @ wide, cls[s : s + size])
+        by = np.argsort(cls.astype(np.uint16), kind="stable")
+        cuts = np.searchsorted(cls[by], np.arange(OWN + 1, CLASSES + 1))
+        for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            rows = self.rows[self.first[g] : self.first[g + 1]].T
+            for s in range(a, b if rows.shape[1] > 1 else a, size):
+                at = by[s : min(b, s + size)]
+                out[at] += log_softmax(q[at] @ rows, slot[at] - self.first[g])
         return out
 
-    def train(self, before: np.ndarray, then: np.ndarray, shares: np.ndarray, past: list[np.ndarray], rng: np.random.Generator) -> None:
-        """One pass of noise-contrastive steps (Adagrad; past: sums of squared gradients, kept by the caller).
 
-        A step's positions share NOISE samples; each stands for TIMES / NOISE draws of noise for every position.
-        """
-        vectors, weights, outputs, bias = self.parts
-        np.seterr(over="ignore")  # exp of a large score: the gradient is then 0, as it should be
-        add = np.log(TIMES * shares).astype(np.float32)
-        up_to = np.cumsum(shares)
-        for s in range(0, len(then), BATCH):
-            b, t = before[s : s + BATCH], then[s : s + BATCH]
-            n = len(t)
-            noise = np.minimum(np.searchsorted(up_to, rng.random(NOISE)), CLASSES - 1)
-            q = self.context(self.tables(), b)
-            mine, others = outputs.take(t, axis=0), outputs.take(noise, axis=0)
-            g_own = 1 / (1 + np.exp((q * mine).sum(axis=1) + (bias - add)[t])) / n
-            z = q @ others.T
-            z += (bias - add)[noise]
-            np.negative(z, out=z)
-            np.exp(z, out=z)
-            z += 1
-            g_noise = np.divide(np.float32(-TIMES / NOISE / n), z, out=z)
-            gq = g_own[:, None] * mine + g_noise @ others
-            go = _summed(t, g_own[:, None] * q, CLASSES)
-            np.add.at(go, noise, g_noise.T @ q)
-            gb = np.bincount(t, g_own, CLASSES) + np.bincount(noise, g_noise.sum(axis=0), CLASSES)
-            each = [_summed(b[:, i], gq, CLASSES) for i in range(CONTEXT)]
-            gv = sum(e * w for e, w in zip(each, weights, strict=True))
-            gw = np.stack([(e * vectors).sum(axis=0) for e in each])
-            for p, g, h in zip(self.parts, (gv, gw, go, gb), past, strict=True):
-                h += g * g
-                p += (RATE * g / np.sqrt(h + 1e-10)).astype(np.float32)
-
-
-def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+def log_softmax(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The own columns of the log of the softmax of z's rows; z is lost."""
+    at = z[np.arange(len(z)), own]
+    if z.max() > 60 or z.min() < -60:  # else exp stays within single precision
+        top = z.max(axis=1)
+        z -= top[:, None]
+        at = at - top
+    np.exp(z, out=z)
+    return at - np.log(z.sum(axis=1))
+
+
+def summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Rows of values summed by row number."""
     width = values.shape[1]
     at = np.add.outer(rows.astype(np.int64) * width, np.arange(width))
     return np.bincount(at.ravel(), values.ravel(), n * width).reshape(n, width)
 
 
-def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Class numbers of texts, each closed by its end -> (contexts, classes); before a text stand ends."""
-    then = np.concatenate(texts)
-    at = np.concatenate([np.arange(len(t)) for t in texts])
-    before = np.empty((len(then), CONTEXT), np.int32)
-    for i in range(CONTEXT):
-        shifted = np.full(len(then), END, np.int32)
-        shifted[i + 1 :] = then[: -i - 1] if len(then) > i + 1 else []
-        before[:, i] = np.where(at > i, shifted, END)
-    return before, then
-
+class Trainer:
+    """Noise-contrastive steps on a model (Adagrad; past and past_rows: sums of squared gradients; met: how often each slot was)."""
 
-def fit(texts: DataFrame, vocabulary: Vocabulary) -> Model:
-    """texts (text as binary), all of which are learnt from -> the averaged model."""
-    held = texts.sparkSession.sparkContext.broadcast(vocabulary.plain())
+    def __init__(self, model: Model, v: Vocabulary, past: list[np.ndarray], past_rows: np.ndarray, seed: int) -> None:
+        self.model, self.past, self.past_rows = model, past, past_rows
+        self.rng = np.random.default_rng(seed)
+        self.met = np.zeros(len(model.rows), np.float32)
+        self.up_to, self.add = np.cumsum(v.shares), np.log(TIMES * v.shares).astype(np.float32)
+        self.inner = v.inner_logs().astype(np.float32)
+        self.first, self.sums = v.first, np.concatenate([[0], np.cumsum(v.inside)])
+        self.low, self.high = self.sums[v.first[:-1]], self.sums[v.first[1:]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(*held.value)
-        model, memo, waiting, tokens = Model.start(v.shares), v.known(), [], 0
-        past = [np.full(s, 1e-6) for s in Model.SHAPES]
-        rng = np.random.default_rng(TaskContext.get().partitionId())
-
-        def learn() -> int:
-            before, then = windows(waiting)
-            order = rng.permutation(len(then))  # texts mixed inside the pack, so that steps are not of one text
-            model.train(before[order], then[order], v.shares, past, rng)
-            waiting.clear()
-            return len(then)
-
-        size = 0
-        for b in batches:
-            for t in texts_of(b.column(0)):
-                waiting.append(memo.classes(words_of(t)))
-                memo.rest()
-                size += len(waiting[-1])
-                if size > 1 << 17:
-                    tokens, size = tokens + learn(), 0
-        if waiting:
-            tokens += learn()
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(tokens)]), pa.array([model.flat().tobytes()], pa.binary())], ["part", "tokens", "model"])
-        memo.clear()
-        tidy()
+    def learn(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> int:
+        """One pass over texts, in steps of PIECES pieces from anywhere in them; returns the number of tokens."""
+        np.seterr(over="ignore")  # exp of a large score: the gradient is then 0, as it should be
+        cls, slot, places = stream(texts)
+        pieces = -(-len(cls) // PIECE)
+        end = pieces * PIECE - len(cls)
+        cls, slot = np.concatenate([PAD, cls, [END] * end]).astype(np.int32), np.concatenate([slot, [-1] * end]).astype(np.int32)
+        counts = np.zeros(len(slot), bool)
+        counts[places] = True
+        slot, counts = slot.reshape(pieces, PIECE), counts.reshape(pieces, PIECE)
+        order = self.rng.permutation(pieces)
+        row = np.arange(CONTEXT + PIECE)
+        for s in range(0, pieces, PIECES):
+            some = order[s : s + PIECES]
+            self.step(cls[some[:, None] * PIECE + row], slot[some], np.flatnonzero(counts[some]))
+        return len(places)
+
+    def step(self, cls: np.ndarray, slot: np.ndarray, at: np.ndarray) -> None:
+        """cls (pieces, CONTEXT + PIECE), slot (pieces, PIECE), at: places that count."""
+        vectors, weights, outputs, bias = self.model.parts
+        near = vectors.take(cls, axis=0)
+        q = self.model.context(near).reshape(-1, DIM)[at]
+        t, slot, n = cls[:, CONTEXT:].ravel()[at], slot.ravel()[at], len(at)
+        noise = np.minimum(np.searchsorted(self.up_to, self.rng.random(NOISE)), CLASSES - 1)
+        mine, others, over = outputs.take(t, axis=0), outputs.take(noise, axis=0), bias[:, 0] - self.add
+        g_own = 1 / (1 + np.exp((q * mine).sum(axis=1) + over[t])) / n
+        z = q @ others.T
+        z += over[noise]
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+        z += 1
+        g_noise = np.divide(np.float32(-TIMES / NOISE / n), z, out=z)
+        gq = g_own[:, None] * mine + g_noise @ others
+        go = summed(t, g_own[:, None] * q, CLASSES) + summed(noise, g_noise.T @ q, CLASSES)
+        gb = np.bincount(t, g_own, CLASSES) + np.bincount(noise, g_noise.sum(axis=0), CLASSES)
+        inner = np.flatnonzero(slot >= 0)
+        gq[inner] += self.inside(t[inner] - OWN - 1, slot[inner], q[inner]) / n
+        full = np.zeros((cls.shape[0] * PIECE, DIM), np.float32)
+        full[at] = gq
+        full = full.reshape(-1, PIECE, DIM)
+        g_near, gw = np.zeros_like(near), np.empty_like(weights)
+        for i, w in enumerate(weights):
+            cut = slice(CONTEXT - 1 - i, CONTEXT - 1 - i + PIECE)
+            gw[i] = np.einsum("abc,abc->c", full, near[:, cut])
+            g_near[:, cut] += full * w
+        gv = summed(cls.ravel(), g_near.reshape(-1, DIM), CLASSES)
+        for p, g, h in zip(self.model.parts, (gv, gw, go, gb[:, None]), self.past, strict=True):
+            h += g * g
+            p += (RATE * g / np.sqrt(h + 1e-10)).astype(np.float32)
+
+    def inside(self, bucket: np.ndarray, slot: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """A step on the slots of positions in classes of several words -> the gradient of their context vectors."""
+        rows, m = self.model.rows, len(slot)
+        drawn = self.low[bucket][:, None] + self.rng.random((m, SLOT_NOISE)) * (self.high - self.low)[bucket][:, None]
+        noise = np.clip(np.searchsorted(self.sums, drawn, side="right") - 1, self.first[bucket][:, None], self.first[bucket + 1][:, None] - 1)
+        which = np.concatenate([slot[:, None], noise], axis=1)
+        taken = rows.take(which, axis=0)
+        z = np.einsum("mkd,md->mk", taken[:, :, :DIM], q)
+        z += taken[:, :, DIM] - self.inner[which] - np.float32(math.log(SLOT_NOISE))
+        g = -1 / (1 + np.exp(-z))
+        g[:, 0] += 1
+        gq = np.einsum("mk,mkd->md", g, taken[:, :, :DIM])
+        each = np.empty((m, 1 + SLOT_NOISE, DIM + 1), np.float32)
+        np.multiply(g[:, :, None], q[:, None, :], out=each[:, :, :DIM])
+        each[:, :, DIM] = g
+        which = which.ravel()
+        by = np.argsort(which.astype(np.uint16), kind="stable")
+        new = np.append(True, np.diff(which[by]) > 0)[:len(by)]
+        number = np.empty(len(by), np.int64)
+        number[by] = np.cumsum(new) - 1
+        hit = which[by[new]]
+        total = summed(number, each.reshape(-1, DIM + 1), len(hit)).astype(np.float32)
+        self.met[hit] += np.bincount(number, minlength=len(hit))
+        past = self.past_rows.take(hit, axis=0) + total * total
+        self.past_rows[hit] = past
+        rows[hit] += RATE * total / np.sqrt(past)
+        return gq
+
+
+#: A trained model on its way to the mean: its task and tokens; parts and rows with their sums of squares; met.
+CARRIED = "part long, tokens double, parts binary, rows binary, met binary"
 
-    def mean(group: pa.Table) -> pa.Table:
-        group = group.sort_by("part")  # so that sums, and scores, are the same in every run
-        w = np.array(group.column("tokens").to_pylist())
-        total = sum(x * np.frombuffer(m, np.float32).astype(np.float64) for x, m in zip(w, group.column("model").to_pylist(), strict=True)) / w.sum()
-        return pa.table([group.column("part").slice(0, 1).combine_chunks(), pa.array([float(w.sum())]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "tokens", "model"])
 
-    kind = "part long, tokens double, model binary"
-    trained = texts.mapInArrow(run, kind)
-    # In two levels: the root of the number of tasks, then as many on the driver; each model has about 35 KB.
-    groups = max(8, math.isqrt(texts.rdd.getNumPartitions()))
-    rows = trained.groupBy(F.pmod("part", F.lit(groups)).alias("g")).applyInArrow(mean, kind).orderBy("part").collect()
-    if not rows:
-        return Model.start(vocabulary.shares)
-    w = np.array([r["tokens"] for r in rows])
-    return Model.of(sum(x * np.frombuffer(r["model"], np.float32).astype(np.float64) for x, r in zip(w, rows, strict=True)) / w.sum())
+def fit(texts: DataFrame, vocabulary: Vocabulary) -> Model:
+    """texts (text as binary), all of which are learnt from, each in one round -> the averaged model."""
+    model = Model.start(vocabulary)
+    n_rows, dense = len(model.rows), len(model.flat())
+    parts = np.stack([model.flat(), np.full(dense, 1e-6, np.float32)])
+    rows = np.stack([model.rows, np.full_like(model.rows, 1e-2)])
+    spark = texts.sparkSession
+    for number in range(ROUNDS):
+        held = spark.sparkContext.broadcast((vocabulary.plain(), parts, rows))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            v = Vocabulary(*held.value[0])  # noqa: B023
+            parts, rows = (x.copy() for x in held.value[1:])  # noqa: B023
+            model = Model.of(parts[0], rows[0], v.first)
+            past = Model.of(parts[1], rows[1], v.first)
+            trainer = Trainer(model, v, [p.astype(np.float64) for p in past.parts], rows[1], TaskContext.get().partitionId())
+            memo, waiting, tokens, size = v.known(), [], 0, 0
+            for b in batches:
+                for t in texts_of(b.column(0)):
+                    at = memo.numbers(words_of(t))  # first, for it may replace the columns
+                    waiting.append((memo.cls[at], memo.slot[at]))
+                    memo.rest()
+                    size += len(at) + 1
+                    if size > 1 << 17:
+                        tokens, size = tokens + trainer.learn(waiting), 0
+                        waiting.clear()
+            if waiting:
+                tokens += trainer.learn(waiting)
+            if tokens:
+                parts = np.stack([model.flat(), np.concatenate([h.ravel() for h in trainer.past]).astype(np.float32)])
+                yield carried(TaskContext.get().partitionId(), tokens, parts, rows, trainer.met).to_batches()[0]
+            memo.clear()
+            tidy()
+
+        def mean(group: pa.Table) -> pa.Table:
+            group = group.sort_by("part")  # so that sums, and scores, are the same in every run
+            w = np.array(group.column("tokens").to_pylist())
+            parts, rows, met = np.zeros((2, dense)), np.zeros((2, n_rows, DIM + 1)), np.zeros(n_rows)
+            for x, p, r, m in zip(w, *(group.column(c).to_pylist() for c in ("parts", "rows", "met")), strict=True):
+                often = np.frombuffer(m, np.float32) + 1e-3  # a slot that no task met keeps its value
+                parts += x * np.frombuffer(p, np.float32).reshape(2, -1)
+                rows += often[None, :, None] * np.frombuffer(r, np.float32).reshape(2, n_rows, -1)
+                met += often
+            return carried(group.column("part")[0].as_py(), w.sum(), parts / w.sum(), rows / met[None, :, None], met)
+
+        part = texts.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == number)
+        trained = part.mapInArrow(run, CARRIED)
+        # In two levels, of about the root of the number of tasks; one model goes to the driver.
+        groups = max(8, math.isqrt(part.rdd.getNumPartitions()))
+        found = trained.groupBy(F.pmod("part", F.lit(groups)).alias("g")).applyInArrow(mean, CARRIED).groupBy(F.lit(0).alias("g")).applyInArrow(mean, CARRIED).first()
+        held.unpersist()
+        if found:
+            parts, rows = np.frombuffer(found["parts"], np.float32).reshape(2, -1), np.frombuffer(found["rows"], np.float32).reshape(2, n_rows, -1)
+    return Model.of(parts[0], rows[0], vocabulary.first)
+
+
+def carried(part: int, tokens: float, parts: np.ndarray, rows: np.ndarray, met: np.ndarray) -> pa.Table:
+    raw = [pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (parts, rows, met)]
+    return pa.table([pa.array([part], pa.int64()), pa.array([float(tokens)]), *raw], ["part", "tokens", "parts", "rows", "met"])
 
 
 def vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
@@ -290,17 +419,26 @@ def vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
     own = [bytes(r["word"]) for r in head[:OWN]]
     tail_class = F.lit(OWN + 1) + F.pmod(F.crc32(F.expr("substring(word, -3)")), F.lit(BUCKETS))
     sums = counts.withColumn("g", tail_class).groupBy("g").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
-    mass, divisors = np.ones(CLASSES), np.ones(CLASSES)
+    mass, others = np.ones(CLASSES), np.ones(CLASSES)
     for r in sums:
         mass[r["g"]] += r["c"]
-        divisors[r["g"]] += r["c"] + r["n"]
+        others[r["g"]] += r["c"] + r["n"]
     for i, r in enumerate(head[:OWN]):
         g = bucket_class(own[i])
         mass[i] += r["c"]
         mass[g] -= r["c"]
-        divisors[g] -= r["c"] + 1
+        others[g] -= r["c"] + 1
     mass[END] += n_texts
-    return Vocabulary(own, {bytes(r["word"]): math.log10(r["c"] + 1) for r in head}, np.log10(divisors), mass / mass.sum())
+    listed: list[list[tuple[bytes, int]]] = [[] for _ in range(BUCKETS)]
+    for r in head[OWN : OWN + OUT]:
+        if r["c"] >= LEAST:
+            w = bytes(r["word"])
+            listed[bucket_class(w) - OWN - 1].append((w, r["c"] + 1))
+    inside = []
+    for g, some in enumerate(listed):
+        inside += [others[g + OWN + 1] - sum(c for _, c in some), *(c for _, c in some)]
+    first = np.concatenate([[0], np.cumsum([1 + len(x) for x in listed])])
+    return Vocabulary(own, {bytes(r["word"]): math.log10(r["c"] + 1) for r in head}, [w for x in listed for w, _ in x], first, mass / mass.sum(), np.array(inside, np.float64))
 
 
 def score(docs: DataFrame, learn: Column) -> DataFrame:
@@ -313,33 +451,34 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     total, distinct = total + n_texts, distinct + (n_texts > 0)
     v = vocabulary(counts, n_texts)
     model = fit(chosen, v)
-    held = docs.sparkSession.sparkContext.broadcast((v.plain(), model.flat()))
+    held = docs.sparkSession.sparkContext.broadcast((v.plain(), model.flat(), model.rows))
     end_log = math.log10(n_texts + 1)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, flat = Vocabulary(*held.value[0]), held.value[1]
-        m, memo, at = Model.of(flat), v.known(), TaskContext.get().partitionId() << 36
+        v = Vocabulary(*held.value[0])
+        m, memo, at = Model.of(held.value[1], held.value[2], v.first), v.known(), TaskContext.get().partitionId() << 36
+        others = v.other_logs()
         for b in batches:
-            for s in range(0, b.num_rows, 256):
-                part = b.slice(s, 256)
+            for part in slices(b, 256):
                 memo.rest()
                 words = [words_of(t) for t in part.column(1).to_pylist()]
                 numbers = [memo.numbers(w) for w in words]
-                cls, log = memo.cls, memo.log
-                before, then = windows([np.append(cls[x], np.int32(END)) for x in numbers])
-                n = np.array([len(x) + 1 for x in numbers])
-                starts = np.append(0, np.cumsum(n)[:-1])
-                neural = np.add.reduceat(m.log_probs(before, then).astype(np.float64), starts) / math.log(10) - np.add.reduceat(v.divisors[then], starts)
-                known, base, inside, tails = [], [], [], []
-                for w, x in zip(words, numbers, strict=True):
-                    mine = log[x]
-                    out = np.flatnonzero(np.isnan(mine)).tolist()
-                    tails.append([w[i] for i in out])
-                    known.append(len(w) - len(out) + (n_texts > 0))
-                    base.append(float(np.nansum(mine)) + end_log)
-                    inside.append(float(np.nansum(mine[cls[x] > END])))
-                columns = [pa.array(np.arange(at, at + len(n)), pa.int64()), part.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(neural + np.array(inside)), pa.array(tails, pa.list_(pa.binary()))]
+                every = np.concatenate(numbers)
+                cls, slot, log, base = (x[every] for x in (memo.cls, memo.slot, memo.log, memo.base))
+                n = np.array([len(x) for x in numbers])
+                ends = np.cumsum(n)
+                neural = m.log_probs(*stream(list(zip(np.split(cls, ends[:-1]), np.split(slot, ends[:-1]), strict=True)))) / math.log(10)
+                # A word in the slot of all others has its share of their counts; NaN: to be looked up in the table.
+                shared = (slot >= 0) & (v.first[np.maximum(cls - OWN - 1, 0)] == slot)
+                out = np.isnan(base)
+                more = np.where(shared, np.where(out, 0.0, log) - others[cls], 0.0)
+                cut = lambda x, w=n: np.add.reduceat(np.append(x, 0.0), np.append(0, np.cumsum(w))[:-1]) * (w > 0)
+                missing = np.flatnonzero(out)
+                flat = [w for x in words for w in x] if len(missing) else []
+                tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(missing, np.append(0, ends)), pa.int32()), pa.array([flat[i] for i in missing], pa.binary()))
+                known = n - np.diff(np.searchsorted(missing, np.append(0, ends))) + (n_texts > 0)
+                columns = [pa.array(np.arange(at, at + len(n)), pa.int64()), part.column(0), pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(cut(np.nan_to_num(base)) + end_log), pa.array(cut(neural, n + 1) + cut(more)), tails]
                 at += len(n)
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "known", "base", "neural", "tail"])
         memo.clear()
