@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tarn.llm import ann, bpe, chat, graph, jaccard, licenses, lm, minhash, mixing, secrets, toxicity
+from tarn.llm import ann, bpe, chat, common, graph, jaccard, licenses, lm, minhash, mixing, secrets, toxicity
 from tarn.llm import queries as q
 from tests.conftest import SF, needs_data
 
@@ -440,6 +440,36 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, k, num, den, seed):
     assert len({c for _, c, _ in got.values()}) < len(texts) - 10
 
 
+def test_one_shingle_in_every_text(spark, monkeypatch):
+    """A line that all texts share, and a third of the rows copies of one: a pack sends it once, and classes are right."""
+    monkeypatch.setattr(jaccard, "PACK_SHINGLES", 600)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(graph, "HOT_ROWS", 20)
+    rng = random.Random(4)
+    line = "all of them say this"
+    copy = " ".join(f"c{i}" for i in range(30)) + " " + line
+    near = [f"n{i}" for i in range(120)]
+    texts = [copy] * 120 + [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) + " " + line for _ in range(150)]
+    texts += [" ".join([w if rng.random() > 0.002 else "x" for w in near] + [f"e{i}", *line.split()]) for i in range(90)]
+    docs = docs_of(spark, texts).repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.join_classes(docs, 5, 9, 10).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts, 5, 9, 10)
+    packs = jaccard.dealt(docs, 5, 0).collect()
+    whole = int(jaccard.shingles(line, 5, jaccard.Words())[0]).to_bytes(8, "little")[: jaccard.LOW]
+    sent = [sum(r.lows[i : i + jaccard.LOW] == whole for i in range(0, len(r.lows), jaccard.LOW)) for r in packs if r.bucket >= 0]
+    assert len(sent) > 10 and set(sent) == {1}
+    assert sorted(i for r in packs if r.bucket < 0 for i in r.ids) == list(range(len(texts)))
+
+
+def test_overlaps(monkeypatch):
+    rng = np.random.default_rng(2)
+    for heavy, pairs in ((1, 1 << 20), (50, 100), (1 << 30, 7)):
+        monkeypatch.setattr(jaccard, "HEAVY", heavy)
+        monkeypatch.setattr(jaccard, "PAIRS", pairs)
+        left, right = ([np.unique(rng.zipf(1.3, rng.integers(0, 60)).astype(np.uint64)) for _ in range(n)] for n in (17, 23))
+        assert jaccard.overlaps(left, right).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)] + [(2000, 2000 + i) for i in range(1, 90)] + [(5, 5)]
@@ -609,48 +639,181 @@ def test_lm_counts_and_gain(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_is_normalised():
-    rng = np.random.default_rng(1)
-    m = lm.Model([rng.normal(size=s).astype(np.float32) for s in lm.Model.SHAPES])
-    before = rng.integers(0, lm.CLASSES, (5, lm.CONTEXT))
-    all_ = m.log_probs(np.repeat(before, lm.CLASSES, axis=0), np.tile(np.arange(lm.CLASSES), 5)).reshape(5, -1)
-    assert np.allclose(np.exp(all_.astype(np.float64)).sum(axis=1), 1, atol=1e-4)
-    big = lm.Model([p * 30 for p in m.parts])
-    assert np.isfinite(big.log_probs(before, before[:, 0])).all()
+def some_vocabulary(rng, most=30):
+    """Classes of one to most slots, with random shares and counts."""
+    sizes = rng.integers(1, most, lm.BUCKETS)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    shares = rng.random(lm.CLASSES) + 0.01
+    out = [f"w{i}".encode() for i in range(first[-1] - lm.BUCKETS)]
+    return lm.Vocabulary([], {}, out, first, shares / shares.sum(), rng.integers(1, 50, first[-1]).astype(float))
 
 
-def test_training_reaches_six_words_back_with_full_steps():
-    assert (lm.CONTEXT, lm.NOISE, lm.BATCH) == (6, 64, 1024)
+def random_model(rng, v, scale=1.0):
+    m = lm.Model.start(v)
+    m.parts = [(scale * rng.normal(size=s)).astype(np.float32) for s in lm.Model.SHAPES]
+    m.rows = (scale * rng.normal(size=m.rows.shape)).astype(np.float32)
+    return m
+
+
+def test_lm_is_normalised():
+    """Over all classes and slots, in every context; and blocks of any size give the same."""
+    rng = np.random.default_rng(1)
+    v = some_vocabulary(rng)
+    m = random_model(rng, v)
+    pairs = [(c, -1) for c in range(lm.OWN + 1)] + [(lm.OWN + 1 + g, x) for g in range(lm.BUCKETS) for x in range(v.first[g], v.first[g + 1])]
+    before = [pairs[i] for i in rng.integers(0, len(pairs), lm.CONTEXT)]
+    texts = [(np.array([c for c, _ in [*before, p]], np.int32), np.array([x for _, x in [*before, p]], np.int32)) for p in pairs]
+    cls, slot, places = lm.stream(texts)
+    got = m.log_probs(cls, slot, places)
+    ends = np.cumsum([lm.CONTEXT + 2] * len(pairs)) - 2
+    assert np.exp(got[ends]).sum() == pytest.approx(1, abs=1e-3)
+    assert np.allclose(m.log_probs(cls, slot, places, size=50, block=64), got, atol=1e-3)
+    assert np.isfinite(random_model(rng, v, 30).log_probs(cls, slot, places)).all()
+
+
+def test_stream_pads_texts():
+    cls, slot, places = lm.stream([(np.array([3, 70]), np.array([-1, 5])), (np.array([], int), np.array([], int))])
+    e = [lm.END] * lm.CONTEXT
+    assert cls.tolist() == [*e, 3, 70, lm.END, *e, lm.END] and slot[places].tolist() == [-1, 5, -1, -1]
+    assert cls[places].tolist() == [3, 70, lm.END, lm.END]
+
+
+def test_gradients_of_a_step(monkeypatch):
+    """A step moves every parameter by the gradient of the noise-contrastive objective, with the noise that it drew."""
+    monkeypatch.setattr(lm, "PIECE", 100)
+    rng = np.random.default_rng(3)
+    v = some_vocabulary(rng, 6)
+    m = random_model(rng, v, 0.3)
+    pairs = [(c, -1) for c in range(lm.OWN + 1)] + [(lm.OWN + 1 + g, x) for g in range(lm.BUCKETS) for x in range(v.first[g], v.first[g + 1])]
+    text = [pairs[i] for i in rng.integers(0, len(pairs), 150)]
+    cls, slot, places = lm.stream([tuple(np.array(x) for x in zip(*text, strict=True))])
+    t = lm.Trainer(m, v, [np.zeros(s) for s in lm.Model.SHAPES], np.zeros_like(m.rows), 1)
+    drawn = {}
+
+    class Fixed:
+        def __init__(self):
+            self.inner = np.random.default_rng(9)
+
+        def random(self, size):
+            drawn[size] = self.inner.random(size)
+            return drawn[size]
+
+    t.rng = Fixed()
+    padded = np.concatenate([lm.PAD, cls, [lm.END] * 40]).astype(np.int32)
+    start = 0
+    window, inner = padded[None, start : start + lm.CONTEXT + 100], slot[None, start : start + 100]
+    at = places[places < 100]
+    before = [p.astype(np.float64).copy() for p in m.parts], m.rows.astype(np.float64).copy()
+    t.step(window, inner, at)
+    parts, rows = before
+    noise = np.minimum(np.searchsorted(t.up_to, drawn[lm.NOISE]), lm.CLASSES - 1)
+
+    def objective(parts, rows):
+        vectors, weights, outputs, bias = parts
+        total, k = 0.0, 0
+        sig = lambda z: 1 / (1 + np.exp(-z))
+        for p in at:
+            q = sum(weights[i] * vectors[window[0, p + lm.CONTEXT - 1 - i]] for i in range(lm.CONTEXT))
+            c, x = window[0, p + lm.CONTEXT], inner[0, p]
+            s = lambda c: q @ outputs[c] + bias[c, 0] - np.log(lm.TIMES * v.shares[c])  # noqa: B023, E731
+            total += np.log(sig(s(c))) + lm.TIMES / lm.NOISE * sum(np.log(1 - sig(s(o))) for o in noise)
+            if x >= 0:
+                g = c - lm.OWN - 1
+                u = t.low[g] + drawn[next(y for y in drawn if isinstance(y, tuple))][k] * (t.high - t.low)[g]
+                others = np.clip(np.searchsorted(t.sums, u, side="right") - 1, v.first[g], v.first[g + 1] - 1)
+                r = lambda x: q @ rows[x, : lm.DIM] + rows[x, lm.DIM] - v.inner_logs()[x] - np.log(lm.SLOT_NOISE)  # noqa: B023, E731
+                total += np.log(sig(r(x))) + sum(np.log(1 - sig(r(o))) for o in others)
+                k += 1
+        return total / len(at)
+
+    # Adagrad from no past: the sum of squares is the square of the gradient (of slots: of the sum over the step).
+    got = [np.sqrt(h) for h in t.past] + [np.sqrt(t.past_rows) / len(at)]
+    for which in range(5):
+        values = [*parts, rows][which]
+        for _ in range(4):
+            spot = tuple(int(i) for i in np.argwhere(got[which] > 1e-4)[rng.integers((got[which] > 1e-4).sum())])
+            old, diff = values[spot], []
+            for d in (1e-4, -1e-4):
+                values[spot] = old + d
+                diff.append(objective(parts, rows))
+            values[spot] = old
+            assert abs((diff[0] - diff[1]) / 2e-4) == pytest.approx(got[which][spot], rel=0.02, abs=2e-5), (which, spot)
+
+
+def test_training_reaches_six_words_back():
+    assert (lm.CONTEXT, lm.NOISE, lm.PIECES * lm.PIECE) == (6, 64, 1024)
     rng = np.random.default_rng(5)
     texts = []
     for _ in range(150):  # each word repeats the one six before it, which the last five don't tell
-        texts.append(np.append(np.tile(rng.integers(0, 2, 6), 60), lm.END).astype(np.int32))
-    before, then = lm.windows(texts)
+        words = np.tile(rng.integers(0, 2, 6), 60)
+        texts.append((words.astype(np.int32), np.full(len(words), -1, np.int32)))
     shares = np.full(lm.CLASSES, 1e-4)
     shares[:2] = 0.45
-    shares /= shares.sum()
-    m, past = lm.Model.start(shares), [np.full(s, 1e-6) for s in lm.Model.SHAPES]
+    v = lm.Vocabulary([], {}, [], np.arange(lm.BUCKETS + 1), shares / shares.sum(), np.ones(lm.BUCKETS))
+    m = lm.Model.start(v)
+    trainer = lm.Trainer(m, v, [np.full(s, 1e-6) for s in lm.Model.SHAPES], np.full_like(m.rows, 1e-2), 1)
     for _ in range(4):
-        order = rng.permutation(len(then))
-        m.train(before[order], then[order], shares, past, rng)
-    assert m.log_probs(before, then).mean() > math.log(0.5) / 2
+        trainer.learn(texts)
+    assert m.log_probs(*lm.stream(texts)).mean() > math.log(0.5) / 2
 
 
-def test_lm_bucket_shares_add_up(spark):
-    """Known words of a bucket, and one unseen, share its probability."""
-    texts = [" ".join(f"word{i}" for i in range(400)) for _ in range(3)]
+def test_lm_shares_add_up(spark, monkeypatch):
+    """Words with rows, known words without, and one unseen, share a bucket's probability; the own words are the others."""
+    monkeypatch.setattr(lm, "OUT", 150)
+    texts = [" ".join(f"word{i}" for i in range(400)) for _ in range(5)] + [" ".join(f"rare{i}" for i in range(100))]
     counts = lm.word_counts(docs_of(spark, texts).selectExpr("cast(text as binary) as text"))
-    v = lm.vocabulary(counts, 3)
-    rest = [f"word{i}".encode() for i in range(400) if f"word{i}".encode() not in v.cls]
-    mass = Counter()
-    for w in rest:
-        mass[lm.bucket_class(w)] += 10 ** (v.logs[w] - v.divisors[lm.bucket_class(w)])
-    assert len(rest) == 400 - lm.OWN
-    for g, p in mass.items():
-        assert p + 10 ** -v.divisors[g] == pytest.approx(1)
+    v = lm.vocabulary(counts, 6)
+    assert len(v.cls) == lm.OWN and len(v.slot) == 150 and len(v.logs) == 500
+    memo, others, mass = v.known(), v.other_logs(), Counter()
+    for w in [*(f"word{i}" for i in range(400)), *(f"rare{i}" for i in range(100)), "unseen"]:
+        i = memo[w.encode()]
+        c, x = int(memo.cls[i]), int(memo.slot[i])
+        if x >= 0 and x == v.first[c - lm.OWN - 1]:
+            mass[c] += 10 ** ((0 if w == "unseen" else memo.log[i]) - others[c])
+        else:
+            assert memo.log[i] == 0 and (x < 0) == (w.encode() in v.cls)
+    unseen = int(memo.cls[memo[b"unseen"]])
+    for g in range(lm.BUCKETS):
+        c = lm.OWN + 1 + g
+        assert mass[c] + (c != unseen) * 10 ** -others[c] == pytest.approx(1)
+    assert np.bincount(v.bucket_of_slots(), np.exp(v.inner_logs())) == pytest.approx(np.ones(lm.BUCKETS))
     assert v.shares.sum() == pytest.approx(1)
 
 
+def test_lm_against_a_bigram(spark):
+    """On held-out texts without copies in the training ones, above unigram counts and an interpolated bigram."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    # Words of two kinds in turn in each of three languages: the last words tell which ones come.
+    kinds = [[f"{c}{j}{'ab'[k]}{i}" for i in range(150) for j in "m"] for c in "xyz" for k in range(2)]
+    weights = [1 / (i + 3) for i in range(150)]
+    texts = []
+    for _ in range(1500):
+        lang = rng.randrange(3)
+        texts.append(" ".join(rng.choices(kinds[2 * lang + i // 2 % 2], weights)[0] for i in range(rng.randrange(10, 80))))
+    out = lm.score(docs_of(spark, texts).repartition(2), F.col("doc_id") % 7 != 2).collect()
+    pairs, before, after, c = Counter(), Counter(), {}, Counter()
+    for i, t in enumerate(texts):
+        if i % 7 != 2:
+            w = [None, *t.split(), None]
+            c.update(w[1:])
+            for a, b in zip(w, w[1:], strict=False):
+                pairs[a, b] += 1
+                before[a] += 1
+                after.setdefault(a, set()).add(b)
+    n, v, bigram, score, base = sum(c.values()), len(c), 0.0, 0.0, 0.0
+    for r in out:
+        if r.doc_id % 7 == 2:
+            w = [None, *texts[r.doc_id].split(), None]
+            for a, b in zip(w, w[1:], strict=False):
+                kinds_after = len(after.get(a, ())) + 1
+                bigram += math.log10((pairs[a, b] + kinds_after * (c[b] + 1) / (n + v + 1)) / (before[a] + kinds_after))
+            score += r.score
+            base += r.base_score
+    assert score > bigram > base, (score, bigram, base)
+
+
 # -- toxicity
 
 
