@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import sys
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -36,11 +36,12 @@ def session(name: str = "tarn", **conf: str) -> SparkSession:
 class Engine:
     """Tables of the store can be changed; a table that is only in the catalog is read-only.
 
+    Joins of tables that stats describes (see plans.stats.compute) are ordered by estimated cost.
     A statement outside SET TRANSACTION ... COMMIT is a transaction of its own; any error ends the open one.
     """
 
-    def __init__(self, spark: SparkSession, store: Store | None = None, int32: bool = False) -> None:
-        self.spark, self.store, self.int32 = spark, store, int32
+    def __init__(self, spark: SparkSession, store: Store | None = None, int32: bool = False, stats: dict[str, TableStats] | None = None) -> None:
+        self.spark, self.store, self.int32, self.stats = spark, store, int32, stats or {}
         self.catalog = Catalog(spark)
         self.current: Transaction | None = None
 
@@ -58,7 +59,7 @@ class Engine:
         try:
             plan = parse(sql)
             if isinstance(plan, Query):
-                return build(plan, self.table, self.int32)
+                return build(plan, self.table, self.int32, self.stats)
             if isinstance(plan, Control):
                 return self._control(plan.what)
             return self._count(COUNT[type(plan)], self._change(plan))
@@ -97,7 +98,7 @@ class Engine:
     def _insert(self, plan: Insert, t: Transaction) -> int:
         s = t.schema(plan.table)
         if plan.query is not None:
-            return t.insert(plan.table, build(plan.query, lambda n: self.table(n, t), self.int32))
+            return t.insert(plan.table, build(plan.query, lambda n: self.table(n, t), self.int32, self.stats))
         if len(plan.values) != len(s.fields):
             raise AnalysisError(f"{len(plan.values)} values for {len(s.fields)} columns of {plan.table}")
         for v, f in zip(plan.values, s.fields, strict=True):
@@ -118,15 +119,24 @@ class Engine:
         plan = parse(sql)
         if not isinstance(plan, Query):
             return type(plan).__name__
-        df = build(plan, self.table, self.int32)
-        return tree(plan, stats) + "\n\n" + df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        df = build(plan, self.table, self.int32, self.stats)
+        return tree(plan, stats or self.stats or None) + "\n\n" + df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
 def render(df: DataFrame) -> str:
     """A result as text: names, a rule, a line for each row, and their number. For results that a person will read."""
-    head = "\t".join(df.columns)
-    rows = df.collect()
-    return "\n".join([head, "-" * max(8, len(head.expandtabs())), *(format_row(r) for r in rows), f" {len(rows)} rows."])
+    return "\n".join(lines(df))
+
+
+def lines(df: DataFrame) -> Iterator[str]:
+    """render()'s lines, a partition of rows at a time."""
+    head, n = "\t".join(df.columns), 0
+    yield head
+    yield "-" * max(8, len(head.expandtabs()))
+    for r in df.toLocalIterator():
+        yield format_row(r)
+        n += 1
+    yield f" {n} rows."
 
 
 def main(args: list[str]) -> int:
@@ -158,7 +168,8 @@ def main(args: list[str]) -> int:
                 if "-explain" in args:
                     print(engine.explain(s))
                 out = engine.sql(s)
-                print(render(out) if out is not None else "ok")
+                for line in lines(out) if out is not None else ["ok"]:
+                    print(line)
             except EngineError as e:
                 print(f"{type(e).__name__}: {e}")
             print(f"{time.time() - began:.2f} seconds")

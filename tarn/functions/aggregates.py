@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from enum import Enum
 
 from pyspark.sql import Column
@@ -24,11 +26,34 @@ class Agg(Enum):
     SC_AVG = 6
 
     @classmethod
-    def named(cls, name: str) -> Agg:
-        try:
-            return cls[name.upper()]
-        except KeyError:
-            raise ParseError(f"unknown aggregate {name!r}") from None
+    def named(cls, name: str) -> Agg | Custom:
+        found = CUSTOM.get(name.upper()) or cls.__members__.get(name.upper())
+        if not found:
+            raise ParseError(f"unknown aggregate {name!r}")
+        return found
+
+
+@dataclass(frozen=True)
+class Custom:
+    """An aggregate of the caller's: partial makes a state of a column's values (an aggregate expression), combine a result
+    of states; whole does both, if there is a shorter way. strings: whether it takes columns of text."""
+
+    name: str
+    partial: Callable[[Column], Column]
+    combine: Callable[[Column], Column]
+    whole: Callable[[Column], Column] | None = None
+    strings: bool = False
+
+
+CUSTOM: dict[str, Custom] = {}
+
+
+def register(fn: Custom) -> Custom:
+    """Makes fn known to SQL by its name, which must not be a built-in one's."""
+    if fn.name.upper() in Agg.__members__:
+        raise AnalysisError(f"{fn.name} is built in")
+    CUSTOM[fn.name.upper()] = fn
+    return fn
 
 
 def wrapped(total: Column) -> Column:
@@ -36,14 +61,18 @@ def wrapped(total: Column) -> Column:
     return F.shiftright(F.shiftleft(total, 32), 32).cast("int")
 
 
-def aggregate(fn: Agg, name: str, kind: T.DataType, int32: bool = False) -> Column:
+def aggregate(fn: Agg | Custom, name: str, kind: T.DataType, int32: bool = False) -> Column:
     """fn over a column. AVG of whole numbers is a whole number; text can only be counted.
 
     int32: sums, and averages' sums, wrap around at 32 bits.
     """
     c = quoted(name)
-    if isinstance(kind, T.StringType) and fn is not Agg.COUNT:
+    if isinstance(kind, T.StringType) and fn is not Agg.COUNT and not (isinstance(fn, Custom) and fn.strings):
         raise AnalysisError(f"{fn.name} of the string column {name}: strings can only be counted")
+    if isinstance(fn, Custom):
+        if not fn.whole:
+            raise AnalysisError(f"{fn.name} works in two phases only")
+        return fn.whole(c)
     whole = isinstance(kind, T.IntegralType)
     if fn is Agg.MIN:
         return F.min(c)

@@ -3,34 +3,46 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.predicates import Op, quoted
-from .join import join
+from .join import join, size_in_bytes
 
 
-def partition_of(df: DataFrame, field: str, n: int) -> Column:
-    """The part that a row belongs to: a whole number modulo n, never negative; of text, its hash modulo n."""
+#: A partition function: a field's column and the number of parts -> the number of a row's part.
+PartitionFunction = Callable[[Column, int], Column]
+
+
+def partition_of(df: DataFrame, field: str, n: int, by: PartitionFunction | None = None) -> Column:
+    """The part that a row belongs to: a whole number modulo n, never negative; of text, its hash modulo n; or what by says."""
     c = quoted(field)
+    if by:
+        return by(c, n)
     return F.pmod(c, F.lit(n)) if isinstance(df.schema[field].dataType, T.IntegralType) else F.pmod(F.xxhash64(c), F.lit(n))
 
 
-def hash_partition(df: DataFrame, field: str, n: int, name: str = "part_id") -> DataFrame:
+def hash_partition(df: DataFrame, field: str, n: int, name: str = "part_id", by: PartitionFunction | None = None) -> DataFrame:
     """df with the number of each row's part."""
-    return df.withColumn(name, partition_of(df, field, n))
+    return df.withColumn(name, partition_of(df, field, n, by))
+
 
+def range_function(cuts: list) -> PartitionFunction:
+    """Parts by range: a value's part is the number of cuts that are at most it; nulls are in part 0."""
+    return lambda c, n: F.least(F.lit(n - 1), sum((F.when(c >= F.lit(x), 1).otherwise(0) for x in sorted(cuts)), F.lit(0)))
 
-def shuffle(df: DataFrame, field: str, n: int) -> DataFrame:
-    """Rows of equal keys in one partition, of n."""
-    return df.repartition(n, quoted(field))
+
+def shuffle(df: DataFrame, field: str, n: int, by: PartitionFunction | None = None) -> DataFrame:
+    """Rows of equal keys (by: of equal parts) in one partition, of n."""
+    return df.repartition(n, by(quoted(field), n) if by else quoted(field))
 
 
 def gather(df: DataFrame) -> DataFrame:
-    """All rows in one partition: for results of known size only."""
-    return df.coalesce(1)
+    """All rows in one partition, for results of known size only. What comes before stays as parallel as it is."""
+    return df.repartition(1)
 
 
 def ranges(n: int, parts: int) -> list[tuple[int, int]]:
@@ -40,13 +52,10 @@ def ranges(n: int, parts: int) -> list[tuple[int, int]]:
 
 #: A filter pays where the large side has over so many bytes and over so many times the small side's.
 LEAST_BYTES, TIMES = 1 << 20, 5
-#: Bits for each distinct key, hash functions, and the most bits: 1 MB, which is what a filter can send to the driver and back.
+#: Bits for each key, hash functions, and the most bits: 1 MB, which is what a filter can send to the driver and back.
 BITS_EACH, HASHES, MOST_BITS = 10, 5, 1 << 23
-
-
-def size_in_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Bytes of a key and its row, as the optimizer estimates them at least.
+KEY_BYTES = 16
 
 
 def _places(key: Column, bits: int) -> list[Column]:
@@ -56,25 +65,21 @@ def _places(key: Column, bits: int) -> list[Column]:
 def bloom_filtered(large: DataFrame, field: str, small: DataFrame, small_field: str, most_bits: int = MOST_BITS) -> DataFrame:
     """large without most of the rows whose key small lacks (and with all whose key it has), before any exchange.
 
-    The filter is a table of 64-bit words, or-ed together from the small side's parts; its size is
-    bounded by most_bits, whatever the side's. Where that many bits would be too full to help, large
-    comes back as it is. Nulls never match and go.
+    The filter is an array of 64-bit words, or-ed together from the small side's parts when the plan runs (a scalar
+    subquery; nothing runs while the plan is made). Its size follows the optimizer's estimate of the small side, at most
+    most_bits; where that would be too full to help, large comes back as it is. Nulls never match and go.
     """
     keys = small.select(quoted(small_field).cast(large.schema[field].dataType).alias("k")).where("k is not null")
-    n = keys.agg(F.approx_count_distinct("k")).first()[0]
-    bits = 1 << max(10, math.ceil(math.log2(max(1, n) * BITS_EACH)))
+    bits = 1 << max(10, math.ceil(math.log2(max(1, size_in_bytes(keys) // KEY_BYTES) * BITS_EACH)))
     if bits > most_bits:
         return large
     places = keys.select(F.explode(F.array(*_places(F.col("k"), bits))).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
-    table = [0] * (bits // 64)
-    for r in words.collect():
-        table[r["w"]] = r["b"]
-    # A literal array of a bounded number of words; each place is one look-up in it.
-    words_ = F.from_json(F.lit(str(table)), "array<bigint>")
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+    full = small.sparkSession.range(bits // 64).withColumnRenamed("id", "w").join(words, "w", "left")
+    table = full.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))), lambda x: x["b"]).alias("t")).scalar()
     hit = F.lit(True)
     for p in _places(quoted(field), bits):
-        hit = hit & (F.call_function("shiftright", F.get(words_, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        hit = hit & (F.call_function("shiftright", F.get(table, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
     return large.where(quoted(field).isNotNull() & hit)
 
 

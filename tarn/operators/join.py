@@ -13,8 +13,18 @@ from ..functions.predicates import Op, all_of, join_predicate
 STRATEGIES = {"hash": "shuffle_hash", "merge": "merge", "nested": "shuffle_replicate_nl"}
 
 
-def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, Op, str]], strategy: str | None = None) -> DataFrame:
-    """left's columns, then right's, for pairs of rows that meet all conditions (field of left, op, field of right).
+def size_in_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+#: Bytes of a side of which each shuffle partition's hash table may hold so many.
+HASH_BYTES = 64 << 20
+
+
+def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, Op, str] | tuple[str, Op, str, bool]], strategy: str | None = None) -> DataFrame:
+    """left's columns, then right's, for pairs of rows that meet all conditions (field of left, op, field of right; and True
+    if the field of right stands left of op).
 
     Equal keys make a hash or sort-merge join that Spark deals out by key (and whose skewed keys it
     splits); other comparisons alone make a nested loop, whose smaller side Spark sends around.
@@ -23,12 +33,14 @@ def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, Op, str]], s
         raise AnalysisError("a join needs a condition; cross products are not supported")
     if strategy:
         right = right.hint(STRATEGIES[strategy])
-    return left.join(right, all_of(join_predicate(left, a, op, right, b) for a, op, b in on), "inner")
+    return left.join(right, all_of(join_predicate(right, b, op, left, a) if turned else join_predicate(left, a, op, right, b) for a, op, b, *turned in on), "inner")
 
 
 def hash_join(left: DataFrame, right: DataFrame, field1: str, field2: str) -> DataFrame:
-    """An equi-join by shuffled hash tables."""
-    return join(left, right, [(field1, Op.EQUALS, field2)], "hash")
+    """An equi-join by shuffled hash tables, which can't spill: only where the optimizer's estimate of right says that one
+    fits into each partition; else sizes and adaptive execution decide."""
+    fits = size_in_bytes(right) <= HASH_BYTES * int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return join(left, right, [(field1, Op.EQUALS, field2)], "hash" if fits else None)
 
 
 def subquery_join(outer: DataFrame, field: str, op: Op, inner: DataFrame) -> DataFrame:

@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .engine import Engine
-from .functions.aggregates import Agg
+from .functions.aggregates import Agg, Custom
 from .functions.predicates import Op
-from .operators import aggregate, bloom_join, filter_rows, hash_join, hash_partition, join, order_by, project, rename, scan, select_all, shuffle, subquery_join, two_phase
+from .operators import aggregate, bloom_join, filter_rows, gather, hash_join, hash_partition, join, order_by, project, rename, scan, select_all, shuffle, subquery_join, two_phase
+from .errors import TransactionAborted
+from .operators.exchange import range_function
 from .storage.versioned import Store, shared_root
 
 Run = Callable[[SparkSession, str], DataFrame]
+#: An aggregate that no built-in one is: the difference between the greatest and the least value.
+SPREAD = Custom("SPREAD", lambda c: F.struct(F.min(c).alias("low"), F.max(c).alias("high")), lambda s: F.max(s["high"]) - F.min(s["low"]))
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
 
 
@@ -133,3 +138,121 @@ def heap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATALOGUE["heap_scan"] = (heap_scan, "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+
+
+def stored(name: str, columns: list[str], work: Callable[[SparkSession, Store], Store]) -> Run:
+    """A copy of a table in a store, what work does to it, and the table as the store that comes back has it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = Store(spark, shared_root(spark, "stored"))
+        store.run(lambda t: t.create(name, table(spark, sf_dir, name).select(*columns)))
+        return work(spark, store).table(name)
+
+    return run
+
+
+def conflict(spark: SparkSession, store: Store) -> Store:
+    """Two transactions delete different rows of one snapshot: the second to commit is aborted, and leaves nothing."""
+    a, b = store.begin(), store.begin()
+    a.delete("region", F.col("r_regionkey") == 0)
+    b.delete("region", F.col("r_regionkey") == 1)
+    a.commit()
+    try:
+        b.commit()
+    except TransactionAborted:
+        return store
+    raise AssertionError("the second transaction was not aborted")
+
+
+def checkpoint(spark: SparkSession, store: Store) -> Store:
+    """Two changes, a checkpoint that forgets the versions before, and one change more."""
+    for key in (0, 1):
+        store.run(lambda t, key=key: t.delete("region", F.col("r_regionkey") == key))
+    store.checkpoint()
+    store.run(lambda t: t.delete("region", F.col("r_regionkey") == 2))
+    return store
+
+
+def recovery(spark: SparkSession, store: Store) -> Store:
+    """A committed change, one that a crash left without commit, and the store opened again and recovered."""
+    store.run(lambda t: t.delete("region", F.col("r_regionkey") == 0))
+    store.begin().delete("region", F.col("r_regionkey") == 1)
+    again = Store(spark, store.root)
+    again.recover()
+    return again
+
+
+def compaction(spark: SparkSession, store: Store) -> Store:
+    """Three changes that leave folders, which are then one."""
+    for key in (2, 3):
+        store.run(lambda t, key=key: t.insert("region", t.read("region").where(F.col("r_regionkey") == key)))
+    store.run(lambda t: t.compact("region"))
+    return store
+
+
+REGION = ["r_regionkey", "r_name"]
+CATALOGUE["conflict_abort"] = (stored("region", REGION, conflict), "SELECT r_regionkey, r_name FROM region WHERE r_regionkey <> 0")
+CATALOGUE["checkpoint"] = (stored("region", REGION, checkpoint), "SELECT r_regionkey, r_name FROM region WHERE r_regionkey > 2")
+CATALOGUE["recovery"] = (stored("region", REGION, recovery), "SELECT r_regionkey, r_name FROM region WHERE r_regionkey <> 0")
+CATALOGUE["compaction"] = (stored("region", REGION, compaction), "SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey, r_name FROM region WHERE r_regionkey IN (2, 3)")
+
+
+def text_and_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation as delimited text, loaded into a paged file beside a catalog in text form; then a query over that catalog."""
+    from .sources.heapfile import write_heap
+    from .sources.text import load_text
+    from .types import Type, schema
+
+    root = shared_root(spark, "catalog")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    n.write.csv(f"{root}/text")
+    s = schema([Type.INT, Type.STRING, Type.INT], n.columns)
+    local = root.removeprefix("file://")
+    write_heap(load_text(spark, f"{root}/text", s), f"{local}/nation.dat")
+    with open(f"{local}/catalog.txt", "w") as f:
+        f.write("nation (n_nationkey int pk, n_name string, n_regionkey int)\n")
+    e = Engine(spark)
+    e.catalog.load(f"{local}/catalog.txt")
+    return e.sql("SELECT n.n_nationkey, n.n_name FROM nation n WHERE n.n_regionkey = 1").toDF("n_nationkey", "n_name")
+
+
+def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a logical plan, as EXPLAIN draws it."""
+    e = engine(spark, sf_dir)
+    tree = e.explain("SELECT c.c_name FROM customer c, nation n WHERE c.c_nationkey = n.n_nationkey AND n.n_regionkey = 1").split("\n\n")[0]
+    return spark.createDataFrame(list(enumerate(tree.splitlines())), "number int, line string")
+
+
+def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join of four tables in the order that statistics of them suggest."""
+    from .plans.stats import compute
+
+    e = engine(spark, sf_dir)
+    e.stats = {t: compute(table(spark, sf_dir, t)) for t in ("orders", "customer", "nation", "region")}
+    sql = "SELECT o.o_orderkey, r.r_name FROM orders o, customer c, nation n, region r WHERE o.o_custkey = c.c_custkey AND c.c_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey AND r.r_regionkey = 2"
+    return e.sql(sql).toDF("o_orderkey", "r_name")
+
+
+CATALOGUE["text_and_catalog"] = (text_and_catalog, "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+CATALOGUE["explain_tree"] = (
+    explained,
+    "SELECT * FROM (VALUES (CAST(0 AS INTEGER), 'π(c.c_name)'), (1, '└─⨝(c.c_nationkey = n.n_nationkey)'), (2, '  ├─ρ(c) scan customer'), (3, '  └─σ(n.n_regionkey = 1)'), (4, '    └─ρ(n) scan nation')) t(number, line)",
+)
+CATALOGUE["join_ordered"] = (ordered, "SELECT o.o_orderkey, r.r_name FROM orders o, customer c, nation n, region r WHERE o.o_custkey = c.c_custkey AND c.c_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey AND r.r_regionkey = 2")
+CATALOGUE["gather"] = (by("customer", lambda c: aggregate(gather(c.select("c_custkey", "c_nationkey")).withColumn("part", F.spark_partition_id()), "c_custkey", Agg.COUNT, "part", "v").select("v")), "SELECT count(*) AS v FROM customer")
+CATALOGUE["partition_string"] = (
+    by("customer", lambda c: hash_partition(c, "c_mktsegment", 4).groupBy("c_mktsegment").agg(F.count_distinct("part_id").alias("parts"), F.min((F.col("part_id") >= 0) & (F.col("part_id") < 4)).alias("inside"))),
+    "SELECT c_mktsegment, CAST(1 AS BIGINT) AS parts, true AS inside FROM customer GROUP BY c_mktsegment",
+)
+CATALOGUE["partition_range"] = (
+    by("customer", lambda c: aggregate(hash_partition(c, "c_custkey", 3, by=range_function([100, 1000])), "c_custkey", Agg.COUNT, "part_id", "v").selectExpr("CAST(part_id AS INT) AS part_id", "v")),
+    "SELECT CAST(CASE WHEN c_custkey < 100 THEN 0 WHEN c_custkey < 1000 THEN 1 ELSE 2 END AS INTEGER) AS part_id, count(*) AS v FROM customer GROUP BY 1",
+)
+CATALOGUE["group_custom"] = (
+    by("lineitem", lambda li: two_phase(li.select("l_returnflag", "l_linenumber"), "l_linenumber", SPREAD, "l_returnflag", "v")),
+    "SELECT l_returnflag, max(l_linenumber) - min(l_linenumber) AS v FROM lineitem GROUP BY l_returnflag",
+)
+CATALOGUE["join_like_turned"] = (
+    by_sql("SELECT a.n_name, b.r_name FROM nation a, region b WHERE a.n_regionkey = b.r_regionkey AND b.r_name LIKE a.n_name", "n_name", "r_name"),
+    "SELECT a.n_name, b.r_name FROM nation a, region b WHERE a.n_regionkey = b.r_regionkey AND contains(b.r_name, a.n_name)",
+)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import glob
 import os
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -18,7 +18,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
 
 from ..errors import EngineError
 from ..types import PAGE_BYTES, STRING_BYTES, Type, row_bytes
@@ -40,23 +52,43 @@ def layout(s: T.StructType) -> np.dtype:
     return np.dtype(fields)
 
 
-def decode_pages(raw: bytes, s: T.StructType) -> pa.RecordBatch:
-    """The used slots of whole pages, in order."""
+def decode_pages(raw: bytes, s: T.StructType, tests: Sequence[tuple[Callable, int, int]] = ()) -> pa.RecordBatch:
+    """The used slots of whole pages, in order; of those only the rows that pass tests (comparison, field number, value)."""
     kind, slots, head = layout(s), slots_per_page(s), header_bytes(s)
     pages = np.frombuffer(raw, np.uint8).reshape(-1, PAGE_BYTES)
     used = np.unpackbits(pages[:, :head], axis=1, bitorder="little")[:, :slots].astype(bool)
     body = np.ascontiguousarray(pages[:, head : head + slots * kind.itemsize]).view(kind).reshape(len(pages), slots)
     found = body[used]
+    for test, i, value in tests:
+        found = found[test(found[f"n{i}"].astype(np.int64), value)]
     columns = []
     for i, f in enumerate(s.fields):
         n = found[f"n{i}"].astype(np.int32)
         if Type.of(f.dataType) is Type.INT:
             columns.append(pa.array(n))
         else:
-            columns.append(pa.array([x.tobytes()[: max(0, k)].decode("latin-1") for x, k in zip(found[f"s{i}"], n.tolist(), strict=True)], pa.string()))
+            columns.append(texts(found[f"s{i}"], n))
     return pa.RecordBatch.from_arrays(columns, names=list(s.names))
 
 
+def texts(raw: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Fixed-width Latin-1 fields and their lengths -> strings; of bytes over 127 UTF-8 makes two."""
+    field = np.frombuffer(raw.tobytes(), np.uint8).reshape(len(raw), STRING_BYTES)
+    kept = np.arange(STRING_BYTES) < np.clip(lengths, 0, STRING_BYTES)[:, None]
+    high = kept & (field > 127)
+    sizes = kept.sum(axis=1) + high.sum(axis=1)
+    flat, twice = field[kept], high[kept]
+    out = np.repeat(flat, 1 + twice)
+    second = np.flatnonzero(twice) + np.arange(1, int(twice.sum()) + 1)
+    out[second - 1], out[second] = 0xC0 | flat[twice] >> 6, 0x80 | flat[twice] & 0x3F
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(raw), pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes()))
+
+
+#: Comparisons of whole numbers that a scan makes before it decodes strings.
+PUSHED = {EqualTo: np.equal, GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessThan: np.less, LessThanOrEqual: np.less_equal}
+
+
 def encode_page(rows: Sequence[Sequence[Any]], s: T.StructType) -> bytes:
     """Rows in the first slots of a page; more than fit is an error. Strings are cut at 128 bytes; what Latin-1 lacks becomes '?'."""
     slots, head = slots_per_page(s), header_bytes(s)
@@ -102,7 +134,17 @@ class HeapReader(DataSourceReader):
     TASK, AT_ONCE = 4096, 256
 
     def __init__(self, path: str, s: T.StructType) -> None:
-        self.path, self.s = path, s
+        self.path, self.s = path.removeprefix("file://"), s
+        self.tests: list[tuple[Callable, int, int]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        """Takes comparisons of whole numbers; yields the others."""
+        for f in filters:
+            test = PUSHED.get(type(f))
+            if test and len(f.attribute) == 1 and isinstance(f.value, int) and Type.of(self.s[f.attribute[0]].dataType) is Type.INT:
+                self.tests.append((test, self.s.names.index(f.attribute[0]), f.value))
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
         files = sorted(glob.glob(os.path.join(self.path, "*.dat"))) if os.path.isdir(self.path) else [self.path]
@@ -119,7 +161,7 @@ class HeapReader(DataSourceReader):
             f.seek(partition.first * PAGE_BYTES)
             for a in range(partition.first, partition.last, self.AT_ONCE):
                 raw = f.read((min(partition.last, a + self.AT_ONCE) - a) * PAGE_BYTES)
-                yield decode_pages(raw + b"\0" * (-len(raw) % PAGE_BYTES), self.s)
+                yield decode_pages(raw + b"\0" * (-len(raw) % PAGE_BYTES), self.s, self.tests)
 
 
 @dataclass
@@ -128,16 +170,17 @@ class Part(WriterCommitMessage):
     rows: int
 
 
-class HeapWriter(DataSourceWriter):
+class HeapWriter(DataSourceArrowWriter):
     """Each task writes one file under a name of its own, which commit makes visible."""
 
     def __init__(self, path: str, s: T.StructType) -> None:
-        self.path, self.s = path, s
+        self.path, self.s = path.removeprefix("file://"), s
 
-    def write(self, iterator: Iterator[T.Row]) -> Part:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         os.makedirs(self.path, exist_ok=True)
         name = os.path.join(self.path, f"_part-{uuid.uuid4().hex}.tmp")
-        return Part(name, write_pages(name, iterator, self.s))
+        rows = (r for b in iterator for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        return Part(name, write_pages(name, rows, self.s))
 
     def commit(self, messages: list[Part | None]) -> None:
         for m in messages:
@@ -168,6 +211,8 @@ class HeapSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """The source's name for the session, and filters pushed to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(HeapSource)
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tarn.catalog import Catalog, parse_catalog
@@ -14,6 +15,21 @@ from tarn.types import PAGE_BYTES, Type, field_index, merge, same_types, schema
 TWO = schema([Type.INT] * 2, ["a", "b"])
 
 
+def test_strings_and_pushed_filters(spark, tmp_path):
+    """Latin-1 texts of all lengths decode at once; comparisons of whole numbers are made before."""
+    rng = random.Random(1)
+    s = schema([Type.INT, Type.STRING], ["n", "s"])
+    data = [(i, "".join(chr(rng.choice([*range(32, 127), *range(160, 256)])) for _ in range(rng.randrange(129)))) for i in range(300)]
+    path = tmp_path / "x.dat"
+    write_pages(str(path), data, s)
+    assert [tuple(r) for r in read_heap(spark, str(path), s).collect()] == data
+    some = read_heap(spark, str(path), s).where("n >= 100 and n < 110 and s <> 'q'")
+    assert [tuple(r) for r in some.collect()] == data[100:110]
+    assert "Python" in some._jdf.queryExecution().executedPlan().toString()
+    batch = decode_pages(path.read_bytes(), s, [(np.greater, 0, 295)])
+    assert batch.column(0).to_pylist() == [296, 297, 298, 299]
+
+
 def test_page_geometry():
     assert slots_per_page(TWO) == 504 and header_bytes(TWO) == 63
     assert slots_per_page(schema([Type.INT])) == 992

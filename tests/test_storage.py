@@ -26,6 +26,57 @@ def store(spark, tmp_path):
     return s
 
 
+def test_delete_rewrites_only_folders_that_it_hits(spark, store):
+    store.run(lambda t: t.insert("t", rows(spark, [(3, 30), (4, 40)], INTS)))
+    before = store.manifest()["tables"]["t"]["folders"]
+    assert store.run(lambda t: t.delete("t", F.col("a") == 4)) == 1
+    after = store.manifest()["tables"]["t"]["folders"]
+    assert after[0] == before[0] and after[1] != before[1] and got(store.table("t")) == [(1, 10), (2, 20), (3, 30)]
+    assert store.run(lambda t: t.delete("t", F.col("a") == 99)) == 0
+    assert store.manifest()["tables"]["t"]["folders"] == after
+    assert store.run(lambda t: t.compact("t")) == 2 and len(store.manifest()["tables"]["t"]["folders"]) == 1
+    assert got(store.table("t")) == [(1, 10), (2, 20), (3, 30)]
+
+
+def test_opening_recovers(spark, store):
+    import time
+
+    left = store.begin()
+    left.insert("t", rows(spark, [(9, 9)], INTS))  # never ended, as after a crash
+    folder = os.path.join(store.root, "data", left.staged[0])
+    Store(spark, store.root)
+    assert os.path.isdir(folder)  # it might still be running
+    long_ago = time.time() - 30 * 86400
+    os.utime(folder, (long_ago, long_ago))
+    assert got(Store(spark, store.root).table("t")) == [(1, 10), (2, 20)] and not os.path.isdir(folder)
+
+
+def test_any_hadoop_file_system(spark, tmp_path):
+    """The same store by Hadoop's interfaces."""
+    from tarn.storage import files
+
+    f = files.HadoopFiles(spark, f"file://{tmp_path}/db")
+    f.make("log")
+    assert f.create_new("log/1.json", "é{}") and not f.create_new("log/1.json", "no") and f.read("log/1.json") == "é{}"
+    assert f.names("log") == ["1.json"] and f.names("log", 1000) == [] and f.size("log") == 4
+    f.delete("log/1.json")
+    with pytest.raises(FileNotFoundError):
+        f.read("log/1.json")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tarn.link./db", f"file://{tmp_path}")
+    s = Store(spark, "viewfs://tarn/db/store")
+    assert isinstance(s.files, files.HadoopFiles)
+    s.run(lambda t: t.create("t", rows(spark, [(1, 10), (2, 20)], INTS)))
+    s.run(lambda t: t.insert("t", rows(spark, [(3, 30)], INTS)))
+    assert s.run(lambda t: t.delete("t", F.col("a") == 2)) == 1 and got(s.table("t")) == [(1, 10), (3, 30)]
+    a, b = s.begin(), s.begin()
+    a.delete("t")
+    b.insert("t", rows(spark, [(5, 5)], INTS))
+    a.commit()
+    with pytest.raises(TransactionAborted):
+        b.commit()
+    assert s.checkpoint() == 4 and got(s.table("t")) == []
+
+
 def test_commit_and_rollback(spark, store):
     t = store.begin()
     assert t.insert("t", rows(spark, [(6, 830)], INTS)) == 1
