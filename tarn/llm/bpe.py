@@ -4,7 +4,9 @@ Two tiers: a minimal perfect hash answers for pre-tokens that are vocabulary ent
 merged with a heap of pairs (rank, position) over a doubly linked list of byte runs. Results for
 pre-tokens are remembered in a table of bounded size in each worker process.
 
-Defined cases: a null text is empty, with no ids; any text is encoded whole; nothing is special.
+Defined cases: a null text is empty, with no ids; texts of any length are encoded whole; nothing is special; repeated
+rows are coded each; an empty table gives an empty result; other columns pass through, but those named like the results
+are replaced by them.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from .common import extended
+from .common import extended, texts_of
 
 #: Pre-tokens that a worker remembers before it forgets all of them, and the longest one it remembers.
 MEMO, MEMO_CHARS = 800_000, 64
@@ -198,7 +200,7 @@ def decode_ids(docs: DataFrame, ranks: str, pattern: str, ids: str = "ids", out:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(held)
         for b in batches:
-            texts = [coder.decode(x or ()) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
+            texts = [coder.decode(x or ()) for x in texts_of(b.column(b.schema.get_field_index(ids)))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], [*b.schema.names, out])
 
     return docs.mapInArrow(run, schema)
@@ -217,7 +219,7 @@ def digests(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> Da
         coder = codec(held)
         for b in batches:
             n, coded, back = [], [], []
-            for t in b.column(b.schema.get_field_index(text)).to_pylist():
+            for t in texts_of(b.column(b.schema.get_field_index(text))):
                 ids = coder.encode(t or "")
                 n.append(len(ids))
                 coded.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())

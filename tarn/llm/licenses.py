@@ -7,8 +7,9 @@ and then the rule's own keyword. A detection that lies inside another one is dro
 rule has a higher priority, or an equal priority and a longer interval or an earlier place in the rules;
 base rules are never dropped. All of it is built-in expressions over one row; there is no shuffle.
 
-Defined cases: a null text is empty: no words, no detections, score 0; repeated rows are scanned each;
-other columns pass through unless named like a result, which replaces them.
+Defined cases: a null text is empty: no words, no detections, score 0; texts of any length are read whole, in time about
+linear; repeated rows are scanned each; an empty table gives an empty result; other columns pass through unless named
+like a result, which replaces them.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ blocks, so a prefix of the schedule of any length is mixed in the target proport
 DataFrame code; the only table that one task sees whole is the one with a row for each source.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last; documents without
-words are taken 0 times; an empty table gives an empty result; repeated rows are separate documents.
+words are taken 0 times; a text of any length is cut over as many blocks as it fills; an empty table gives an empty
+result; repeated rows are separate documents; columns but doc_id, source and text are ignored.
 """
 
 from __future__ import annotations
