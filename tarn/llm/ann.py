@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Vectors in a shard, on average: of small tables, and at most; shards before they grow; queries in a block.
-LEAST_SHARD, MOST_SHARD, SHARDS, QUERIES = 2048, 32768, 24, 4096
-#: Links of a node (twice as many on the bottom level); candidates held while building and while searching.
+LEAST_SHARD, MOST_SHARD, SHARDS, QUERIES = 2048, 8192, 24, 4096
+#: Links of a node (twice as many on the bottom level); candidates held while building and while searching (more of them,
+#: by the root of its size, in a shard of more than LEAST_SHARD).
 LINKS, EF_BUILD, EF_SEARCH = 12, 64, 96
 
 
@@ -194,6 +195,8 @@ def search(spark_index: DataFrame, queries: DataFrame, vec: str = "embedding", k
     pairs = spark_index.join(packed, ["shard", "dim"])
     pairs = pairs.select("dim", "n", "entry", "vectors", "originals", "levels", "links", "starts", "ids", F.col("queries.vec_id").alias("query_ids"), F.flatten("queries.vector").alias("query_vectors"))
 
+    least = LEAST_SHARD
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
@@ -203,6 +206,7 @@ def search(spark_index: DataFrame, queries: DataFrame, vec: str = "embedding", k
                 small, original = of("vectors", "<f4").reshape(n, dim), of("originals", "<f8").reshape(n, dim)
                 links = [np.frombuffer(y.as_buffer(), "<i4").reshape(n, -1) for y in x["links"]]
                 starts, ids = of("starts", "<i4"), of("ids", "<i8")
+                wide = math.ceil(ef * max(1.0, math.sqrt(n / least)))
                 g = Graph(small, of("levels", "i1"), links, x["entry"].as_py())
                 centre = original[0] - small[0]
                 out: tuple[list, list, list] = ([], [], [])
@@ -210,7 +214,7 @@ def search(spark_index: DataFrame, queries: DataFrame, vec: str = "embedding", k
                 more = int(np.unique(ids, return_counts=True)[1].max())
                 for qid, v in zip(x["query_ids"].as_py(), x["query_vectors"].values.to_numpy(zero_copy_only=False).reshape(-1, dim), strict=True):
                     reach = (k + 1) * more
-                    near = g.nearest((v - centre).astype(np.float32), reach, ef)
+                    near = g.nearest((v - centre).astype(np.float32), reach, wide)
                     d = np.sqrt(((original[near] - v) ** 2).sum(axis=1))
                     order = np.lexsort((ids[starts[near]], d))
                     found: dict[int, float] = {}
