@@ -43,22 +43,54 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of, tidy, written
+from .common import tidy, written
 
 #: Words that are classes; classes of the others; words with counts in all workers; words with rows, which occur so often.
 OWN, BUCKETS, HEAD, OUT, LEAST = 63, 128, 1 << 17, 1 << 15, 5
 CLASSES, END = OWN + 1 + BUCKETS, OWN
 DIM, CONTEXT, NOISE, TIMES, RATE = 16, 6, 64, 8.0, 0.15
-#: A step's positions: so many pieces of so many in a row. Samples for each position inside its class.
-PIECES, PIECE, SLOT_NOISE = 64, 16, 4
+#: A step's positions: so many pieces of so many in a row. Samples for each position inside its class; see Trainer.
+PIECES, PIECE, SLOT_NOISE, GUIDE = 32, 32, 4, 4
 #: Parts of the training texts, after each of which models are averaged.
 ROUNDS = 2
+#: Bytes of a head word, so that the head has a size in bytes as well.
+HEAD_BYTES = 256
 #: Distinct words that a task counts before it passes the counts on.
 FLUSH = 200_000
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+#: A-Z to lower case, and every kind of ASCII white space to a blank.
+PLAIN = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bytes of texts that are cut into words, learnt from or scored at a time (at least one text).
+AT_ONCE = 1 << 20
+
+
+def packs(texts: pa.Array) -> Iterator[pa.Array]:
+    """A column of binaries in parts of about AT_ONCE bytes."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + AT_ONCE, side="right")) - 1)
+        yield texts.slice(at, upto - at)
+        at = upto
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """A column of binaries, none null -> the words of all texts in a row, and how many each has."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    plain = np.frombuffer(raw.slice(ends[0], ends[-1] - ends[0]).to_pybytes().translate(PLAIN) if raw else b"", np.uint8)
+    ends = ends - ends[0]
+    inside = plain != 32
+    first = np.ones(len(plain), bool)
+    first[1:] = ~inside[:-1]
+    first[ends[:-1][ends[:-1] < len(plain)]] = True
+    starts = np.flatnonzero(first & inside)
+    before = np.cumsum(inside, dtype=np.int32)
+    kept = plain[inside]
+    offsets = np.append(before[starts] - 1, len(kept)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(kept.tobytes())])
+    return words, np.diff(np.searchsorted(starts, ends))
 
 
 def bucket_class(word: bytes) -> int:
@@ -77,8 +109,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
             return out
 
         for b in batches:
-            for t in texts_of(b.column(0)):
-                held.update(words_of(t))
+            for part in packs(b.column(0)):
+                found = words_of(part)[0].value_counts()
+                for w, c in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
+                    held[w] += c
                 if len(held) > FLUSH:
                     yield flush()
         if held:
@@ -143,8 +177,11 @@ class Words(dict):
         self[word] = n
         return n
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Each word's number; every distinct one is looked up once."""
+        coded = words.dictionary_encode()
+        known = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
+        return known[coded.indices.to_numpy()]
 
     def rest(self) -> None:
         """Forget all, if that is much; between texts only."""
@@ -155,10 +192,10 @@ class Words(dict):
 PAD = [END] * CONTEXT
 
 
-def stream(texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(classes, slots) of texts -> classes and slots of all in a row, each text between CONTEXT ends and its own end, and the
-    places that are scored: the words and that end."""
-    lengths = np.array([len(c) + 1 for c, _ in texts])
+def stream(words_cls: np.ndarray, words_slot: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes and slots of the words of texts of these lengths -> the same with CONTEXT ends before each text and its own end
+    after it, and the places that are scored: the words and that end."""
+    lengths = lengths + 1
     total = int((lengths + CONTEXT).sum())
     at = np.ones(total, bool)
     heads = np.cumsum(lengths + CONTEXT) - lengths - CONTEXT
@@ -167,7 +204,7 @@ def stream(texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     cls, slot = np.full(total, END, np.int32), np.full(total, -1, np.int32)
     ends = np.cumsum(lengths) - 1
     inner = np.delete(places, ends)
-    cls[inner], slot[inner] = np.concatenate([c for c, _ in texts]), np.concatenate([x for _, x in texts])
+    cls[inner], slot[inner] = words_cls, words_slot
     return cls, slot, places
 
 
@@ -198,40 +235,47 @@ class Model:
     def context(self, near: np.ndarray) -> np.ndarray:
         """near (..., CONTEXT + n, DIM), vectors of the classes in a row -> context vectors of the last n."""
         n = near.shape[-2] - CONTEXT
-        return sum(near[..., CONTEXT - 1 - i : CONTEXT - 1 - i + n, :] * w for i, w in enumerate(self.parts[1]))
+        out = near[..., CONTEXT - 1 : CONTEXT - 1 + n, :] * self.parts[1][0]
+        part = np.empty_like(out)
+        for i in range(1, CONTEXT):
+            out += np.multiply(near[..., CONTEXT - 1 - i : CONTEXT - 1 - i + n, :], self.parts[1][i], out=part)
+        return out
 
     def log_probs(self, cls: np.ndarray, slot: np.ndarray, places: np.ndarray, size: int = 1024, block: int = 1 << 16) -> np.ndarray:
         """A stream() -> natural logs of P(class, slot | context) at its places, normalised over all classes and slots."""
         vectors, _, outputs, bias = self.parts
         cls = np.concatenate([PAD, cls]).astype(np.int32)
         wide = np.concatenate([outputs, bias], axis=1).T
+        longest = math.sqrt(max(np.einsum("ij,ij->j", wide, wide).max(), np.einsum("ij,ij->i", self.rows, self.rows).max()))
         out = np.empty(len(places))
         cuts = np.searchsorted(places, np.arange(0, len(slot) + block, block))
         for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             start, at = n * block, places[a:b]
             q = np.ones((b - a, DIM + 1), np.float32)
             q[:, :DIM] = self.context(vectors.take(cls[start : start + block + CONTEXT], axis=0))[at - start]
-            out[a:b] = self.block_log_probs(q, cls[at + CONTEXT], slot[at], wide, size)
+            far = np.sqrt(np.einsum("ij,ij->i", q, q).max(initial=0)) * longest
+            out[a:b] = self.block_log_probs(q, cls[at + CONTEXT], slot[at], wide, size, far < 60)
         return out
 
-    def block_log_probs(self, q: np.ndarray, cls: np.ndarray, slot: np.ndarray, wide: np.ndarray, size: int) -> np.ndarray:
+    def block_log_probs(self, q: np.ndarray, cls: np.ndarray, slot: np.ndarray, wide: np.ndarray, size: int, near: bool) -> np.ndarray:
+        """near: no score is so far from 0 that its exponential would leave single precision."""
         out = np.empty(len(cls))
         for s in range(0, len(cls), size):
-            out[s : s + size] = log_softmax(q[s : s + size] @ wide, cls[s : s + size])
+            out[s : s + size] = log_softmax(q[s : s + size] @ wide, cls[s : s + size], near)
         by = np.argsort(cls.astype(np.uint16), kind="stable")
         cuts = np.searchsorted(cls[by], np.arange(OWN + 1, CLASSES + 1))
         for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             rows = self.rows[self.first[g] : self.first[g + 1]].T
             for s in range(a, b if rows.shape[1] > 1 else a, size):
                 at = by[s : min(b, s + size)]
-                out[at] += log_softmax(q[at] @ rows, slot[at] - self.first[g])
+                out[at] += log_softmax(q[at] @ rows, slot[at] - self.first[g], near)
         return out
 
 
-def log_softmax(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+def log_softmax(z: np.ndarray, own: np.ndarray, near: bool) -> np.ndarray:
     """The own columns of the log of the softmax of z's rows; z is lost."""
     at = z[np.arange(len(z)), own]
-    if z.max() > 60 or z.min() < -60:  # else exp stays within single precision
+    if not near:
         top = z.max(axis=1)
         z -= top[:, None]
         at = at - top
@@ -256,12 +300,33 @@ class Trainer:
         self.up_to, self.add = np.cumsum(v.shares), np.log(TIMES * v.shares).astype(np.float32)
         self.inner = v.inner_logs().astype(np.float32)
         self.first, self.sums = v.first, np.concatenate([[0], np.cumsum(v.inside)])
-        self.low, self.high = self.sums[v.first[:-1]], self.sums[v.first[1:]]
-
-    def learn(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> int:
-        """One pass over texts, in steps of PIECES pieces from anywhere in them; returns the number of tokens."""
+        self.low = self.sums[v.first[:-1]]
+        self.span = self.sums[v.first[1:]] - self.low
+        # For GUIDE even cells to a slot, the slot in which each begins: where the search for a sample starts.
+        self.cells = GUIDE * np.diff(v.first)
+        self.cell = np.append(0, np.cumsum(self.cells))[:-1]
+        part = (np.arange(self.cells.sum()) - np.repeat(self.cell, self.cells)) / np.repeat(self.cells, self.cells)
+        self.guide = self.found(np.repeat(self.low, self.cells) + part * np.repeat(self.span, self.cells), np.repeat(np.arange(BUCKETS), self.cells))
+
+    def found(self, at: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """The slots of places in the running sums of counts, kept in their buckets."""
+        return np.clip(np.searchsorted(self.sums, at, side="right") - 1, self.first[bucket], self.first[bucket + 1] - 1)
+
+    def drawn(self, bucket: np.ndarray) -> np.ndarray:
+        """SLOT_NOISE slots of each bucket, by counts."""
+        u = self.rng.random((len(bucket), SLOT_NOISE))
+        at = (self.low[bucket][:, None] + u * self.span[bucket][:, None]).ravel()
+        slot = self.guide[(self.cell[bucket][:, None] + (u * self.cells[bucket][:, None]).astype(np.int64)).ravel()]
+        todo = np.flatnonzero(self.sums[slot + 1] <= at)
+        while len(todo):
+            slot[todo] += 1
+            todo = todo[self.sums[slot[todo] + 1] <= at[todo]]
+        return np.minimum(slot.reshape(u.shape), (self.first[bucket + 1] - 1)[:, None])
+
+    def learn(self, cls: np.ndarray, slot: np.ndarray, lengths: np.ndarray) -> int:
+        """One pass over texts (see stream()), in steps of PIECES pieces from anywhere in them; returns the number of tokens."""
         np.seterr(over="ignore")  # exp of a large score: the gradient is then 0, as it should be
-        cls, slot, places = stream(texts)
+        cls, slot, places = stream(cls, slot, lengths)
         pieces = -(-len(cls) // PIECE)
         end = pieces * PIECE - len(cls)
         cls, slot = np.concatenate([PAD, cls, [END] * end]).astype(np.int32), np.concatenate([slot, [-1] * end]).astype(np.int32)
@@ -298,11 +363,11 @@ class Trainer:
         full = np.zeros((cls.shape[0] * PIECE, DIM), np.float32)
         full[at] = gq
         full = full.reshape(-1, PIECE, DIM)
-        g_near, gw = np.zeros_like(near), np.empty_like(weights)
+        g_near, gw, part = np.zeros_like(near), np.empty_like(weights), np.empty_like(full)
         for i, w in enumerate(weights):
             cut = slice(CONTEXT - 1 - i, CONTEXT - 1 - i + PIECE)
             gw[i] = np.einsum("abc,abc->c", full, near[:, cut])
-            g_near[:, cut] += full * w
+            g_near[:, cut] += np.multiply(full, w, out=part)
         gv = summed(cls.ravel(), g_near.reshape(-1, DIM), CLASSES)
         for p, g, h in zip(self.model.parts, (gv, gw, go, gb[:, None]), self.past, strict=True):
             h += g * g
@@ -311,8 +376,7 @@ class Trainer:
     def inside(self, bucket: np.ndarray, slot: np.ndarray, q: np.ndarray) -> np.ndarray:
         """A step on the slots of positions in classes of several words -> the gradient of their context vectors."""
         rows, m = self.model.rows, len(slot)
-        drawn = self.low[bucket][:, None] + self.rng.random((m, SLOT_NOISE)) * (self.high - self.low)[bucket][:, None]
-        noise = np.clip(np.searchsorted(self.sums, drawn, side="right") - 1, self.first[bucket][:, None], self.first[bucket + 1][:, None] - 1)
+        noise = self.drawn(bucket)
         which = np.concatenate([slot[:, None], noise], axis=1)
         taken = rows.take(which, axis=0)
         z = np.einsum("mkd,md->mk", taken[:, :, :DIM], q)
@@ -331,9 +395,14 @@ class Trainer:
         hit = which[by[new]]
         total = summed(number, each.reshape(-1, DIM + 1), len(hit)).astype(np.float32)
         self.met[hit] += np.bincount(number, minlength=len(hit))
-        past = self.past_rows.take(hit, axis=0) + total * total
+        past = self.past_rows.take(hit, axis=0)
+        past += total * total
         self.past_rows[hit] = past
-        rows[hit] += RATE * total / np.sqrt(past)
+        np.sqrt(past, out=past)
+        total *= np.float32(RATE)
+        total /= past
+        total += rows.take(hit, axis=0)
+        rows[hit] = total
         return gq
 
 
@@ -357,18 +426,13 @@ def fit(texts: DataFrame, vocabulary: Vocabulary) -> Model:
             model = Model.of(parts[0], rows[0], v.first)
             past = Model.of(parts[1], rows[1], v.first)
             trainer = Trainer(model, v, [p.astype(np.float64) for p in past.parts], rows[1], TaskContext.get().partitionId())
-            memo, waiting, tokens, size = v.known(), [], 0, 0
+            memo, tokens = v.known(), 0
             for b in batches:
-                for t in texts_of(b.column(0)):
-                    at = memo.numbers(words_of(t))  # first, for it may replace the columns
-                    waiting.append((memo.cls[at], memo.slot[at]))
+                for pack in packs(b.column(0)):
+                    words, lengths = words_of(pack)
+                    at = memo.numbers(words)  # first, for it may replace the columns
+                    tokens += trainer.learn(memo.cls[at], memo.slot[at], lengths)
                     memo.rest()
-                    size += len(at) + 1
-                    if size > 1 << 17:
-                        tokens, size = tokens + trainer.learn(waiting), 0
-                        waiting.clear()
-            if waiting:
-                tokens += trainer.learn(waiting)
             if tokens:
                 parts = np.stack([model.flat(), np.concatenate([h.ravel() for h in trainer.past]).astype(np.float32)])
                 yield carried(TaskContext.get().partitionId(), tokens, parts, rows, trainer.met).to_batches()[0]
@@ -405,17 +469,18 @@ def carried(part: int, tokens: float, parts: np.ndarray, rows: np.ndarray, met:
 def vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
     """The head words and the buckets' sums, over all words that have no class of their own.
 
-    The head are the words of the highest frequency bands (64 to a factor of e) that hold HEAD words at most
-    together; bands are counted first, so no more than the head leaves the executors.
+    The head are the words, of HEAD_BYTES at most, of the highest frequency bands (64 to a factor of e) that hold HEAD words
+    at most together; longer ones are looked up in the table of counts like all others. Bands are counted first, so no more than the head leaves the executors.
     """
     band = F.floor(F.log(F.col("c").cast("double")) * 64)
     least, n = 10**9, 0
-    for r in sorted(counts.groupBy(band.alias("b")).count().collect(), key=lambda r: -r["b"]):
+    short = counts.where(F.octet_length("word") <= HEAD_BYTES)
+    for r in sorted(short.groupBy(band.alias("b")).count().collect(), key=lambda r: -r["b"]):
         n += r["count"]
         if n > HEAD:
             break
         least = r["b"]
-    head = sorted(counts.where(band >= least).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
+    head = sorted(short.where(band >= least).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
     own = [bytes(r["word"]) for r in head[:OWN]]
     tail_class = F.lit(OWN + 1) + F.pmod(F.crc32(F.expr("substring(word, -3)")), F.lit(BUCKETS))
     sums = counts.withColumn("g", tail_class).groupBy("g").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
@@ -460,26 +525,25 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
         m, memo, at = Model.of(held.value[1], held.value[2], v.first), v.known(), TaskContext.get().partitionId() << 36
         others = v.other_logs()
         for b in batches:
-            for part in slices(b, 256):
+            done = 0
+            for pack in packs(b.column(1)):
                 memo.rest()
-                words = [words_of(t) for t in part.column(1).to_pylist()]
-                numbers = [memo.numbers(w) for w in words]
-                every = np.concatenate(numbers)
+                words, n = words_of(pack)
+                every = memo.numbers(words)
                 cls, slot, log, base = (x[every] for x in (memo.cls, memo.slot, memo.log, memo.base))
-                n = np.array([len(x) for x in numbers])
-                ends = np.cumsum(n)
-                neural = m.log_probs(*stream(list(zip(np.split(cls, ends[:-1]), np.split(slot, ends[:-1]), strict=True)))) / math.log(10)
+                ends = np.append(0, np.cumsum(n))
+                neural = m.log_probs(*stream(cls, slot, n)) / math.log(10)
                 # A word in the slot of all others has its share of their counts; NaN: to be looked up in the table.
                 shared = (slot >= 0) & (v.first[np.maximum(cls - OWN - 1, 0)] == slot)
                 out = np.isnan(base)
                 more = np.where(shared, np.where(out, 0.0, log) - others[cls], 0.0)
                 cut = lambda x, w=n: np.add.reduceat(np.append(x, 0.0), np.append(0, np.cumsum(w))[:-1]) * (w > 0)
                 missing = np.flatnonzero(out)
-                flat = [w for x in words for w in x] if len(missing) else []
-                tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(missing, np.append(0, ends)), pa.int32()), pa.array([flat[i] for i in missing], pa.binary()))
-                known = n - np.diff(np.searchsorted(missing, np.append(0, ends))) + (n_texts > 0)
-                columns = [pa.array(np.arange(at, at + len(n)), pa.int64()), part.column(0), pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(cut(np.nan_to_num(base)) + end_log), pa.array(cut(neural, n + 1) + cut(more)), tails]
-                at += len(n)
+                before = np.searchsorted(missing, ends)
+                tails = pa.ListArray.from_arrays(pa.array(before, pa.int32()), words.take(pa.array(missing)))
+                known = n - np.diff(before) + (n_texts > 0)
+                columns = [pa.array(np.arange(at, at + len(n)), pa.int64()), b.column(0).slice(done, len(n)), pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(cut(np.nan_to_num(base)) + end_log), pa.array(cut(neural, n + 1) + cut(more)), tails]
+                at, done = at + len(n), done + len(n)
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "known", "base", "neural", "tail"])
         memo.clear()
         tidy()

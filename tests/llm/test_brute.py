@@ -639,6 +639,28 @@ def test_lm_counts_and_gain(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def flat(texts):
+    """(classes, slots) of texts in a row, and their lengths."""
+    return np.concatenate([c for c, _ in texts]).astype(np.int32), np.concatenate([x for _, x in texts]).astype(np.int32), np.array([len(c) for c, _ in texts])
+
+
+def test_words_at_once():
+    import pyarrow as pa
+
+    texts = ["", "One  two\tONE", " \n", "\x0b a\x0cb\r\nÉé\u2028z\x1cq ", "x", "y"] + ["w " * 400] * 8
+    column = pa.array([t.encode() for t in texts], pa.binary())
+    words, n = lm.words_of(column.slice(1, 12))
+    want = [t.encode().lower().split() for t in texts[1:13]]
+    assert words.to_pylist() == [w for t in want for w in t] and n.tolist() == [len(t) for t in want]
+    assert lm.words_of(column.slice(0, 1))[1].tolist() == [0] and lm.words_of(pa.array([], pa.binary()))[1].tolist() == []
+    old, lm.AT_ONCE = lm.AT_ONCE, 1000
+    try:
+        parts = list(lm.packs(column))
+    finally:
+        lm.AT_ONCE = old
+    assert pa.concat_arrays(parts).equals(column) and max(map(len, parts)) < len(texts) and min(map(len, parts)) > 0
+
+
 def some_vocabulary(rng, most=30):
     """Classes of one to most slots, with random shares and counts."""
     sizes = rng.integers(1, most, lm.BUCKETS)
@@ -663,7 +685,7 @@ def test_lm_is_normalised():
     pairs = [(c, -1) for c in range(lm.OWN + 1)] + [(lm.OWN + 1 + g, x) for g in range(lm.BUCKETS) for x in range(v.first[g], v.first[g + 1])]
     before = [pairs[i] for i in rng.integers(0, len(pairs), lm.CONTEXT)]
     texts = [(np.array([c for c, _ in [*before, p]], np.int32), np.array([x for _, x in [*before, p]], np.int32)) for p in pairs]
-    cls, slot, places = lm.stream(texts)
+    cls, slot, places = lm.stream(*flat(texts))
     got = m.log_probs(cls, slot, places)
     ends = np.cumsum([lm.CONTEXT + 2] * len(pairs)) - 2
     assert np.exp(got[ends]).sum() == pytest.approx(1, abs=1e-3)
@@ -672,7 +694,7 @@ def test_lm_is_normalised():
 
 
 def test_stream_pads_texts():
-    cls, slot, places = lm.stream([(np.array([3, 70]), np.array([-1, 5])), (np.array([], int), np.array([], int))])
+    cls, slot, places = lm.stream(np.array([3, 70]), np.array([-1, 5]), np.array([2, 0]))
     e = [lm.END] * lm.CONTEXT
     assert cls.tolist() == [*e, 3, 70, lm.END, *e, lm.END] and slot[places].tolist() == [-1, 5, -1, -1]
     assert cls[places].tolist() == [3, 70, lm.END, lm.END]
@@ -686,7 +708,7 @@ def test_gradients_of_a_step(monkeypatch):
     m = random_model(rng, v, 0.3)
     pairs = [(c, -1) for c in range(lm.OWN + 1)] + [(lm.OWN + 1 + g, x) for g in range(lm.BUCKETS) for x in range(v.first[g], v.first[g + 1])]
     text = [pairs[i] for i in rng.integers(0, len(pairs), 150)]
-    cls, slot, places = lm.stream([tuple(np.array(x) for x in zip(*text, strict=True))])
+    cls, slot, places = lm.stream(*(np.array(x) for x in zip(*text, strict=True)), np.array([len(text)]))
     t = lm.Trainer(m, v, [np.zeros(s) for s in lm.Model.SHAPES], np.zeros_like(m.rows), 1)
     drawn = {}
 
@@ -719,7 +741,7 @@ def test_gradients_of_a_step(monkeypatch):
             total += np.log(sig(s(c))) + lm.TIMES / lm.NOISE * sum(np.log(1 - sig(s(o))) for o in noise)
             if x >= 0:
                 g = c - lm.OWN - 1
-                u = t.low[g] + drawn[next(y for y in drawn if isinstance(y, tuple))][k] * (t.high - t.low)[g]
+                u = t.low[g] + drawn[next(y for y in drawn if isinstance(y, tuple))][k] * t.span[g]
                 others = np.clip(np.searchsorted(t.sums, u, side="right") - 1, v.first[g], v.first[g + 1] - 1)
                 r = lambda x: q @ rows[x, : lm.DIM] + rows[x, lm.DIM] - v.inner_logs()[x] - np.log(lm.SLOT_NOISE)  # noqa: B023, E731
                 total += np.log(sig(r(x))) + sum(np.log(1 - sig(r(o))) for o in others)
@@ -740,6 +762,22 @@ def test_gradients_of_a_step(monkeypatch):
             assert abs((diff[0] - diff[1]) / 2e-4) == pytest.approx(got[which][spot], rel=0.02, abs=2e-5), (which, spot)
 
 
+def test_slot_samples_follow_counts():
+    rng = np.random.default_rng(8)
+    v = some_vocabulary(rng)
+    v.inside[5:40] *= 1000
+    m = lm.Model.start(v)
+    t = lm.Trainer(m, v, [], np.zeros_like(m.rows), 1)
+    bucket = np.repeat(np.arange(lm.BUCKETS), 2000)
+    got = t.drawn(bucket)
+    assert (v.bucket_of_slots()[got] == bucket[:, None]).all()
+    share = np.bincount(got.ravel(), minlength=len(v.inside)) / (2000 * lm.SLOT_NOISE)
+    assert np.abs(share - np.exp(v.inner_logs())).max() < 0.03
+    t.rng = np.random.default_rng(4)
+    again, u = t.drawn(bucket), np.random.default_rng(4).random((len(bucket), lm.SLOT_NOISE))
+    assert (again == t.found(t.low[bucket][:, None] + u * t.span[bucket][:, None], np.repeat(bucket, lm.SLOT_NOISE).reshape(u.shape))).all()
+
+
 def test_training_reaches_six_words_back():
     assert (lm.CONTEXT, lm.NOISE, lm.PIECES * lm.PIECE) == (6, 64, 1024)
     rng = np.random.default_rng(5)
@@ -753,8 +791,8 @@ def test_training_reaches_six_words_back():
     m = lm.Model.start(v)
     trainer = lm.Trainer(m, v, [np.full(s, 1e-6) for s in lm.Model.SHAPES], np.full_like(m.rows, 1e-2), 1)
     for _ in range(4):
-        trainer.learn(texts)
-    assert m.log_probs(*lm.stream(texts)).mean() > math.log(0.5) / 2
+        trainer.learn(*flat(texts))
+    assert m.log_probs(*lm.stream(*flat(texts))).mean() > math.log(0.5) / 2
 
 
 def test_lm_shares_add_up(spark, monkeypatch):
@@ -1008,6 +1046,60 @@ def test_query_columns(spark):
             assert df.count() == docs
 
 
+@needs_data
+def test_query_values(spark):
+    """The queries' own columns, over the smallest tables whole, against plain Python."""
+    import struct
+
+    import tiktoken
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    texts = {r.doc_id: r.text or "" for r in rows}
+    held = lambda i, m, k: zlib.crc32(str(i).encode()) % m == k
+    got = lambda name: {r.doc_id: r for r in q.queries()[name](spark, SF).collect()}
+
+    for i, r in got("op6_secret_scan").items():
+        base = base_spans(texts[i])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, _, k in base) for x in ("assign", "access", "hex"))
+        assert r.base_sha256 == hexed(",".join(f"{k}:{s}:{e}" for s, e, k in base))
+        assert set(filter(None, (f"{k}:{s}:{e}" for s, e, k in base))) <= set(r.spans.split(","))
+    with open(q.ranks_path(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    coder = tiktoken.Encoding("t", pat_str=q.split_pattern(), mergeable_ranks=ranks, special_tokens={})
+    for i, r in got("op9_bpe").items():
+        ids = coder.encode_ordinary(texts[i])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hexed(texts[i]))
+    toxic = got("op1_toxicity")
+    assert all(r.held_out == held(i, 5, 0) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for i, r in toxic.items()) and toxic.keys() == texts.keys()
+    words = {i: t.encode().lower().split() for i, t in texts.items()}
+    c = Counter(w for i, x in words.items() if not held(i, 7, 2) for w in [*x, None])
+    n, v = sum(c.values()), len(c)
+    scored = got("op5_log_bilinear")
+    for i, r in scored.items():
+        w = [*words[i], None]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i, 7, 2), len(w), sum(c[x] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) and r.score < 0
+    order = [r.doc_id for r in rows]
+    classes = brute_classes([texts[i] for i in order], 3, 90, 100)
+    joined = got("op8_ngram_jaccard")
+    for place, i in enumerate(order):
+        size, root, links = classes[place]
+        same = [order[p] for p, x in enumerate(classes) if x[1] == root]
+        assert (joined[i].n_shingles, joined[i].component_id, joined[i].n_links) == (size, min(same), links)
+
+    import pyarrow.parquet as pq
+
+    vectors = {r["vec_id"]: r["embedding"] for r in pq.read_table(f"{SF}/embeddings.parquet").to_pylist()}
+    found = q.queries()["op7_nearest"](spark, SF).collect()
+    hits, queries = 0, [i for i in vectors if i % 100 == 0]
+    for i in queries:
+        best = sorted((math.dist(vectors[i], x), j) for j, x in vectors.items() if j != i)[:10]
+        mine = sorted(((r["rank"], r.vec_id, r.score) for r in found if r.query_id == i))
+        assert [x[0] for x in mine] == list(range(1, 11)) and all(s == pytest.approx(math.dist(vectors[i], vectors[j]), abs=1e-12) for _, j, s in mine)
+        hits += len({j for _, j in best} & {j for _, j, _ in mine})
+    assert len(found) == 10 * len(queries) and hits >= 9.5 * len(queries)
+
+
 @pytest.mark.parametrize(("num", "den", "common"), [(1, 10, 19), (1, 5, 34), (1, 100, 2)])
 def test_low_thresholds_share_a_signature(num, den, common):
     n = 100
