@@ -8,8 +8,9 @@ all texts with the same non-empty bins. BITS low-order bits of each bin are stor
 fingerprints is the share of equal bins, corrected for the 2 ** -BITS that agree by chance.
 
 All of it is built-in expressions on one row. Defined cases: a null text is empty; an empty text has no
-bins and the fingerprint "", like itself (1) and unlike any other (0); equal texts have equal
-fingerprints; likeness is never below 0.
+bins and the fingerprint "", like itself (1) and unlike any other (0); texts of any length are read whole; equal
+texts have equal fingerprints; likeness is never below 0; repeated rows are documents each, and their own successors;
+an empty table gives an empty result; columns but doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ LOG, HALF = BINS.bit_length() - 1, 1 << BITS - 1
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """df + out: an array of BINS bytes (empty for an empty text)."""
     p = f"__{out}_"
-    w, h, s, m, at = (F.col(p + x) for x in ("words", "hashes", "sorted", "least", "bins"))
+    w, h, s, m, at, slots = (F.col(p + x) for x in ("words", "hashes", "sorted", "least", "bins", "slots"))
     n = F.size(w)
     df = df.withColumn(p + "words", F.split(F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(SPACE)), r"[\x20\x09-\x0D]+"))
     df = df.withColumn(p + "hashes", F.transform(w, lambda x: F.xxhash64(x)))
@@ -37,12 +38,16 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     bin_of = lambda x: F.shiftright(x, 64 - LOG) + BINS // 2
     df = df.withColumn(p + "least", F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, 64 - LOG) != F.shiftright(F.get(s, i - 1), 64 - LOG)))).drop(p + "sorted")
     df = df.withColumn(p + "bins", F.transform(m, lambda x: bin_of(x).cast("int"))).withColumn(p + "least", F.transform(m, lambda x: (x.bitwiseAND(F.lit((1 << BITS) - 1)) - HALF).cast("tinyint")))
-    place = lambda b: F.nullif(F.array_position(at, b.cast("int")), F.lit(0))
+    # All bins in a row, with nulls for the empty ones: each non-empty one behind as many as lie between it and the last.
+    nothing = lambda n: F.array_repeat(F.lit(None).cast("tinyint"), n)
+    gap = lambda b, i: F.concat(nothing(b - 1 - F.coalesce(F.get(at, i - 1), F.lit(-1))), F.array(F.get(m, i)))
+    df = df.withColumn(p + "slots", F.concat(F.flatten(F.transform(at, gap)), nothing(BINS - 1 - F.coalesce(F.get(at, F.size(at) - 1), F.lit(-1)))))
     probe = lambda b, j: F.pmod(F.xxhash64(b, F.lit(j)), F.lit(BINS))
-    nearest = lambda b: F.array_position(at, F.array_min(F.transform(at, lambda c: F.struct(F.xxhash64(b, c, F.lit(-1)).alias("h"), c.alias("c"))))["c"])
-    full = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.element_at(m, F.coalesce(place(b), *(place(probe(b, j)) for j in range(PROBES)), nearest(b)).cast("int")))
+    nearest = lambda b: F.array_min(F.transform(at, lambda c: F.struct(F.xxhash64(b, c, F.lit(-1)).alias("h"), c.alias("c"))))["c"]
+    held = lambda b: F.get(slots, b.cast("int"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(held(b), *(held(probe(b, j)) for j in range(PROBES)), held(nearest(b))))
     df = df.withColumn(out, F.when(F.size(m).isin(0, BINS), m).otherwise(full))
-    return df.drop(p + "least", p + "bins")
+    return df.drop(p + "least", p + "bins", p + "slots")
 
 
 def packed(fingerprint: Column) -> Column:
