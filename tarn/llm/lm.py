@@ -34,11 +34,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,22 +55,20 @@ PIECES, PIECE, SLOT_NOISE, GUIDE = 32, 32, 4, 4
 ROUNDS = 2
 #: Bytes of a head word, so that the head has a size in bytes as well.
 HEAD_BYTES = 256
-#: Distinct words that a task counts before it passes the counts on.
-FLUSH = 200_000
-
-
 #: A-Z to lower case, and every kind of ASCII white space to a blank.
 PLAIN = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bytes of texts that are cut into words, learnt from or scored at a time (at least one text).
 AT_ONCE = 1 << 20
+#: The same where words are only counted.
+COUNTED = 32 << 20
 
 
-def packs(texts: pa.Array) -> Iterator[pa.Array]:
-    """A column of binaries in parts of about AT_ONCE bytes."""
+def packs(texts: pa.Array, size: int = 0) -> Iterator[pa.Array]:
+    """A column of binaries in parts of about size bytes (AT_ONCE)."""
     ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
     at = 0
     while at < len(texts):
-        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + AT_ONCE, side="right")) - 1)
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + (size or AT_ONCE), side="right")) - 1)
         yield texts.slice(at, upto - at)
         at = upto
 
@@ -101,22 +99,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """texts (text as binary) -> word (binary), c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "c"])
-            held.clear()
-            return out
-
         for b in batches:
-            for part in packs(b.column(0)):
+            for part in packs(b.column(0), COUNTED):
                 found = words_of(part)[0].value_counts()
-                for w, c in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
-                    held[w] += c
-                if len(held) > FLUSH:
-                    yield flush()
-        if held:
-            yield flush()
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "c"])
         tidy()
 
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -153,40 +139,50 @@ class Vocabulary:
         return np.concatenate([np.zeros(OWN + 1), np.log10(self.inside[self.first[:-1]])])
 
 
-class Words(dict):
-    """A worker's memory of words: word -> its number in the columns cls, slot (-1 if the class is a word) and log (log10 of
-    its count + 1; NaN outside the head; 0 for words of a class or slot of their own)."""
-
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.own, self.logs, self.slots, self.first = vocabulary.cls.get, vocabulary.logs.get, vocabulary.slot.get, vocabulary.first
-        self.cls, self.slot, self.log, self.base = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(1024), np.zeros(1024)
-
-    def __missing__(self, word: bytes) -> int:
-        n = len(self)
-        if n == len(self.cls):
-            self.cls, self.slot, self.log, self.base = (np.concatenate([x, np.zeros_like(x)]) for x in (self.cls, self.slot, self.log, self.base))
-        own = self.own(word)
-        self.base[n] = self.log[n] = self.logs(word, math.nan)
-        if own is not None:
-            self.cls[n], self.slot[n], self.log[n] = own, -1, 0.0
-        else:
-            self.cls[n], slot = bucket_class(word), self.slots(word)
-            self.slot[n] = self.first[self.cls[n] - OWN - 1] if slot is None else slot
-            if slot is not None:
-                self.log[n] = 0.0
-        self[word] = n
-        return n
-
-    def numbers(self, words: pa.Array) -> np.ndarray:
-        """Each word's number; every distinct one is looked up once."""
-        coded = words.dictionary_encode()
-        known = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
-        return known[coded.indices.to_numpy()]
+#: The table of crc32, from its value for each single byte.
+TABLE = np.array([zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFFFFFFFF ^ 0x00FFFFFF for i in range(256)], np.uint32)
 
-    def rest(self) -> None:
-        """Forget all, if that is much; between texts only."""
-        if len(self) > FLUSH:
-            self.clear()
+
+class Words:
+    """What words are, by column: cls; slot (-1 if the class is a word); base (log10 of its count + 1; NaN outside the head);
+    log (the same, but 0 for words of a class or slot of their own)."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        head = list(v.logs)
+        self.head = pa.array(head, pa.binary())
+        self.first = v.first
+        self.base = np.append(np.fromiter(v.logs.values(), np.float64, len(head)), math.nan)
+        own = np.fromiter((v.cls.get(w, -1) for w in head), np.int32, len(head))
+        slot = np.fromiter((v.slot.get(w, -1) for w in head), np.int32, len(head))
+        bucket = bucket_classes(self.head)
+        self.cls = np.where(own >= 0, own, bucket).astype(np.int32)
+        self.slot = np.where(own >= 0, -1, np.where(slot >= 0, slot, self.first[bucket - OWN - 1])).astype(np.int32)
+        self.log = np.append(np.where((own >= 0) | (slot >= 0), 0.0, self.base[:-1]), math.nan)
+
+    def columns(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """cls, slot, log and base of each word; every distinct one is looked up once."""
+        coded = words.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.head).fill_null(-1).to_numpy()
+        cls = bucket_classes(coded.dictionary)
+        slot = self.first[cls - OWN - 1].astype(np.int32)
+        some = at >= 0
+        cls[some], slot[some] = self.cls[at[some]], self.slot[at[some]]
+        every = coded.indices.to_numpy()
+        return cls[every], slot[every], self.log[at][every], self.base[at][every]
+
+
+def bucket_classes(words: pa.Array) -> np.ndarray:
+    """bucket_class() of each word, none of which is empty: crc32 of the last three bytes, a byte at a time."""
+    if not len(words):
+        return np.array([], np.int32)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2], np.uint8)
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for back in (3, 2, 1):
+        at = ends[1:] - back
+        ok = at >= ends[:-1]
+        crc[ok] = TABLE[(crc[ok] ^ raw[at[ok]]) & 0xFF] ^ crc[ok] >> np.uint32(8)
+    return (OWN + 1 + (crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(BUCKETS)).astype(np.int32)
 
 
 PAD = [END] * CONTEXT
@@ -426,17 +422,14 @@ def fit(texts: DataFrame, vocabulary: Vocabulary) -> Model:
             model = Model.of(parts[0], rows[0], v.first)
             past = Model.of(parts[1], rows[1], v.first)
             trainer = Trainer(model, v, [p.astype(np.float64) for p in past.parts], rows[1], TaskContext.get().partitionId())
-            memo, tokens = v.known(), 0
+            known, tokens = v.known(), 0
             for b in batches:
                 for pack in packs(b.column(0)):
                     words, lengths = words_of(pack)
-                    at = memo.numbers(words)  # first, for it may replace the columns
-                    tokens += trainer.learn(memo.cls[at], memo.slot[at], lengths)
-                    memo.rest()
+                    tokens += trainer.learn(*known.columns(words)[:2], lengths)
             if tokens:
                 parts = np.stack([model.flat(), np.concatenate([h.ravel() for h in trainer.past]).astype(np.float32)])
                 yield carried(TaskContext.get().partitionId(), tokens, parts, rows, trainer.met).to_batches()[0]
-            memo.clear()
             tidy()
 
         def mean(group: pa.Table) -> pa.Table:
@@ -522,15 +515,13 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(*held.value[0])
-        m, memo, at = Model.of(held.value[1], held.value[2], v.first), v.known(), TaskContext.get().partitionId() << 36
+        m, known_words, at = Model.of(held.value[1], held.value[2], v.first), v.known(), TaskContext.get().partitionId() << 36
         others = v.other_logs()
         for b in batches:
             done = 0
             for pack in packs(b.column(1)):
-                memo.rest()
                 words, n = words_of(pack)
-                every = memo.numbers(words)
-                cls, slot, log, base = (x[every] for x in (memo.cls, memo.slot, memo.log, memo.base))
+                cls, slot, log, base = known_words.columns(words)
                 ends = np.append(0, np.cumsum(n))
                 neural = m.log_probs(*stream(cls, slot, n)) / math.log(10)
                 # A word in the slot of all others has its share of their counts; NaN: to be looked up in the table.
@@ -545,7 +536,6 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                 columns = [pa.array(np.arange(at, at + len(n)), pa.int64()), b.column(0).slice(done, len(n)), pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(cut(np.nan_to_num(base)) + end_log), pa.array(cut(neural, n + 1) + cut(more)), tails]
                 at, done = at + len(n), done + len(n)
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "known", "base", "neural", "tail"])
-        memo.clear()
         tidy()
 
     rows = written(texts.mapInArrow(run, f"row long, doc_id {id_type}, n_tokens long, known long, base double, neural double, tail array<binary>"), "lm-rows")

@@ -762,6 +762,14 @@ def test_gradients_of_a_step(monkeypatch):
             assert abs((diff[0] - diff[1]) / 2e-4) == pytest.approx(got[which][spot], rel=0.02, abs=2e-5), (which, spot)
 
 
+def test_bucket_classes():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    words = [bytes(rng.randrange(256) for _ in range(rng.randrange(1, 6))) for _ in range(500)]
+    assert lm.bucket_classes(pa.array([b"no", *words], pa.binary()).slice(1)).tolist() == [lm.bucket_class(w) for w in words]
+
+
 def test_slot_samples_follow_counts():
     rng = np.random.default_rng(8)
     v = some_vocabulary(rng)
@@ -802,15 +810,19 @@ def test_lm_shares_add_up(spark, monkeypatch):
     counts = lm.word_counts(docs_of(spark, texts).selectExpr("cast(text as binary) as text"))
     v = lm.vocabulary(counts, 6)
     assert len(v.cls) == lm.OWN and len(v.slot) == 150 and len(v.logs) == 500
-    memo, others, mass = v.known(), v.other_logs(), Counter()
-    for w in [*(f"word{i}" for i in range(400)), *(f"rare{i}" for i in range(100)), "unseen"]:
-        i = memo[w.encode()]
-        c, x = int(memo.cls[i]), int(memo.slot[i])
+    others, mass = v.other_logs(), Counter()
+    words = [*(f"word{i}" for i in range(400)), *(f"rare{i}" for i in range(100)), "unseen"]
+    import pyarrow as pa
+
+    columns = v.known().columns(pa.array([w.encode() for w in words], pa.binary()))
+    for w, c, x, log, base in zip(words, *(x.tolist() for x in columns), strict=True):
+        assert c == (v.cls[w.encode()] if w.encode() in v.cls else lm.bucket_class(w.encode()))
+        assert base == v.logs[w.encode()] if w != "unseen" else math.isnan(base)
         if x >= 0 and x == v.first[c - lm.OWN - 1]:
-            mass[c] += 10 ** ((0 if w == "unseen" else memo.log[i]) - others[c])
+            mass[c] += 10 ** ((0 if w == "unseen" else log) - others[c])
         else:
-            assert memo.log[i] == 0 and (x < 0) == (w.encode() in v.cls)
-    unseen = int(memo.cls[memo[b"unseen"]])
+            assert log == 0 and (x < 0) == (w.encode() in v.cls)
+    unseen = lm.bucket_class(b"unseen")
     for g in range(lm.BUCKETS):
         c = lm.OWN + 1 + g
         assert mass[c] + (c != unseen) * 10 ** -others[c] == pytest.approx(1)
