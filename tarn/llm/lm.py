@@ -58,7 +58,7 @@ HEAD_BYTES = 256
 #: A-Z to lower case, and every kind of ASCII white space to a blank.
 PLAIN = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bytes of texts that are cut into words, learnt from or scored at a time (at least one text).
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 22
 #: The same where words are only counted.
 COUNTED = 32 << 20
 
