@@ -4,9 +4,10 @@ Vectors are dealt to shards by a hash of id and components (and by length of vec
 neighbours). Shards have LEAST_SHARD vectors on average until there are SHARDS of them, then grow with the table
 up to MOST_SHARD, so that a query of a larger table does not search more of them at first. A shard's graph is built
 by insertion in the order of ids, levels drawn from the hash, and stored as one row of flat arrays: vectors, ids,
-and for each node and level a block of neighbour numbers. Equal vectors are one node that lists its ids. Queries go
-through in blocks of about QUERIES: each block meets each shard's row, so a shard is moved once for thousands of
-queries, and the shards' nearest are merged by a window that keeps only the best.
+and for each node and level a block of neighbour numbers. Equal vectors are one node that lists its ids. Queries are
+a table as well, a row for each block of about QUERIES: tasks pair its partitions with the index's, so neither is
+copied, exchanged or sent through the driver; each block meets each shard's row, so a shard is moved once for
+thousands of queries, and the shards' nearest are merged by a window that keeps only the best.
 
 Distances are Euclidean. The search itself runs in single precision on shard vectors; what it returns is
 ranked by double-precision distances of the original vectors, ties to the smaller id.
@@ -189,10 +190,10 @@ def search(spark_index: DataFrame, queries: DataFrame, vec: str = "embedding", k
     q = usable(queries, vec).distinct()
     blocks = max(1, math.ceil(q.count() / QUERIES))
     packed = q.groupBy("dim", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
-    shards = spark_index.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0]
-    # Each block goes to every shard: a query set against all rows, in blocks.
-    packed = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards))))
-    pairs = spark_index.join(packed, ["shard", "dim"])
+    # Each block meets every shard, as pairs of partitions of two tables: no block is copied for each shard. Copies would also
+    # be of unknown size to the planner, which would broadcast many times its threshold through the driver.
+    packed = written(packed.drop("block"), "ann-queries")
+    pairs = spark_index.join(packed.hint("shuffle_replicate_nl"), "dim")
     pairs = pairs.select("dim", "n", "entry", "vectors", "originals", "levels", "links", "starts", "ids", F.col("queries.vec_id").alias("query_ids"), F.flatten("queries.vector").alias("query_vectors"))
 
     least = LEAST_SHARD

@@ -591,6 +591,22 @@ def test_recall(spark, monkeypatch):
     assert len(by) == 134 and hits / (10 * len(by)) > 0.95
 
 
+def test_blocks_not_copied_for_shards(spark, monkeypatch):
+    """Query blocks meet shards without a broadcast or an exchange of a copy for each shard, which the driver could not hold."""
+    monkeypatch.setattr(ann, "LEAST_SHARD", 30)
+    monkeypatch.setattr(ann, "QUERIES", 20)
+    x = np.random.default_rng(4).normal(size=(300, 6))
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    out = ann.search(ann.index(v), v.where("vec_id % 5 = 0"))
+    got = {(r.query_id, r["rank"]): r.vec_id for r in out.collect()}
+    for i in range(0, 300, 5):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        assert [got[i, r] for r in range(1, 11)] == np.argsort(d)[:10].tolist()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan and "CartesianProduct" in plan
+
+
 def test_few_candidates(spark):
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "vec_id long, embedding array<double>")
     out = ann.search(ann.index(v), v.where("vec_id = 0")).orderBy("rank").collect()
