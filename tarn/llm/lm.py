@@ -35,6 +35,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -114,14 +115,28 @@ class Vocabulary:
     shares: of classes; inside: counts of slots; others: log10 of the counts of each bucket's slot of all others."""
 
     def __init__(self, own: list[bytes], logs: dict[bytes, float], out: list[bytes], first: np.ndarray, shares: np.ndarray, inside: np.ndarray) -> None:
-        self.cls = {w: i for i, w in enumerate(own)}
-        self.logs, self.out, self.first, self.shares, self.inside = logs, out, first, shares, inside
-        slots = np.setdiff1d(np.arange(first[-1]), first[:-1])
-        self.slot = dict(zip(out, slots.tolist(), strict=True))
+        self.own, self.logs, self.out, self.first, self.shares, self.inside = own, logs, out, first, shares, inside
+
+    @cached_property
+    def cls(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.own)}
+
+    @cached_property
+    def slot(self) -> dict[bytes, int]:
+        slots = np.setdiff1d(np.arange(self.first[-1]), self.first[:-1])
+        return dict(zip(self.out, slots.tolist(), strict=True))
 
     def plain(self) -> tuple:
-        """What a broadcast can carry to workers that lack this module."""
-        return list(self.cls), self.logs, self.out, self.first, self.shares, self.inside
+        """What a broadcast can carry to workers that lack this module: numbers, and words as known() has them, so that no
+        task looks them all up again."""
+        return self.first, self.shares, self.inside, vars(self.known())
+
+    @classmethod
+    def carried(cls, first: np.ndarray, shares: np.ndarray, inside: np.ndarray, known: dict) -> tuple[Vocabulary, Words]:
+        """Of plain(): a vocabulary of numbers alone, and known()."""
+        words = Words.__new__(Words)
+        vars(words).update(known)
+        return cls([], {}, [], first, shares, inside), words
 
     def known(self) -> Words:
         return Words(self)
@@ -167,8 +182,8 @@ class Words:
         slot = self.first[cls - OWN - 1].astype(np.int32)
         some = at >= 0
         cls[some], slot[some] = self.cls[at[some]], self.slot[at[some]]
-        every = coded.indices.to_numpy()
-        return cls[every], slot[every], self.log[at][every], self.base[at][every]
+        every = coded.indices.to_numpy().astype(np.intp)
+        return cls.take(every), slot.take(every), self.log[at].take(every), self.base[at].take(every)
 
 
 def bucket_classes(words: pa.Array) -> np.ndarray:
@@ -231,59 +246,79 @@ class Model:
     def context(self, near: np.ndarray) -> np.ndarray:
         """near (..., CONTEXT + n, DIM), vectors of the classes in a row -> context vectors of the last n."""
         n = near.shape[-2] - CONTEXT
-        out = near[..., CONTEXT - 1 : CONTEXT - 1 + n, :] * self.parts[1][0]
+        # A PIECE of vectors is one row where they fill such rows, and weights are repeated along it.
+        long = PIECE if n % PIECE == 0 else 1
+        near, along = near.reshape(*near.shape[:-2], -1), np.tile(self.parts[1], long)
+        ago = lambda i: near[..., (CONTEXT - 1 - i) * DIM : (CONTEXT - 1 - i + n) * DIM].reshape(*near.shape[:-1], -1, long * DIM)
+        out = ago(0) * along[0]
         part = np.empty_like(out)
         for i in range(1, CONTEXT):
-            out += np.multiply(near[..., CONTEXT - 1 - i : CONTEXT - 1 - i + n, :], self.parts[1][i], out=part)
-        return out
+            out += np.multiply(ago(i), along[i], out=part)
+        return out.reshape(*near.shape[:-1], n, DIM)
 
     def log_probs(self, cls: np.ndarray, slot: np.ndarray, places: np.ndarray, size: int = 1024, block: int = 1 << 16) -> np.ndarray:
         """A stream() -> natural logs of P(class, slot | context) at its places, normalised over all classes and slots."""
         vectors, _, outputs, bias = self.parts
-        cls = np.concatenate([PAD, cls]).astype(np.int32)
+        cls = np.concatenate([PAD, cls, [END] * (-len(cls) % PIECE)]).astype(np.int32)
         wide = np.concatenate([outputs, bias], axis=1).T
-        longest = math.sqrt(max(np.einsum("ij,ij->j", wide, wide).max(), np.einsum("ij,ij->i", self.rows, self.rows).max()))
         out = np.empty(len(places))
         cuts = np.searchsorted(places, np.arange(0, len(slot) + block, block))
         for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             start, at = n * block, places[a:b]
             q = np.ones((b - a, DIM + 1), np.float32)
             q[:, :DIM] = self.context(vectors.take(cls[start : start + block + CONTEXT], axis=0))[at - start]
-            far = np.sqrt(np.einsum("ij,ij->i", q, q).max(initial=0)) * longest
-            out[a:b] = self.block_log_probs(q, cls[at + CONTEXT], slot[at], wide, size, far < 60)
+            with np.errstate(over="ignore", under="ignore"):
+                out[a:b] = self.block_log_probs(q, cls[at + CONTEXT], slot[at], wide, size)
         return out
 
-    def block_log_probs(self, q: np.ndarray, cls: np.ndarray, slot: np.ndarray, wide: np.ndarray, size: int, near: bool) -> np.ndarray:
-        """near: no score is so far from 0 that its exponential would leave single precision."""
+    def block_log_probs(self, q: np.ndarray, cls: np.ndarray, slot: np.ndarray, wide: np.ndarray, size: int) -> np.ndarray:
         out = np.empty(len(cls))
         for s in range(0, len(cls), size):
-            out[s : s + size] = log_softmax(q[s : s + size] @ wide, cls[s : s + size], near)
+            out[s : s + size] = log_softmax(q[s : s + size], wide, cls[s : s + size])
         by = np.argsort(cls.astype(np.uint16), kind="stable")
         cuts = np.searchsorted(cls[by], np.arange(OWN + 1, CLASSES + 1))
         for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             rows = self.rows[self.first[g] : self.first[g + 1]].T
             for s in range(a, b if rows.shape[1] > 1 else a, size):
                 at = by[s : min(b, s + size)]
-                out[at] += log_softmax(q[at] @ rows, slot[at] - self.first[g], near)
+                out[at] += log_softmax(q.take(at, axis=0), rows, slot[at] - self.first[g])
         return out
 
 
-def log_softmax(z: np.ndarray, own: np.ndarray, near: bool) -> np.ndarray:
-    """The own columns of the log of the softmax of z's rows; z is lost."""
-    at = z[np.arange(len(z)), own]
-    if not near:
+def log_softmax(q: np.ndarray, wide: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The own columns of the log of the softmax of the rows of q @ wide.
+
+    Exponentials are taken as they are; where their sum leaves single precision, again less the row's largest score.
+    """
+    z = q @ wide
+    at = z[np.arange(len(z)), own].astype(np.float64)
+    total = np.exp(z, out=z) @ np.ones(z.shape[1], np.float32)
+    if not (total.min() > 1e-25 and total.max() < 1e35):
+        far = np.flatnonzero(~((total > 1e-25) & (total < 1e35)))
+        z = q[far] @ wide
         top = z.max(axis=1)
         z -= top[:, None]
-        at = at - top
-    np.exp(z, out=z)
-    return at - np.log(z.sum(axis=1))
+        at[far] -= top
+        total[far] = np.exp(z, out=z).sum(axis=1)
+    return at - np.log(total)
 
 
 def summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Rows of values summed by row number."""
-    width = values.shape[1]
-    at = np.add.outer(rows.astype(np.int64) * width, np.arange(width))
-    return np.bincount(at.ravel(), values.ravel(), n * width).reshape(n, width)
+    return columns_summed(rows, np.ascontiguousarray(values.T), n)
+
+
+def columns_summed(rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    """The same for values by column."""
+    out, rows = np.empty((len(columns), n)), rows.astype(np.intp, copy=False)
+    for i, c in enumerate(columns):
+        out[i] = np.bincount(rows, c, n)
+    return out.T
+
+
+def whole(rows: np.ndarray) -> np.ndarray:
+    """A contiguous table's rows as one value each, which are put in place faster."""
+    return rows.view(f"V{rows.shape[1] * rows.itemsize}")[:, 0]
 
 
 class Trainer:
@@ -313,10 +348,8 @@ class Trainer:
         u = self.rng.random((len(bucket), SLOT_NOISE))
         at = (self.low[bucket][:, None] + u * self.span[bucket][:, None]).ravel()
         slot = self.guide[(self.cell[bucket][:, None] + (u * self.cells[bucket][:, None]).astype(np.int64)).ravel()]
-        todo = np.flatnonzero(self.sums[slot + 1] <= at)
-        while len(todo):
-            slot[todo] += 1
-            todo = todo[self.sums[slot[todo] + 1] <= at[todo]]
+        todo = np.flatnonzero(self.sums[1:].take(slot) <= at)
+        slot[todo] = np.searchsorted(self.sums, at[todo], side="right") - 1
         return np.minimum(slot.reshape(u.shape), (self.first[bucket + 1] - 1)[:, None])
 
     def learn(self, cls: np.ndarray, slot: np.ndarray, lengths: np.ndarray) -> int:
@@ -339,66 +372,72 @@ class Trainer:
     def step(self, cls: np.ndarray, slot: np.ndarray, at: np.ndarray) -> None:
         """cls (pieces, CONTEXT + PIECE), slot (pieces, PIECE), at: places that count."""
         vectors, weights, outputs, bias = self.model.parts
+        pieces, n = len(cls), len(at)
         near = vectors.take(cls, axis=0)
-        q = self.model.context(near).reshape(-1, DIM)[at]
-        t, slot, n = cls[:, CONTEXT:].ravel()[at], slot.ravel()[at], len(at)
+        q = np.ones((n, DIM + 1), np.float32)
+        q[:, :DIM] = self.model.context(near).reshape(-1, DIM).take(at, axis=0)
+        t, slot = cls[:, CONTEXT:].ravel()[at], slot.ravel()[at]
         noise = np.minimum(np.searchsorted(self.up_to, self.rng.random(NOISE)), CLASSES - 1)
-        mine, others, over = outputs.take(t, axis=0), outputs.take(noise, axis=0), bias[:, 0] - self.add
-        g_own = 1 / (1 + np.exp((q * mine).sum(axis=1) + over[t])) / n
-        z = q @ others.T
-        z += over[noise]
-        np.negative(z, out=z)
+        # A class that is drawn several times is one column that counts so often.
+        times = np.bincount(noise, minlength=CLASSES)
+        noise = np.flatnonzero(times)
+        wide = np.concatenate([outputs, (bias[:, 0] - self.add)[:, None]], axis=1)
+        mine, others = wide.take(t, axis=0), wide.take(noise, axis=0)
+        g_own = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, mine))) / n
+        z = q @ -others.T
         np.exp(z, out=z)
         z += 1
-        g_noise = np.divide(np.float32(-TIMES / NOISE / n), z, out=z)
-        gq = g_own[:, None] * mine + g_noise @ others
-        go = summed(t, g_own[:, None] * q, CLASSES) + summed(noise, g_noise.T @ q, CLASSES)
-        gb = np.bincount(t, g_own, CLASSES) + np.bincount(noise, g_noise.sum(axis=0), CLASSES)
+        g_noise = np.divide((times[noise] * (-TIMES / NOISE / n)).astype(np.float32), z, out=z)
+        gq = g_own[:, None] * mine[:, :DIM] + g_noise @ others[:, :DIM]
+        qt = np.ascontiguousarray(q.T)
+        go = columns_summed(t, qt * g_own, CLASSES)
+        go[noise] += g_noise.T @ q
         inner = np.flatnonzero(slot >= 0)
-        gq[inner] += self.inside(t[inner] - OWN - 1, slot[inner], q[inner]) / n
-        full = np.zeros((cls.shape[0] * PIECE, DIM), np.float32)
-        full[at] = gq
-        full = full.reshape(-1, PIECE, DIM)
-        g_near, gw, part = np.zeros_like(near), np.empty_like(weights), np.empty_like(full)
-        for i, w in enumerate(weights):
-            cut = slice(CONTEXT - 1 - i, CONTEXT - 1 - i + PIECE)
-            gw[i] = np.einsum("abc,abc->c", full, near[:, cut])
+        gq[inner] += self.inside(t[inner] - OWN - 1, slot[inner], q.take(inner, axis=0), qt.take(inner, axis=1)) / n
+        full = np.zeros((pieces * PIECE, DIM), np.float32)
+        whole(full)[at] = whole(gq)
+        # A piece's vectors are one row, and weights are repeated along it.
+        full, near, along = full.reshape(pieces, -1), near.reshape(pieces, -1), np.tile(weights, PIECE)
+        part = np.empty_like(full)
+        g_near, gw = np.zeros_like(near), np.empty_like(weights)
+        for i, w in enumerate(along):
+            cut = slice((CONTEXT - 1 - i) * DIM, (CONTEXT - 1 - i + PIECE) * DIM)
+            gw[i] = np.einsum("ab,ab->b", full, near[:, cut]).reshape(-1, DIM).sum(axis=0)
             g_near[:, cut] += np.multiply(full, w, out=part)
         gv = summed(cls.ravel(), g_near.reshape(-1, DIM), CLASSES)
-        for p, g, h in zip(self.model.parts, (gv, gw, go, gb[:, None]), self.past, strict=True):
+        for p, g, h in zip(self.model.parts, (gv, gw, go[:, :DIM], go[:, DIM:]), self.past, strict=True):
             h += g * g
             p += (RATE * g / np.sqrt(h + 1e-10)).astype(np.float32)
 
-    def inside(self, bucket: np.ndarray, slot: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """A step on the slots of positions in classes of several words -> the gradient of their context vectors."""
-        rows, m = self.model.rows, len(slot)
+    def inside(self, bucket: np.ndarray, slot: np.ndarray, q: np.ndarray, qt: np.ndarray) -> np.ndarray:
+        """A step on the slots of positions in classes of several words -> the gradient of their context vectors. q: those
+        vectors and a 1; qt: the same by column."""
+        rows = self.model.rows
         noise = self.drawn(bucket)
         which = np.concatenate([slot[:, None], noise], axis=1)
         taken = rows.take(which, axis=0)
-        z = np.einsum("mkd,md->mk", taken[:, :, :DIM], q)
-        z += taken[:, :, DIM] - self.inner[which] - np.float32(math.log(SLOT_NOISE))
+        z = np.einsum("mkd,md->mk", taken, q)
+        z -= self.inner[which] + np.float32(math.log(SLOT_NOISE))
         g = -1 / (1 + np.exp(-z))
         g[:, 0] += 1
         gq = np.einsum("mk,mkd->md", g, taken[:, :, :DIM])
-        each = np.empty((m, 1 + SLOT_NOISE, DIM + 1), np.float32)
-        np.multiply(g[:, :, None], q[:, None, :], out=each[:, :, :DIM])
-        each[:, :, DIM] = g
-        which = which.ravel()
+        which = which.T.ravel()
         by = np.argsort(which.astype(np.uint16), kind="stable")
         new = np.append(True, np.diff(which[by]) > 0)[:len(by)]
         number = np.empty(len(by), np.int64)
         number[by] = np.cumsum(new) - 1
         hit = which[by[new]]
-        total = summed(number, each.reshape(-1, DIM + 1), len(hit)).astype(np.float32)
+        each = np.ascontiguousarray(g.T) * qt[:, None]
+        total = columns_summed(number, each.reshape(DIM + 1, -1), len(hit)).astype(np.float32, order="C")
         self.met[hit] += np.bincount(number, minlength=len(hit))
         past = self.past_rows.take(hit, axis=0)
         past += total * total
-        self.past_rows[hit] = past
+        whole(self.past_rows)[hit] = whole(past)
         np.sqrt(past, out=past)
         total *= np.float32(RATE)
         total /= past
         total += rows.take(hit, axis=0)
-        rows[hit] = total
+        whole(rows)[hit] = whole(total)
         return gq
 
 
@@ -412,17 +451,17 @@ def fit(texts: DataFrame, vocabulary: Vocabulary) -> Model:
     n_rows, dense = len(model.rows), len(model.flat())
     parts = np.stack([model.flat(), np.full(dense, 1e-6, np.float32)])
     rows = np.stack([model.rows, np.full_like(model.rows, 1e-2)])
-    spark = texts.sparkSession
+    spark, plain = texts.sparkSession, vocabulary.plain()
     for number in range(ROUNDS):
-        held = spark.sparkContext.broadcast((vocabulary.plain(), parts, rows))
+        held = spark.sparkContext.broadcast((plain, parts, rows))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v = Vocabulary(*held.value[0])  # noqa: B023
+            v, known = Vocabulary.carried(*held.value[0])  # noqa: B023
             parts, rows = (x.copy() for x in held.value[1:])  # noqa: B023
             model = Model.of(parts[0], rows[0], v.first)
             past = Model.of(parts[1], rows[1], v.first)
             trainer = Trainer(model, v, [p.astype(np.float64) for p in past.parts], rows[1], TaskContext.get().partitionId())
-            known, tokens = v.known(), 0
+            tokens = 0
             for b in batches:
                 for pack in packs(b.column(0)):
                     words, lengths = words_of(pack)
@@ -514,8 +553,8 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(*held.value[0])
-        m, known_words, at = Model.of(held.value[1], held.value[2], v.first), v.known(), TaskContext.get().partitionId() << 36
+        v, known_words = Vocabulary.carried(*held.value[0])
+        m, at = Model.of(held.value[1], held.value[2], v.first), TaskContext.get().partitionId() << 36
         others = v.other_logs()
         for b in batches:
             done = 0

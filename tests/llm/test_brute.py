@@ -709,6 +709,32 @@ def test_lm_is_normalised():
     assert np.isfinite(random_model(rng, v, 30).log_probs(cls, slot, places)).all()
 
 
+def test_softmax_of_far_scores():
+    """Scores whose exponentials leave single precision, beside others that don't, against double precision."""
+    rng = np.random.default_rng(6)
+    q, wide = rng.normal(size=(60, 5)).astype(np.float32), rng.normal(size=(5, 9)).astype(np.float32)
+    q[::3] *= 60
+    q[1] = -200 * wide[:, 0]
+    own = rng.integers(0, 9, 60)
+    z = q.astype(np.float64) @ wide
+    top = z.max(axis=1, keepdims=True)
+    want = (z - top)[np.arange(60), own] - np.log(np.exp(z - top).sum(axis=1))
+    with np.errstate(over="ignore", under="ignore"):
+        assert np.allclose(lm.log_softmax(q, wide, own), want, rtol=1e-5, atol=1e-4)
+
+
+def test_words_are_carried():
+    """What tasks get from a broadcast needs no word looked up again, and says the same of each."""
+    import pyarrow as pa
+
+    v = some_vocabulary(np.random.default_rng(7), 6)
+    v.own, v.logs = [b"the", b"of"], {w: 1.0 + i for i, w in enumerate([b"the", b"of", *v.out, b"rare"])}
+    numbers, known = lm.Vocabulary.carried(*v.plain())
+    words = pa.array([b"the", b"rare", b"unseen", *v.out], pa.binary())
+    assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(known.columns(words), v.known().columns(words), strict=True))
+    assert not numbers.logs and np.array_equal(numbers.inner_logs(), v.inner_logs()) and np.array_equal(numbers.other_logs(), v.other_logs())
+
+
 def test_stream_pads_texts():
     cls, slot, places = lm.stream(np.array([3, 70]), np.array([-1, 5]), np.array([2, 0]))
     e = [lm.END] * lm.CONTEXT
