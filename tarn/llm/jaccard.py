@@ -459,7 +459,7 @@ def join_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
     star = written(star.select("sig", "b", "count"), "jaccard-stars")
     # A node is there once for each of its two possible size classes: the digest and the last bit of the signature.
     node = lambda d: F.concat(d, F.when(F.col("sig") % 2 == 0, F.lit(b"\0")).otherwise(F.lit(b"\1")))
-    edges = keyed_join(tagged, star.select("sig", "b"), "sig", star).select(node(F.col("digest")).alias("a"), node(F.col("b")).alias("b")).distinct()
+    edges = keyed_join(tagged, star.select("sig", "b"), "sig", star).select(node(F.col("digest")).alias("a"), node(F.col("b")).alias("b"))
     groups = components(edges)
     placed = groups.select("root", F.substring("node", 1, DIGEST).alias("digest"), F.when(F.substring("node", DIGEST + 1, 1) == F.lit(b"\1"), 1).otherwise(0).alias("odd"))
     lengths = nodes.groupBy("digest").agg(F.max(F.octet_length("keys")).alias("bytes"))

@@ -489,6 +489,36 @@ def test_components(spark):
     assert got == want
 
 
+def test_few_edges_take_few_tasks(spark, monkeypatch):
+    """A path takes many rounds, each of tasks for every shuffle partition, unless one task takes it; the results are the same."""
+    rng = random.Random(12)
+    names = [rng.randbytes(rng.randrange(1, 9)) for _ in range(300)]
+    rows = [(x, y) for x, y in zip(names, names[1:], strict=False) if rng.random() < 0.95] + [(names[0], names[0]), (names[1], None)]
+    edges = spark.createDataFrame([(x and bytearray(x), y and bytearray(y)) for x, y in rows], "a binary, b binary")
+
+    def run(group):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            got = [(bytes(r.node), bytes(r.root)) for r in graph.components(edges).collect()]
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return sorted(got), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    one, jobs = run("components-one")
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    rounds, more = run("components-rounds")
+    assert one == rounds and len(one) == len({x for x, _ in one}) > 250
+    assert jobs <= 6 < more
+
+
+def test_components_in_one_task_at_any_shape():
+    rng = np.random.default_rng(5)
+    path = rng.permutation(5000)
+    assert graph.roots(path[:-1], path[1:], 5000).tolist() == [0] * 5000
+    assert graph.roots(np.arange(4999), np.arange(1, 5000), 5001).tolist() == [0] * 5000 + [5000]
+    assert graph.roots(np.array([], int), np.array([], int), 2).tolist() == [0, 1]
+
+
 # -- fingerprints
 
 
