@@ -51,7 +51,9 @@ OWN, BUCKETS, HEAD, OUT, LEAST = 63, 128, 1 << 17, 1 << 15, 5
 CLASSES, END = OWN + 1 + BUCKETS, OWN
 DIM, CONTEXT, NOISE, TIMES, RATE = 16, 6, 64, 8.0, 0.15
 #: A step's positions: so many pieces of so many in a row. Samples for each position inside its class; see Trainer.
-PIECES, PIECE, SLOT_NOISE, GUIDE = 32, 32, 4, 4
+PIECES, PIECE, SLOT_NOISE, GUIDE = 32, 32, 4, 8
+#: Scores that are held at once: 192 KB.
+CELLS = 49_152
 #: Parts of the training texts, after each of which models are averaged.
 ROUNDS = 2
 #: Bytes of a head word, so that the head has a size in bytes as well.
@@ -240,8 +242,13 @@ class Model:
 
     @classmethod
     def of(cls, flat: np.ndarray, rows: np.ndarray, first: np.ndarray) -> Model:
+        return cls(cls.views(np.array(flat, np.float32)), rows, first)
+
+    @classmethod
+    def views(cls, flat: np.ndarray) -> list[np.ndarray]:
+        """The parts as views of flat."""
         cuts = np.cumsum([math.prod(s) for s in cls.SHAPES])[:-1]
-        return cls([np.array(x, np.float32).reshape(s) for x, s in zip(np.split(flat, cuts), cls.SHAPES, strict=True)], rows, first)
+        return [x.reshape(s) for x, s in zip(np.split(flat, cuts), cls.SHAPES, strict=True)]
 
     def context(self, near: np.ndarray) -> np.ndarray:
         """near (..., CONTEXT + n, DIM), vectors of the classes in a row -> context vectors of the last n."""
@@ -256,11 +263,11 @@ class Model:
             out += np.multiply(ago(i), along[i], out=part)
         return out.reshape(*near.shape[:-1], n, DIM)
 
-    def log_probs(self, cls: np.ndarray, slot: np.ndarray, places: np.ndarray, size: int = 1024, block: int = 1 << 16) -> np.ndarray:
+    def log_probs(self, cls: np.ndarray, slot: np.ndarray, places: np.ndarray, size: int = 1 << 14, block: int = 1 << 16) -> np.ndarray:
         """A stream() -> natural logs of P(class, slot | context) at its places, normalised over all classes and slots."""
         vectors, _, outputs, bias = self.parts
         cls = np.concatenate([PAD, cls, [END] * (-len(cls) % PIECE)]).astype(np.int32)
-        wide = np.concatenate([outputs, bias], axis=1).T
+        wide = np.ascontiguousarray(np.concatenate([outputs, bias], axis=1).T)
         out = np.empty(len(places))
         cuts = np.searchsorted(places, np.arange(0, len(slot) + block, block))
         for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -278,7 +285,7 @@ class Model:
         by = np.argsort(cls.astype(np.uint16), kind="stable")
         cuts = np.searchsorted(cls[by], np.arange(OWN + 1, CLASSES + 1))
         for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            rows = self.rows[self.first[g] : self.first[g + 1]].T
+            rows = np.ascontiguousarray(self.rows[self.first[g] : self.first[g + 1]].T)
             for s in range(a, b if rows.shape[1] > 1 else a, size):
                 at = by[s : min(b, s + size)]
                 out[at] += log_softmax(q.take(at, axis=0), rows, slot[at] - self.first[g])
@@ -288,11 +295,18 @@ class Model:
 def log_softmax(q: np.ndarray, wide: np.ndarray, own: np.ndarray) -> np.ndarray:
     """The own columns of the log of the softmax of the rows of q @ wide.
 
-    Exponentials are taken as they are; where their sum leaves single precision, again less the row's largest score.
+    Exponentials are taken as they are; where their sum leaves single precision, again less the row's largest score. Scores
+    are made a few rows at a time in the same CELLS numbers, which stay in a core's cache.
     """
-    z = q @ wide
-    at = z[np.arange(len(z)), own].astype(np.float64)
-    total = np.exp(z, out=z) @ np.ones(z.shape[1], np.float32)
+    n, width = len(q), wide.shape[1]
+    rows = max(16, CELLS // width)
+    cells, ones = np.empty((min(n, rows), width), np.float32), np.ones(width, np.float32)
+    at, total = np.empty(n), np.empty(n, np.float32)
+    for s in range(0, n, rows):
+        upto = min(n, s + rows)
+        z = np.matmul(q[s:upto], wide, out=cells[: upto - s])
+        at[s:upto] = z[np.arange(upto - s), own[s:upto]]
+        np.matmul(np.exp(z, out=z), ones, out=total[s:upto])
     if not (total.min() > 1e-25 and total.max() < 1e35):
         far = np.flatnonzero(~((total > 1e-25) & (total < 1e35)))
         z = q[far] @ wide
@@ -303,13 +317,8 @@ def log_softmax(q: np.ndarray, wide: np.ndarray, own: np.ndarray) -> np.ndarray:
     return at - np.log(total)
 
 
-def summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Rows of values summed by row number."""
-    return columns_summed(rows, np.ascontiguousarray(values.T), n)
-
-
 def columns_summed(rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
-    """The same for values by column."""
+    """Rows of values, which are given by column, summed by row number."""
     out, rows = np.empty((len(columns), n)), rows.astype(np.intp, copy=False)
     for i, c in enumerate(columns):
         out[i] = np.bincount(rows, c, n)
@@ -325,19 +334,26 @@ class Trainer:
     """Noise-contrastive steps on a model (Adagrad; past and past_rows: sums of squared gradients; met: how often each slot was)."""
 
     def __init__(self, model: Model, v: Vocabulary, past: list[np.ndarray], past_rows: np.ndarray, seed: int) -> None:
-        self.model, self.past, self.past_rows = model, past, past_rows
+        self.model, self.past_rows = model, past_rows
         self.rng = np.random.default_rng(seed)
-        self.met = np.zeros(len(model.rows), np.float32)
+        # Parameters of all parts are one array, of which the parts are views, so that a step updates them at once; so are their sums.
+        self.flat, self.past_flat = model.flat(), np.concatenate([np.zeros(0), *(h.ravel() for h in past)])
+        model.parts, self.past = Model.views(self.flat), Model.views(self.past_flat) if past else []
+        self.met, self.seen = np.zeros(len(model.rows), np.float32), []
         self.up_to, self.add = np.cumsum(v.shares), np.log(TIMES * v.shares).astype(np.float32)
         self.inner = v.inner_logs().astype(np.float32)
         self.first, self.sums = v.first, np.concatenate([[0], np.cumsum(v.inside)])
-        self.low = self.sums[v.first[:-1]]
+        self.low, self.ends, self.final = self.sums[v.first[:-1]], self.sums[1:], v.first[1:] - 1
         self.span = self.sums[v.first[1:]] - self.low
         # For GUIDE even cells to a slot, the slot in which each begins: where the search for a sample starts.
         self.cells = GUIDE * np.diff(v.first)
         self.cell = np.append(0, np.cumsum(self.cells))[:-1]
         part = (np.arange(self.cells.sum()) - np.repeat(self.cell, self.cells)) / np.repeat(self.cells, self.cells)
-        self.guide = self.found(np.repeat(self.low, self.cells) + part * np.repeat(self.span, self.cells), np.repeat(np.arange(BUCKETS), self.cells))
+        self.guide = self.found(np.repeat(self.low, self.cells) + part * np.repeat(self.span, self.cells), np.repeat(np.arange(BUCKETS), self.cells)).astype(np.min_scalar_type(v.first[-1]))
+        # For a step: the weights of a piece's contexts as matrices, and a number for each slot.
+        self.band, self.last = np.zeros((DIM, CONTEXT + PIECE, PIECE), np.float32), np.empty(len(model.rows), np.int64)
+        self.bands = [self.band.reshape(DIM, -1)[:, (CONTEXT - 1 - i) * PIECE :: PIECE + 1][:, :PIECE] for i in range(CONTEXT)]
+        self.diagonals = np.array([(CONTEXT - 1 - i) * PIECE + (PIECE + 1) * np.arange(PIECE) for i in range(CONTEXT)])
 
     def found(self, at: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """The slots of places in the running sums of counts, kept in their buckets."""
@@ -346,11 +362,15 @@ class Trainer:
     def drawn(self, bucket: np.ndarray) -> np.ndarray:
         """SLOT_NOISE slots of each bucket, by counts."""
         u = self.rng.random((len(bucket), SLOT_NOISE))
-        at = (self.low[bucket][:, None] + u * self.span[bucket][:, None]).ravel()
-        slot = self.guide[(self.cell[bucket][:, None] + (u * self.cells[bucket][:, None]).astype(np.int64)).ravel()]
-        todo = np.flatnonzero(self.sums[1:].take(slot) <= at)
+        at = u * self.span.take(bucket)[:, None]
+        at += self.low.take(bucket)[:, None]
+        cell = (u * self.cells.take(bucket)[:, None]).astype(np.int64)
+        cell += self.cell.take(bucket)[:, None]
+        slot = self.guide.take(cell.ravel()).astype(np.int64)
+        at = at.ravel()
+        todo = np.flatnonzero(self.ends.take(slot) <= at)
         slot[todo] = np.searchsorted(self.sums, at[todo], side="right") - 1
-        return np.minimum(slot.reshape(u.shape), (self.first[bucket + 1] - 1)[:, None])
+        return np.minimum(slot.reshape(u.shape), self.final.take(bucket)[:, None])
 
     def learn(self, cls: np.ndarray, slot: np.ndarray, lengths: np.ndarray) -> int:
         """One pass over texts (see stream()), in steps of PIECES pieces from anywhere in them; returns the number of tokens."""
@@ -367,16 +387,27 @@ class Trainer:
         for s in range(0, pieces, PIECES):
             some = order[s : s + PIECES]
             self.step(cls[some[:, None] * PIECE + row], slot[some], np.flatnonzero(counts[some]))
+            if s + PIECES >= pieces or len(self.seen) == 64:
+                self.met += np.bincount(np.concatenate(self.seen), minlength=len(self.met))
+                self.seen.clear()
         return len(places)
 
     def step(self, cls: np.ndarray, slot: np.ndarray, at: np.ndarray) -> None:
         """cls (pieces, CONTEXT + PIECE), slot (pieces, PIECE), at: places that count."""
         vectors, weights, outputs, bias = self.model.parts
         pieces, n = len(cls), len(at)
-        near = vectors.take(cls, axis=0)
-        q = np.ones((n, DIM + 1), np.float32)
-        q[:, :DIM] = self.model.context(near).reshape(-1, DIM).take(at, axis=0)
-        t, slot = cls[:, CONTEXT:].ravel()[at], slot.ravel()[at]
+        # By dimension, so that contexts, and their gradients, are products with a matrix of the weights: Model.context() in one.
+        near = vectors.T.take(cls, axis=1)
+        for band, w in zip(self.bands, weights, strict=True):
+            band[:] = w[:, None]
+        # Positions in classes of several words come first, so that they are a slice.
+        slot = slot.ravel().take(at)
+        inner = slot >= 0
+        m, at, slot = np.count_nonzero(inner), np.concatenate([at[inner], at[~inner]]), slot[inner]
+        qt = np.ones((DIM + 1, n), np.float32)
+        np.take((near @ self.band).reshape(DIM, -1), at, axis=1, out=qt[:DIM], mode="clip")
+        q = np.ascontiguousarray(qt.T)
+        t = cls[:, CONTEXT:].ravel().take(at)
         noise = np.minimum(np.searchsorted(self.up_to, self.rng.random(NOISE)), CLASSES - 1)
         # A class that is drawn several times is one column that counts so often.
         times = np.bincount(noise, minlength=CLASSES)
@@ -389,25 +420,20 @@ class Trainer:
         z += 1
         g_noise = np.divide((times[noise] * (-TIMES / NOISE / n)).astype(np.float32), z, out=z)
         gq = g_own[:, None] * mine[:, :DIM] + g_noise @ others[:, :DIM]
-        qt = np.ascontiguousarray(q.T)
         go = columns_summed(t, qt * g_own, CLASSES)
         go[noise] += g_noise.T @ q
-        inner = np.flatnonzero(slot >= 0)
-        gq[inner] += self.inside(t[inner] - OWN - 1, slot[inner], q.take(inner, axis=0), qt.take(inner, axis=1)) / n
+        gq[:m] += self.inside(t[:m] - OWN - 1, slot, q[:m], qt[:, :m]) / n
         full = np.zeros((pieces * PIECE, DIM), np.float32)
         whole(full)[at] = whole(gq)
-        # A piece's vectors are one row, and weights are repeated along it.
-        full, near, along = full.reshape(pieces, -1), near.reshape(pieces, -1), np.tile(weights, PIECE)
-        part = np.empty_like(full)
-        g_near, gw = np.zeros_like(near), np.empty_like(weights)
-        for i, w in enumerate(along):
-            cut = slice((CONTEXT - 1 - i) * DIM, (CONTEXT - 1 - i + PIECE) * DIM)
-            gw[i] = np.einsum("ab,ab->b", full, near[:, cut]).reshape(-1, DIM).sum(axis=0)
-            g_near[:, cut] += np.multiply(full, w, out=part)
-        gv = summed(cls.ravel(), g_near.reshape(-1, DIM), CLASSES)
-        for p, g, h in zip(self.model.parts, (gv, gw, go[:, :DIM], go[:, DIM:]), self.past, strict=True):
-            h += g * g
-            p += (RATE * g / np.sqrt(h + 1e-10)).astype(np.float32)
+        full = np.ascontiguousarray(full.T).reshape(DIM, pieces, PIECE)
+        met = (near.transpose(0, 2, 1) @ full).reshape(DIM, -1)
+        gw = met.take(self.diagonals, axis=1).sum(axis=2).T
+        gv = columns_summed(cls.ravel(), (full @ self.band.transpose(0, 2, 1)).reshape(DIM, -1), CLASSES)
+        g = np.concatenate([gv.ravel(), gw.ravel(), go[:, :DIM].ravel(), go[:, DIM]])
+        self.past_flat += g * g
+        g *= RATE
+        g /= np.sqrt(self.past_flat + 1e-10)
+        self.flat += g.astype(np.float32)
 
     def inside(self, bucket: np.ndarray, slot: np.ndarray, q: np.ndarray, qt: np.ndarray) -> np.ndarray:
         """A step on the slots of positions in classes of several words -> the gradient of their context vectors. q: those
@@ -422,14 +448,15 @@ class Trainer:
         g[:, 0] += 1
         gq = np.einsum("mk,mkd->md", g, taken[:, :, :DIM])
         which = which.T.ravel()
-        by = np.argsort(which.astype(np.uint16), kind="stable")
-        new = np.append(True, np.diff(which[by]) > 0)[:len(by)]
-        number = np.empty(len(by), np.int64)
-        number[by] = np.cumsum(new) - 1
-        hit = which[by[new]]
+        # Each slot is numbered by writing over its last entry's place, without a sort.
+        place = np.arange(len(which))
+        self.last[which] = place
+        hit = which[self.last.take(which) == place]
+        self.last[hit] = place[: len(hit)]
+        number = self.last.take(which)
         each = np.ascontiguousarray(g.T) * qt[:, None]
         total = columns_summed(number, each.reshape(DIM + 1, -1), len(hit)).astype(np.float32, order="C")
-        self.met[hit] += np.bincount(number, minlength=len(hit))
+        self.seen.append(which)
         past = self.past_rows.take(hit, axis=0)
         past += total * total
         whole(self.past_rows)[hit] = whole(past)
@@ -467,7 +494,7 @@ def fit(texts: DataFrame, vocabulary: Vocabulary) -> Model:
                     words, lengths = words_of(pack)
                     tokens += trainer.learn(*known.columns(words)[:2], lengths)
             if tokens:
-                parts = np.stack([model.flat(), np.concatenate([h.ravel() for h in trainer.past]).astype(np.float32)])
+                parts = np.stack([model.flat(), trainer.past_flat.astype(np.float32)])
                 yield carried(TaskContext.get().partitionId(), tokens, parts, rows, trainer.met).to_batches()[0]
             tidy()
 
@@ -538,6 +565,15 @@ def vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
     return Vocabulary(own, {bytes(r["word"]): math.log10(r["c"] + 1) for r in head}, [w for x in listed for w, _ in x], first, mass / mass.sum(), np.array(inside, np.float64))
 
 
+def tallied(words: pa.Array, lengths: np.ndarray) -> pa.ListArray:
+    """The words of texts in a row, and how many each has -> for each text its distinct words, and how often it has them."""
+    coded = words.dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    key, times = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + coded.indices.to_numpy(), return_counts=True)
+    pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(key % size)), pa.array(times, pa.int64())], ["word", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(key, np.arange(len(lengths) + 1) * size), pa.int32()), pairs)
+
+
 def score(docs: DataFrame, learn: Column) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_tokens, n_known, train_tokens, base_score, score; learn: which rows are learnt from."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
@@ -570,15 +606,15 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                 cut = lambda x, w=n: np.add.reduceat(np.append(x, 0.0), np.append(0, np.cumsum(w))[:-1]) * (w > 0)
                 missing = np.flatnonzero(out)
                 before = np.searchsorted(missing, ends)
-                tails = pa.ListArray.from_arrays(pa.array(before, pa.int32()), words.take(pa.array(missing)))
+                tails = tallied(words.take(pa.array(missing)), np.diff(before))
                 known = n - np.diff(before) + (n_texts > 0)
                 columns = [pa.array(np.arange(at, at + len(n)), pa.int64()), b.column(0).slice(done, len(n)), pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(cut(np.nan_to_num(base)) + end_log), pa.array(cut(neural, n + 1) + cut(more)), tails]
                 at, done = at + len(n), done + len(n)
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "known", "base", "neural", "tail"])
         tidy()
 
-    rows = written(texts.mapInArrow(run, f"row long, doc_id {id_type}, n_tokens long, known long, base double, neural double, tail array<binary>"), "lm-rows")
-    tail = rows.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    rows = written(texts.mapInArrow(run, f"row long, doc_id {id_type}, n_tokens long, known long, base double, neural double, tail array<struct<word:binary,times:long>>"), "lm-rows")
+    tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.times")
     rare = tail.join(counts, "word").select("row", F.col("times").alias("known"), (F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"))
     rare = rare.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("more").alias("more"))
     out = rows.drop("tail").join(rare, "row", "left")

@@ -858,6 +858,35 @@ def test_slot_samples_follow_counts():
     assert (again == t.found(t.low[bucket][:, None] + u * t.span[bucket][:, None], np.repeat(bucket, lm.SLOT_NOISE).reshape(u.shape))).all()
 
 
+def test_tails_are_tallied():
+    """A text's rare words leave the task once each with their number, so that no exchange has to count them."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [[rng.choice([b"", b"x", b"yy", b"zzz"]) for _ in range(n)] for n in (0, 5, 0, 0, 40, 1, 0)]
+    for some in (texts, [[], []], []):
+        got = lm.tallied(pa.array([w for t in some for w in t], pa.binary()), np.array([len(t) for t in some], int))
+        assert [{p["word"]: p["times"] for p in t} for t in got.to_pylist()] == [dict(Counter(t)) for t in some]
+
+
+def test_rare_words_take_no_exchange_to_count(spark, monkeypatch):
+    """Words outside the head, repeated inside texts and across them: the base score; and no exchange by row and word."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lm, "HEAD", 0)
+    texts = ["rare " * 7 + "other", "rare other rare", "unseen unseen rare", "", None]
+    learn = F.col("doc_id") != 2
+    out = lm.score(docs_of(spark, texts), learn)
+    assert not re.search(r"hashpartitioning\(row#\w+, word#", out._jdf.queryExecution().toString())
+    rows = {r.doc_id: r for r in out.collect()}
+    c = Counter(w for i, t in enumerate(texts) if i != 2 for w in [*(t or "").split(), "<end>"])
+    total, distinct = sum(c.values()), len(c)
+    for i, t in enumerate(texts):
+        tokens = [*(t or "").split(), "<end>"]
+        assert rows[i].base_score == pytest.approx(sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in tokens))
+        assert (rows[i].n_tokens, rows[i].n_known, rows[i].train_tokens) == (len(tokens), sum(c[w] > 0 for w in tokens), total)
+
+
 def test_training_reaches_six_words_back():
     assert (lm.CONTEXT, lm.NOISE, lm.PIECES * lm.PIECE) == (6, 64, 1024)
     rng = np.random.default_rng(5)
