@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.llm import bpe, jaccard, mixing, secrets, toxicity
-from tarn.llm.common import crc_mod, table, word_count, written
+from tarn.llm.common import crc_mod, small_batches, table, word_count, written
 from tarn.llm.queries import ranks_path, split_pattern
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,6 +25,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels that op1 may learn from, rejects go."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), crc_mod(F.col("doc_id"), 5) != 0)
     return toxicity.score(docs, model, out="toxicity").where("toxicity < 0.5").select(*COLUMNS)
@@ -32,6 +33,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents linked by five-word shingles at a similarity of 0.8, the one of least doc_id stays."""
+    small_batches(spark)
     docs = keyed(docs)
     classes = jaccard.join_classes(docs.select(F.col("key").alias("doc_id"), "text"), k=5, num=4, den=5)
     heads = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("head")).distinct()
@@ -43,6 +45,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found is replaced by a mark of its kind; n_chars follows the text; all documents stay."""
+    small_batches(spark)
     cleaned = secrets.scan(docs.select(*COLUMNS), redacted="cleaned")
     changed = F.col("cleaned") != F.col("text")
     return cleaned.withColumn("n_chars", F.when(changed, F.length("cleaned").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.col("cleaned")).select(*COLUMNS)
@@ -62,6 +65,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as token ids, each text's decoded again and compared: doc_id, source, n_tokens, ids, decodes."""
+    small_batches(spark)
     coded = bpe.encode_texts(docs.select("doc_id", "source", "text"), ranks_path(), split_pattern(), check="decodes")
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decodes")
 

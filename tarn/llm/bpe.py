@@ -13,8 +13,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import sys
-import types
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
@@ -25,7 +23,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from .common import extended, texts_of
+from .common import extended, kept, texts_of
 
 #: Pre-tokens that a worker remembers before it forgets all of them, and the longest one it remembers.
 MEMO, MEMO_CHARS = 800_000, 64
@@ -161,11 +159,11 @@ def shared(docs: DataFrame, ranks: str, pattern: str) -> Broadcast:
 
 
 def codec(held: Broadcast) -> Codec:
-    """The worker's codec for these tables: it outlives the task, and with it what it remembers."""
-    kept = sys.modules.setdefault("_tarn_worker", types.ModuleType("_tarn_worker")).__dict__
-    if kept.get("codec", (None,))[0] != held.value[:2]:
-        kept["codec"] = (held.value[:2], Codec(*held.value))
-    return kept["codec"][1]
+    """The worker's codec for these tables: it outlives the task, and with it what it remembers, until another operator forgets it."""
+    here = kept()
+    if here.get("codec", (None,))[0] != held.value[:2]:
+        here["codec"] = (held.value[:2], Codec(*held.value))
+    return here["codec"][1]
 
 
 def encode_texts(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:

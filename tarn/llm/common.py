@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -94,6 +96,32 @@ def tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def kept() -> dict[str, Any]:
+    """What operators keep in a Python worker from task to task."""
+    return sys.modules.setdefault("_tarn_worker", types.ModuleType("_tarn_worker")).__dict__
+
+
+def forget() -> None:
+    """Lets go of what another operator keeps in this worker, which is made again should that one come back."""
+    if kept().pop("codec", None):
+        tidy()
+
+
+#: Bytes of an Arrow batch for a Python worker, about; Spark's own bound is 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session sends at most about BATCH_BYTES to a Python worker at once, or less if that is set already.
+
+    A task holds a batch and its result in native memory, beside the heap, and once more in its worker. Batches of Spark's
+    own bound are 10,000 texts; the same rows arrive in smaller ones.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; null ids count as remainder 1, so they are never held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(m)), F.lit(1))

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, texts_of, tidy, written
+from .common import forget, keyed_join, texts_of, tidy, written
 from .graph import components
 
 #: Shingles in a bucket, on average; least ratio of a size class; most nodes that share a rare shingle.
@@ -175,6 +175,7 @@ def dealt(docs: DataFrame, k: int, bits: int) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         memo, pack = Words(), TaskContext.get().partitionId() << 32
         sets: dict[bytes, np.ndarray] = {}
         number: dict[bytes, int] = {}

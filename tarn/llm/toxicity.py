@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, texts_of, tidy, written
+from .common import extended, forget, texts_of, tidy, written
 
 #: Labelled documents of each label in the training sample; features at most (a bound on memory: on sf0.1 fewer than 1,024
 #: are significant); prefix lengths.
@@ -81,6 +81,7 @@ def distinct_words(docs: DataFrame) -> DataFrame:
     _, schema = extended(kept.drop("text"), words="array<string>", sentences="array<array<string>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         plain = lambda ws: sorted(w.decode() for w in ws)
         for b in batches:
             words, said = [], []
@@ -274,6 +275,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     docs, schema = extended(docs, **{out: "double"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m = Model(*held.value)
         for b in batches:
             scores = [m.score(t) for t in texts_of(b.column(b.schema.get_field_index(text)))]
